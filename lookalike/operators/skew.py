@@ -1,0 +1,50 @@
+"""Joins that stay balanced when a few keys hold most of the rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, functions as F
+
+#: How many keys may be treated as heavy. The broadcast list is cut to this
+#: many rows, whatever the data size; the next key in line holds less than
+#: one row in HEAVY_KEYS of the table.
+HEAVY_KEYS = 1024
+#: A key is heavy from this many rows on.
+HEAVY_ROWS = 50_000
+#: Most copies made of one right-hand row.
+MAX_COPIES = 256
+
+
+def heavy_keys(
+    df: DataFrame, on: list[str], heavy_rows: int = HEAVY_ROWS, max_copies: int = MAX_COPIES
+) -> DataFrame:
+    """At most ``HEAVY_KEYS`` keys with the number of copies each one needs."""
+    counts = df.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))
+    top = counts.orderBy(F.desc("_rows"), *on).limit(HEAVY_KEYS)
+    copies = F.least(F.lit(max_copies), F.ceil(F.col("_rows") / heavy_rows)).cast("int")
+    return top.where(F.col("_rows") >= heavy_rows).select(*on, copies.alias("_copies"))
+
+
+def spread_join(
+    left: DataFrame,
+    right: DataFrame,
+    on: list[str],
+    spread_by: list[str],
+    how: str = "inner",
+    heavy_rows: int = HEAVY_ROWS,
+    max_copies: int = MAX_COPIES,
+) -> DataFrame:
+    """Equi-join a big ``left`` to a ``right`` that has few rows per key.
+
+    Left rows of a heavy key are dealt over several sub-keys by the hash of
+    ``spread_by``; the matching right rows are copied once per sub-key. All
+    other rows keep sub-key 0, so nothing is copied without need.
+    """
+    heavy = heavy_keys(left, on, heavy_rows, max_copies)
+    deal = F.pmod(F.xxhash64(*spread_by), F.col("_copies")).cast("int")
+    dealt = left.join(heavy, on, "left").withColumn(
+        "_part", F.when(F.col("_copies").isNull(), F.lit(0)).otherwise(deal)
+    )
+    parts = F.sequence(F.lit(0), F.coalesce(F.col("_copies"), F.lit(1)) - 1)
+    copied = right.join(heavy, on, "left").withColumn("_part", F.explode(parts))
+    joined = dealt.drop("_copies").join(copied.drop("_copies"), [*on, "_part"], how)
+    return joined.drop("_part")
