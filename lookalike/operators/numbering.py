@@ -1,4 +1,4 @@
-"""Row numbers and running sums over groups of any size.
+"""Row numbers over groups of any size.
 
 A plain window sorts a whole group in one task. Here every group is cut into
 buckets along the sort order; rows are numbered inside their bucket and shifted
@@ -66,28 +66,3 @@ def number_rows(
         out.append(F.col("_size").alias(size_name))
     return joined.select(*out)
 
-
-def running_sums(
-    df: DataFrame, bucket: Column, order: Sequence[Column], sums: dict[str, tuple[str, str]]
-) -> DataFrame:
-    """Add running and grand totals over all rows: ``{value: (running, total)}``.
-
-    ``order`` must be unique per row. Totals of whole buckets are summed over
-    the short bucket table; only rows of one bucket meet in a task.
-    """
-    placed = df.withColumn("_bucket", bucket)
-    counts = placed.groupBy("_bucket").agg(*(F.sum(v).alias(f"_t_{v}") for v in sums))
-    whole = Window.partitionBy("_all")
-    before = whole.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = counts.withColumn("_all", F.lit(0)).select(
-        "_bucket",
-        *(F.coalesce(F.sum(f"_t_{v}").over(before), F.lit(0)).alias(f"_s_{v}") for v in sums),
-        *(F.sum(f"_t_{v}").over(whole).alias(total) for v, (_, total) in sums.items()),
-    )
-    inside = Window.partitionBy("_bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    local = placed.select("*", *(F.sum(v).over(inside).alias(f"_l_{v}") for v in sums))
-    return local.join(shifts, "_bucket").select(
-        *df.columns,
-        *((F.col(f"_l_{v}") + F.col(f"_s_{v}")).alias(running) for v, (running, _) in sums.items()),
-        *(total for _, total in sums.values()),
-    )

@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-#: How many keys may be treated as heavy. The broadcast list is cut to this
-#: many rows, whatever the data size; the next key in line holds less than
-#: one row in HEAVY_KEYS of the table.
+#: How many keys may be treated as heavy, whatever the data size. The next key
+#: in line holds less than one row in HEAVY_KEYS of the table.
 HEAVY_KEYS = 1024
 #: A key is heavy from this many rows on.
 HEAVY_ROWS = 50_000
@@ -16,12 +15,18 @@ MAX_COPIES = 256
 
 def heavy_keys(
     df: DataFrame, on: list[str], heavy_rows: int = HEAVY_ROWS, max_copies: int = MAX_COPIES
-) -> DataFrame:
-    """At most ``HEAVY_KEYS`` keys with the number of copies each one needs."""
+) -> DataFrame | None:
+    """The heavy keys with the number of copies each one needs, or None.
+
+    Runs one counting job over the key columns. At most ``HEAVY_KEYS`` rows
+    come to the driver, so the result is safe to broadcast.
+    """
     counts = df.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))
-    top = counts.orderBy(F.desc("_rows"), *on).limit(HEAVY_KEYS)
+    top = counts.where(F.col("_rows") >= heavy_rows).orderBy(F.desc("_rows"), *on).limit(HEAVY_KEYS)
     copies = F.least(F.lit(max_copies), F.ceil(F.col("_rows") / heavy_rows)).cast("int")
-    return top.where(F.col("_rows") >= heavy_rows).select(*on, copies.alias("_copies"))
+    small = top.select(*on, copies.alias("_copies"))
+    rows = small.collect()
+    return df.sparkSession.createDataFrame(rows, small.schema) if rows else None
 
 
 def spread_join(
@@ -30,6 +35,7 @@ def spread_join(
     on: list[str],
     spread_by: list[str],
     how: str = "inner",
+    count_in: DataFrame | None = None,
     heavy_rows: int = HEAVY_ROWS,
     max_copies: int = MAX_COPIES,
 ) -> DataFrame:
@@ -37,9 +43,13 @@ def spread_join(
 
     Left rows of a heavy key are dealt over several sub-keys by the hash of
     ``spread_by``; the matching right rows are copied once per sub-key. All
-    other rows keep sub-key 0, so nothing is copied without need.
+    other rows keep sub-key 0, and without heavy keys this is a plain join.
+    ``count_in`` is a cheaper table with the same keys as ``left``, if any.
     """
-    heavy = heavy_keys(left, on, heavy_rows, max_copies)
+    heavy = heavy_keys(left if count_in is None else count_in, on, heavy_rows, max_copies)
+    if heavy is None:
+        return left.join(right, on, how)
+    heavy = F.broadcast(heavy)
     deal = F.pmod(F.xxhash64(*spread_by), F.col("_copies")).cast("int")
     dealt = left.join(heavy, on, "left").withColumn(
         "_part", F.when(F.col("_copies").isNull(), F.lit(0)).otherwise(deal)

@@ -163,12 +163,12 @@ commons AS (
   FROM pairs JOIN shape_counts a ON a.doc_id = doc1
   JOIN shape_counts b ON b.doc_id = doc2 AND b.num_children = a.num_children AND b.hash_value = a.hash_value),
 common_sums AS (
-  SELECT doc1, doc2, coalesce({leaf}, 0) + coalesce({once}, 0) AS similar FROM commons GROUP BY doc1, doc2),
+  SELECT doc1, doc2, coalesce({leaf}, 0) + coalesce({once}, 0) AS common_nodes FROM commons GROUP BY doc1, doc2),
 node_totals AS (SELECT i.id, count(n.doc_id) AS total FROM ({ids}) i LEFT JOIN nodes n ON n.doc_id = i.id GROUP BY i.id),
 matches AS (
-  SELECT p.doc1, p.doc2, CAST(coalesce(similar, 0) AS BIGINT) AS similar_nodes,
+  SELECT p.doc1, p.doc2, CAST(coalesce(common_nodes, 0) AS BIGINT) AS similar_nodes,
     CAST(a.total AS BIGINT) AS nodes1, CAST(b.total AS BIGINT) AS nodes2,
-    CASE WHEN a.total > 0 AND b.total > 0 THEN 2.0::DOUBLE * coalesce(similar, 0) / (a.total + b.total) ELSE 0 END
+    CASE WHEN a.total > 0 AND b.total > 0 THEN 2.0::DOUBLE * coalesce(common_nodes, 0) / (a.total + b.total) ELSE 0 END
       AS structure_similarity
   FROM pairs p JOIN node_totals a ON a.id = p.doc1 JOIN node_totals b ON b.id = p.doc2
   LEFT JOIN common_sums c ON c.doc1 = p.doc1 AND c.doc2 = p.doc2)"""

@@ -13,7 +13,7 @@ from lookalike.operators.pairs import PAIR, pair_texts
 from lookalike.operators.tfidf import TFIDF_THRESHOLD, gram_counts, tfidf_similarity
 from lookalike.plans import tables
 from lookalike.sources import corpora, documents as files, manifest as manifests
-from lookalike.sources.scratch import scratch_path
+from lookalike.sources.scratch import scratch_path, written
 
 DIGITS = 6
 MANIFEST_KEY = ["source_dataset", "doc1", "doc2"]
@@ -404,7 +404,8 @@ def _training_texts(t: Inputs) -> DataFrame:
     split = t.split()
     both = pair_texts(split.select(*PAIR).distinct(), t.documents)
     joint = both.select(*PAIR, pair_text(F.col("text1"), F.col("text2")).alias("text"))
-    return split.join(joint, PAIR).select(*MANIFEST_KEY, "label", "split", "text")
+    texts = split.join(joint, PAIR).select(*MANIFEST_KEY, "label", "split", "text")
+    return written(texts, "training-texts")
 
 
 def _fitted(t: Inputs, optimize: bool = False) -> tuple[PairClassifier, DataFrame]:

@@ -27,26 +27,29 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def star(members: DataFrame, group: list[str], extra: list[str] = ()) -> DataFrame:
-    """``(*group, doc1, doc2, *extra)``: each member of a group with its first one.
+def star(members: DataFrame, group: str) -> DataFrame:
+    """``(doc1, source1, doc2)``: each member of a group with its first one and that one's source.
 
     The first members come from a partial aggregation and are joined back with
     heavy groups spread out, so a group may hold any share of the rows.
     """
-    firsts = members.groupBy(*group).agg(F.min("doc_id").alias("doc1"))
-    met = spread_join(members, firsts, group, ["doc_id"])
+    first = F.min(F.struct("doc_id", "source"))
+    firsts = members.groupBy(group).agg(first.alias("first")).select(
+        group, F.col("first.doc_id").alias("doc1"), F.col("first.source").alias("source1")
+    )
+    met = spread_join(members.select("doc_id", group), firsts, [group], ["doc_id"])
     return met.where(F.col("doc_id") != F.col("doc1")).select(
-        *group, "doc1", F.col("doc_id").alias("doc2"), *extra
+        "doc1", "source1", F.col("doc_id").alias("doc2")
     )
 
 
-def case_number() -> Column:
-    return F.regexp_extract("source", r"(\d+)", 1).try_cast("int")
+def source_number(source: str) -> Column:
+    return F.regexp_extract(source, r"(\d+)", 1).try_cast("int")
 
 
 def case_pairs(documents: DataFrame) -> DataFrame:
-    """``doc1, doc2, source`` of the graded corpus."""
-    return star(documents.select("doc_id", "source"), ["source"])
+    """``doc1, source1, doc2`` of the graded corpus; both documents share the source."""
+    return star(documents.select("doc_id", "source", F.col("source").alias("case")), "case")
 
 
 def longest_line(text: Column) -> Column:
@@ -56,14 +59,14 @@ def longest_line(text: Column) -> Column:
 
 
 def copy_pairs(documents: DataFrame) -> DataFrame:
-    """``doc1, doc2`` of the contest corpus."""
-    keyed = documents.select("doc_id", F.sha2(longest_line(F.col("text")), 256).alias("line_key"))
-    return star(keyed, ["line_key"]).drop("line_key")
+    """``doc1, source1, doc2`` of the contest corpus."""
+    line_key = F.sha2(longest_line(F.col("text")), 256).alias("line_key")
+    return star(documents.select("doc_id", "source", line_key), "line_key")
 
 
 def all_pairs(documents: DataFrame) -> DataFrame:
     """The pairs of both corpora, each once."""
-    return case_pairs(documents).select(*PAIR).unionByName(copy_pairs(documents)).distinct()
+    return case_pairs(documents).unionByName(copy_pairs(documents)).select(*PAIR).distinct()
 
 
 def labelled_pairs(documents: DataFrame, labels: DataFrame) -> DataFrame:
@@ -71,7 +74,7 @@ def labelled_pairs(documents: DataFrame, labels: DataFrame) -> DataFrame:
     verdicts = labels.select(F.col("doc_id").alias("doc2"), F.col("quality").alias("label"))
     copied = F.col("label") == 1
     level = F.concat(F.lit("level_"), (F.pmod("doc2", F.lit(LEVELS)) + 1).cast("string"))
-    number = F.regexp_extract("source", r"(\d+)", 1).try_cast("int")
+    number = source_number("source1")
     graded = case_pairs(documents).join(verdicts, "doc2").select(
         F.lit("ir_plag").alias("source_dataset"),
         F.format_string("c%02d", number).alias("case_id"),
@@ -79,16 +82,12 @@ def labelled_pairs(documents: DataFrame, labels: DataFrame) -> DataFrame:
         "label",
         F.when(copied, level).otherwise("none").alias("plagiarism_level"),
     )
-    firsts = documents.select(F.col("doc_id").alias("doc1"), "source")
-    contest = (
-        spread_join(copy_pairs(documents).join(verdicts, "doc2"), firsts, ["doc1"], ["doc2"])
-        .select(
-            F.lit("conplag").alias("source_dataset"),
-            F.format_string("p%02d", number).alias("case_id"),
-            *PAIR,
-            "label",
-            F.when(copied, "contest_level").otherwise("none").alias("plagiarism_level"),
-        )
+    contest = copy_pairs(documents).join(verdicts, "doc2").select(
+        F.lit("conplag").alias("source_dataset"),
+        F.format_string("p%02d", number).alias("case_id"),
+        *PAIR,
+        "label",
+        F.when(copied, "contest_level").otherwise("none").alias("plagiarism_level"),
     )
     return graded.unionByName(contest)
 
@@ -96,7 +95,8 @@ def labelled_pairs(documents: DataFrame, labels: DataFrame) -> DataFrame:
 def host_pairs(pages: DataFrame) -> DataFrame:
     """Every page against the first page of its host."""
     host = F.regexp_extract("url", r"^[a-z]+://([^/?#]+)", 1).alias("host")
-    return star(pages.select(F.col("page_id").alias("doc_id"), host), ["host"]).drop("host")
+    members = pages.select(F.col("page_id").alias("doc_id"), F.col("url").alias("source"), host)
+    return star(members, "host").select(*PAIR)
 
 
 # --- the same corpora as file listings -------------------------------------------
@@ -117,11 +117,11 @@ def contest_folder() -> Column:
 
 def graded_listing(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """``path, doc_id`` in the layout of the graded corpus; versions are the labelled documents."""
-    number = case_number()
     originals = documents.groupBy("source").agg(F.min("doc_id").alias("doc_id"))
     original_files = originals.select(
-        F.format_string(ORIGINAL_FORMAT, number, F.col("doc_id")).alias("path"), "doc_id"
+        F.format_string(ORIGINAL_FORMAT, source_number("source"), F.col("doc_id")).alias("path"), "doc_id"
     )
+    number = source_number("source1")
     versions = case_pairs(documents).join(
         labels.select(F.col("doc_id").alias("doc2"), F.col("quality").alias("label")), "doc2"
     )

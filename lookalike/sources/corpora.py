@@ -70,8 +70,9 @@ def graded_pairs(files: DataFrame) -> DataFrame:
         .groupBy(F.regexp_extract(path, ORIGINAL_PATH, 1).alias("case_orig"))
         .agg(F.min("path").alias("path1"))
     )
-    numbered = number_versions(graded_versions(files)).withColumnRenamed("path", "path2")
-    met = spread_join(numbered, originals, ["case_orig"], ["level", "version"])
+    versions = graded_versions(files)
+    numbered = number_versions(versions).withColumnRenamed("path", "path2")
+    met = spread_join(numbered, originals, ["case_orig"], ["level", "version"], count_in=versions)
     case_id = F.format_string(CASE_FORMAT, F.col("case_number"))
     unrelated = F.col("level") == 0
     folder = F.when(

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from lookalike.operators.skew import spread_join
-
 # File pattern and the two file names of a graded pair.
 SOURCE_PATTERN = "*.java"
 SOURCE_SUFFIX = ".java"
@@ -57,7 +55,8 @@ def resolve_pairs(manifest: DataFrame, files: DataFrame) -> DataFrame:
     """Find the two files of every manifest row: adds ``folder, path1, path2``.
 
     ``files`` lists ``(folder, file, path)``. Graded pairs have fixed file
-    names in their folder. Contest pairs lie in a folder named after both
+    names in their folder. A folder belongs to one pair, so these joins are
+    not skewed. Contest pairs lie in a folder named after both
     submissions, in either order; the given order wins when both exist. Other
     pairs take the first two source files of their folder by name. Rows
     without both files are left out.
@@ -92,7 +91,7 @@ def resolve_pairs(manifest: DataFrame, files: DataFrame) -> DataFrame:
 
     def locate(rows: DataFrame, want: str, found: str) -> DataFrame:
         side = listing.select("folder", F.col("file").alias(want), F.col("path").alias(found))
-        return spread_join(rows, side, ["folder", want], ["pair_id"])
+        return rows.join(side, ["folder", want])
 
     direct = locate(locate(wanted, "_want1", "path1"), "_want2", "path2")
     by_name = F.row_number().over(Window.partitionBy("folder").orderBy("file"))
@@ -105,7 +104,7 @@ def resolve_pairs(manifest: DataFrame, files: DataFrame) -> DataFrame:
         .agg(F.min_by("path", "_at").alias("path1"), F.max_by("path", "_at").alias("path2"), F.count("_at").alias("_n"))
         .where(F.col("_n") == 2)
     )
-    fallback = spread_join(chosen.where(F.col("_kind") == "other"), two, ["folder"], ["pair_id"])
+    fallback = chosen.where(F.col("_kind") == "other").join(two, "folder")
     out = [*manifest.columns, "folder", "path1", "path2"]
     return direct.select(*out).unionByName(fallback.select(*out))
 
@@ -114,7 +113,7 @@ def verify_folders(manifest: DataFrame, files: DataFrame) -> DataFrame:
     """Add ``problem``: NULL, or why the folder of the pair cannot be used."""
     source_files = F.count_if(F.col("file").endswith(SOURCE_SUFFIX))
     counts = files.groupBy(F.col("folder").alias("folder_name")).agg(source_files.alias("_files"))
-    checked = spread_join(manifest, counts, ["folder_name"], ["pair_id"], "left")
+    checked = manifest.join(counts, "folder_name", "left")
     # The two reasons.
     problem = F.when(F.col("_files").isNull(), "carpeta no existe").when(F.col("_files") < 2, "archivos faltantes")
     return checked.select(*manifest.columns, problem.alias("problem"))
