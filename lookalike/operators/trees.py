@@ -8,11 +8,11 @@ type counts with its base value alone; the nodes below it still have rows.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from lookalike.functions.text import words
+from lookalike.functions.text import WORD, words
 
 # Base value per node type, and the value of every other type.
 NODE_VALUES = {
@@ -49,6 +49,11 @@ VOID_TAGS = ("p", "b", "br", "meta", "img", "hr", "input", "link")
 TAG_VALUES = {"html": 200, "body": 100, "article": 60, "div": 50, "nav": 40, "ul": 30, "li": 20, "p": 15, "a": 10}
 
 
+def bind(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` computed once, although ``use`` names it often."""
+    return F.transform(F.array(value), use)[0]
+
+
 def base_value(node_type: Column, values: dict[str, int] = NODE_VALUES, other: int = OTHER_NODE_VALUE) -> Column:
     """Base value of a node type, by a literal map."""
     pairs = [F.lit(v) for item in values.items() for v in item]
@@ -70,28 +75,32 @@ def text_tree(text: Column) -> Column:
             line.cast("int").alias("line_number"),
         )
 
-    def word_kind(word: Column) -> Column:
+    def by_length(word: Column, short: Column, middle: Column, long: Column) -> Column:
         size = F.length(word)
-        return (
-            F.when(size <= SHORT_WORD, F.lit("word_short"))
-            .when(size < LONG_WORD, F.lit("word_middle"))
-            .otherwise(F.lit("word_long"))
-        )
+        return F.when(size <= SHORT_WORD, short).when(size < LONG_WORD, middle).otherwise(long)
+
+    kinds = ("word_short", "word_middle", "word_long")
 
     def sentence_nodes(sentence: Column, line: Column) -> Column:
-        return F.transform(
-            words(sentence),
-            lambda w: node(word_kind(w), F.lit(0), base_value(word_kind(w), TEXT_VALUES), line),
-        )
+        def leaf(word: Column) -> Column:
+            kind = by_length(word, *(F.lit(k) for k in kinds))
+            value = by_length(word, *(F.lit(TEXT_VALUES[k]).cast("bigint") for k in kinds))
+            return node(kind, F.lit(0), value, line)
+
+        return F.transform(words(sentence), leaf)
 
     def total(nodes: Column) -> Column:
         return F.aggregate(nodes, F.lit(0).cast("bigint"), lambda s, n: s + n["hash_value"])
 
     def with_root(kind: str, subtrees: Column, line: Column) -> Column:
         """Put a root before an array of non-empty subtrees; the first node of each is its child."""
-        value = total(F.transform(subtrees, lambda t: t[0])) + TEXT_VALUES[kind]
-        root = node(F.lit(kind), F.size(subtrees), value, line)
-        return F.concat(F.array(root), F.flatten(subtrees))
+
+        def rooted(trees: Column) -> Column:
+            children = F.transform(trees, lambda t: t[0])
+            root = node(F.lit(kind), F.size(trees), total(children) + TEXT_VALUES[kind], line)
+            return F.concat(F.array(root), F.flatten(trees))
+
+        return bind(subtrees, rooted)
 
     def line_nodes(text_line: Column, number: Column) -> Column:
         bags = F.filter(
@@ -108,12 +117,12 @@ def text_tree(text: Column) -> Column:
 
     lines = F.filter(
         F.transform(F.split(text, "\n"), lambda x, i: F.struct(x.alias("text"), (i + 1).alias("number"))),
-        lambda x: x["text"].rlike(r"[\p{L}\p{N}_]"),
+        lambda x: x["text"].rlike(WORD),
     )
     subtrees = F.transform(lines, lambda x: line_nodes(x["text"], x["number"]))
-    return F.when(F.size(lines) > 0, with_root("document", subtrees, F.lit(1))).otherwise(
-        F.array().cast("array<struct<node_type:string,num_children:int,hash_value:bigint,line_number:int>>")
-    )
+    tree = with_root("document", subtrees, F.lit(1))
+    # A text without words leaves the root alone, without children.
+    return F.filter(tree, lambda n: (n["node_type"] != "document") | (n["num_children"] > 0))
 
 
 def text_tree_nodes(documents: DataFrame, key: Sequence[str] = ("doc_id",)) -> DataFrame:
