@@ -55,13 +55,14 @@ def explode_grams(
 
     With ``sentinel`` every input row also yields one ``NO_GRAM`` row. The
     grams are built from array positions by two generators in one codegen
-    stage; nothing is sorted or shuffled.
+    stage; nothing is sorted or shuffled. The outer form keeps Spark from adding
+    a filter on the number of words, which would cut every text twice.
     """
     tokens = words(text)
     if sentinel:
         tokens = F.concat(F.array(F.lit(NO_GRAM)), F.coalesce(tokens, F.array().cast("array<string>")))
     rows = df.select(*keep, tokens.alias("_words"))
-    rows = rows.select(*keep, "_words", F.posexplode("_words").alias("_at", "_word"))
+    rows = rows.select(*keep, "_words", F.posexplode_outer("_words").alias("_at", "_word"))
     here = grams_at(F.col("_words"), F.col("_at"), longest)
     if sentinel:
         alone = F.array(F.lit(NO_GRAM))

@@ -2,13 +2,22 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lookalike.operators.skew import spread_join
+from lookalike.operators.skew import key_profile, shuffle_tasks, spread_join
 
 #: The two columns that identify a pair.
 PAIR = ["doc1", "doc2"]
 
+#: Pair sides per task, at most. A text grows tenfold when it is cut into
+#: n-grams, so the number of tasks follows the pairs and is stated: adaptive
+#: execution would merge partitions by their size before that.
+SIDES_PER_TASK = 50_000
+
+
+
 
 def pair_sides(pairs: DataFrame, documents: DataFrame, payload: list[str]) -> DataFrame:
     """``(doc1, doc2, side, *payload)``: one row per pair side that exists.
@@ -22,8 +31,15 @@ def pair_sides(pairs: DataFrame, documents: DataFrame, payload: list[str]) -> Da
         F.struct(F.lit(2).alias("side"), F.col("doc2").alias("doc_id")),
     )
     sides = pairs.select(*PAIR, F.inline(ends))
-    met = spread_join(sides, documents.select("doc_id", *payload), ["doc_id"], [*PAIR, "side"])
-    return met.select(*PAIR, "side", *payload).repartition(*PAIR)
+    profile = key_profile(sides, ["doc_id"])
+    met = spread_join(
+        sides, documents.select("doc_id", *payload), ["doc_id"], [*PAIR, "side"], profile=profile
+    )
+    tasks = max(shuffle_tasks(pairs), math.ceil(profile.rows / SIDES_PER_TASK))
+    # In this order the shuffle differs from one that made ``pairs`` distinct.
+    # Spark would otherwise drop it for that one, whose few small partitions of
+    # ids adaptive execution has merged by then.
+    return met.select(*PAIR, "side", *payload).repartition(tasks, "doc2", "doc1")
 
 
 def pair_texts(pairs: DataFrame, documents: DataFrame) -> DataFrame:

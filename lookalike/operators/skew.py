@@ -1,7 +1,9 @@
-"""Joins that stay balanced when a few keys hold most of the rows."""
+"""Keep tasks even: joins with heavy keys, and tables of few partitions."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame, functions as F
 
 #: How many keys may be treated as heavy, whatever the data size. The next key
@@ -13,20 +15,32 @@ HEAVY_ROWS = 50_000
 MAX_COPIES = 256
 
 
-def heavy_keys(
+@dataclass(frozen=True)
+class KeyProfile:
+    """Row count of a table and its heavy keys with the copies each one needs."""
+
+    rows: int
+    heavy: DataFrame | None
+
+
+def key_profile(
     df: DataFrame, on: list[str], heavy_rows: int = HEAVY_ROWS, max_copies: int = MAX_COPIES
-) -> DataFrame | None:
-    """The heavy keys with the number of copies each one needs, or None.
+) -> KeyProfile:
+    """Count the rows per key in one job over the key columns.
 
-    Runs one counting job over the key columns. At most ``HEAVY_KEYS`` rows
-    come to the driver, so the result is safe to broadcast.
+    At most ``HEAVY_KEYS`` rows come to the driver, so the heavy keys are safe
+    to broadcast.
     """
     counts = df.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows"))
-    top = counts.where(F.col("_rows") >= heavy_rows).orderBy(F.desc("_rows"), *on).limit(HEAVY_KEYS)
+    top = counts.orderBy(F.desc("_rows"), *on).limit(HEAVY_KEYS).where(F.col("_rows") >= heavy_rows)
     copies = F.least(F.lit(max_copies), F.ceil(F.col("_rows") / heavy_rows)).cast("int")
-    small = top.select(*on, copies.alias("_copies"))
-    rows = small.collect()
-    return df.sparkSession.createDataFrame(rows, small.schema) if rows else None
+    heavy = top.select(*on, copies.alias("_copies"))
+    whole = counts.agg(F.sum("_rows").alias("_rows"))
+    # Both read the same exchange, so the table is counted once.
+    found = heavy.unionByName(whole, allowMissingColumns=True).collect()
+    keys = [row[:-1] for row in found if row["_copies"] is not None]
+    rows = next(row["_rows"] for row in found if row["_copies"] is None)
+    return KeyProfile(rows or 0, df.sparkSession.createDataFrame(keys, heavy.schema) if keys else None)
 
 
 def spread_join(
@@ -35,18 +49,16 @@ def spread_join(
     on: list[str],
     spread_by: list[str],
     how: str = "inner",
-    count_in: DataFrame | None = None,
-    heavy_rows: int = HEAVY_ROWS,
-    max_copies: int = MAX_COPIES,
+    profile: KeyProfile | None = None,
 ) -> DataFrame:
     """Equi-join a big ``left`` to a ``right`` that has few rows per key.
 
     Left rows of a heavy key are dealt over several sub-keys by the hash of
     ``spread_by``; the matching right rows are copied once per sub-key. All
     other rows keep sub-key 0, and without heavy keys this is a plain join.
-    ``count_in`` is a cheaper table with the same keys as ``left``, if any.
+    ``profile`` may come from a cheaper table with the same keys as ``left``.
     """
-    heavy = heavy_keys(left if count_in is None else count_in, on, heavy_rows, max_copies)
+    heavy = (profile or key_profile(left, on)).heavy
     if heavy is None:
         return left.join(right, on, how)
     heavy = F.broadcast(heavy)
@@ -58,3 +70,18 @@ def spread_join(
     copied = right.join(heavy, on, "left").withColumn("_part", F.explode(parts))
     joined = dealt.drop("_copies").join(copied.drop("_copies"), [*on, "_part"], how)
     return joined.drop("_part")
+
+
+def shuffle_tasks(df: DataFrame) -> int:
+    """Number of shuffle partitions the session asks for."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def dealt(table: DataFrame) -> DataFrame:
+    """Deal a stored table of fewer partitions than cores over all cores.
+
+    For work that costs much more per row than moving the row. A big table has
+    partitions enough and is left as it is.
+    """
+    cores = table.sparkSession.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table

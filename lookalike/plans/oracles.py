@@ -12,12 +12,12 @@ case_pairs AS (
 
 COPY_PAIRS = """
 keyed AS (
-  SELECT doc_id, source,
+  SELECT doc_id,
     list_max(list_transform(string_split(text, chr(10)), lambda x: {'n': length(x), 'line': x})).line AS line
   FROM documents),
-copy_firsts AS (SELECT line, min(doc_id) AS doc1, arg_min(source, doc_id) AS source FROM keyed GROUP BY line),
+copy_firsts AS (SELECT line, min(doc_id) AS doc1 FROM keyed GROUP BY line),
 copy_pairs AS (
-  SELECT f.doc1, k.doc_id AS doc2, f.source
+  SELECT f.doc1, k.doc_id AS doc2
   FROM keyed k JOIN copy_firsts f ON k.line = f.line WHERE k.doc_id <> f.doc1)"""
 
 PAIRS = f"""{CASE_PAIRS},{COPY_PAIRS},
@@ -30,7 +30,7 @@ labelled AS (
     CASE WHEN quality = 1 THEN 'level_' || (doc2 % 6 + 1) ELSE 'none' END AS plagiarism_level
   FROM case_pairs JOIN labels ON doc2 = doc_id
   UNION ALL
-  SELECT 'conplag', printf('p%02d', CAST(regexp_extract(source, '([0-9]+)', 1) AS INT)),
+  SELECT 'conplag', printf('p%02d', doc1 % 20),
     doc1, doc2, quality, CASE WHEN quality = 1 THEN 'contest_level' ELSE 'none' END
   FROM copy_pairs JOIN labels ON doc2 = doc_id),
 pairs AS (SELECT DISTINCT doc1, doc2 FROM labelled)"""

@@ -10,6 +10,7 @@ from lookalike.functions.text import normalize, pair_text, words
 from lookalike.operators import compare, metrics, splits, structure, trees
 from lookalike.operators.classify import PairClassifier, corpus_tfidf, run_summary
 from lookalike.operators.pairs import PAIR, pair_texts
+from lookalike.operators.skew import dealt, shuffle_tasks
 from lookalike.operators.tfidf import TFIDF_THRESHOLD, gram_counts, tfidf_similarity
 from lookalike.plans import tables
 from lookalike.sources import corpora, documents as files, manifest as manifests
@@ -259,7 +260,7 @@ def tfidf_pair_decision(t: Inputs) -> DataFrame:
 
 @query
 def text_tree_nodes(t: Inputs) -> DataFrame:
-    return trees.text_tree_nodes(t.documents)
+    return trees.text_tree_nodes(dealt(t.documents.select("doc_id", "text")))
 
 
 @query
@@ -395,7 +396,7 @@ def roc_auc(t: Inputs) -> DataFrame:
 
 @query
 def corpus_tfidf_top(t: Inputs) -> DataFrame:
-    weighted = corpus_tfidf(t.documents, ["doc_id"], F.col("text"))
+    weighted = corpus_tfidf(dealt(t.documents.select("doc_id", "text")), ["doc_id"], F.col("text"))
     return weighted.select("doc_id", "gram", "tf", "df", rounded("weight"))
 
 
@@ -405,7 +406,7 @@ def _training_texts(t: Inputs) -> DataFrame:
     both = pair_texts(split.select(*PAIR).distinct(), t.documents)
     joint = both.select(*PAIR, pair_text(F.col("text1"), F.col("text2")).alias("text"))
     texts = split.join(joint, PAIR).select(*MANIFEST_KEY, "label", "split", "text")
-    return written(texts, "training-texts")
+    return written(texts.repartition(shuffle_tasks(texts), *MANIFEST_KEY), "training-texts")
 
 
 def _fitted(t: Inputs, optimize: bool = False) -> tuple[PairClassifier, DataFrame]:

@@ -21,6 +21,7 @@ UNRELATED_FORMAT = "graded/case-%02d/non-plagiarized/%d/%d.java"
 COPIED_FORMAT = "graded/case-%02d/plagiarized/L%d/%d/%d.java"
 CONTEST_FORMAT = "contest/%s/%s.java"
 LEVELS = 6
+PROBLEMS = 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,28 +29,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def star(members: DataFrame, group: str) -> DataFrame:
-    """``(doc1, source1, doc2)``: each member of a group with its first one and that one's source.
+    """``(group, doc1, doc2)``: each member of a group with its first one.
 
     The first members come from a partial aggregation and are joined back with
     heavy groups spread out, so a group may hold any share of the rows.
     """
-    first = F.min(F.struct("doc_id", "source"))
-    firsts = members.groupBy(group).agg(first.alias("first")).select(
-        group, F.col("first.doc_id").alias("doc1"), F.col("first.source").alias("source1")
-    )
-    met = spread_join(members.select("doc_id", group), firsts, [group], ["doc_id"])
-    return met.where(F.col("doc_id") != F.col("doc1")).select(
-        "doc1", "source1", F.col("doc_id").alias("doc2")
-    )
+    firsts = members.groupBy(group).agg(F.min("doc_id").alias("doc1"))
+    met = spread_join(members, firsts, [group], ["doc_id"])
+    return met.where(F.col("doc_id") != F.col("doc1")).select(group, "doc1", F.col("doc_id").alias("doc2"))
 
 
 def source_number(source: str) -> Column:
     return F.regexp_extract(source, r"(\d+)", 1).try_cast("int")
 
 
+def problem_number() -> Column:
+    """Contest problem of a pair, by its first document."""
+    return F.pmod("doc1", F.lit(PROBLEMS)).cast("int")
+
+
 def case_pairs(documents: DataFrame) -> DataFrame:
-    """``doc1, source1, doc2`` of the graded corpus; both documents share the source."""
-    return star(documents.select("doc_id", "source", F.col("source").alias("case")), "case")
+    """``source, doc1, doc2`` of the graded corpus."""
+    return star(documents.select("doc_id", "source"), "source")
 
 
 def longest_line(text: Column) -> Column:
@@ -59,14 +60,14 @@ def longest_line(text: Column) -> Column:
 
 
 def copy_pairs(documents: DataFrame) -> DataFrame:
-    """``doc1, source1, doc2`` of the contest corpus."""
+    """``doc1, doc2`` of the contest corpus."""
     line_key = F.sha2(longest_line(F.col("text")), 256).alias("line_key")
-    return star(documents.select("doc_id", "source", line_key), "line_key")
+    return star(documents.select("doc_id", line_key), "line_key").select(*PAIR)
 
 
 def all_pairs(documents: DataFrame) -> DataFrame:
     """The pairs of both corpora, each once."""
-    return case_pairs(documents).unionByName(copy_pairs(documents)).select(*PAIR).distinct()
+    return case_pairs(documents).select(*PAIR).unionByName(copy_pairs(documents)).distinct()
 
 
 def labelled_pairs(documents: DataFrame, labels: DataFrame) -> DataFrame:
@@ -74,17 +75,16 @@ def labelled_pairs(documents: DataFrame, labels: DataFrame) -> DataFrame:
     verdicts = labels.select(F.col("doc_id").alias("doc2"), F.col("quality").alias("label"))
     copied = F.col("label") == 1
     level = F.concat(F.lit("level_"), (F.pmod("doc2", F.lit(LEVELS)) + 1).cast("string"))
-    number = source_number("source1")
     graded = case_pairs(documents).join(verdicts, "doc2").select(
         F.lit("ir_plag").alias("source_dataset"),
-        F.format_string("c%02d", number).alias("case_id"),
+        F.format_string("c%02d", source_number("source")).alias("case_id"),
         *PAIR,
         "label",
         F.when(copied, level).otherwise("none").alias("plagiarism_level"),
     )
     contest = copy_pairs(documents).join(verdicts, "doc2").select(
         F.lit("conplag").alias("source_dataset"),
-        F.format_string("p%02d", number).alias("case_id"),
+        F.format_string("p%02d", problem_number()).alias("case_id"),
         *PAIR,
         "label",
         F.when(copied, "contest_level").otherwise("none").alias("plagiarism_level"),
@@ -95,8 +95,7 @@ def labelled_pairs(documents: DataFrame, labels: DataFrame) -> DataFrame:
 def host_pairs(pages: DataFrame) -> DataFrame:
     """Every page against the first page of its host."""
     host = F.regexp_extract("url", r"^[a-z]+://([^/?#]+)", 1).alias("host")
-    members = pages.select(F.col("page_id").alias("doc_id"), F.col("url").alias("source"), host)
-    return star(members, "host").select(*PAIR)
+    return star(pages.select(F.col("page_id").alias("doc_id"), host), "host").select(*PAIR)
 
 
 # --- the same corpora as file listings -------------------------------------------
@@ -121,7 +120,7 @@ def graded_listing(documents: DataFrame, labels: DataFrame) -> DataFrame:
     original_files = originals.select(
         F.format_string(ORIGINAL_FORMAT, source_number("source"), F.col("doc_id")).alias("path"), "doc_id"
     )
-    number = source_number("source1")
+    number = source_number("source")
     versions = case_pairs(documents).join(
         labels.select(F.col("doc_id").alias("doc2"), F.col("quality").alias("label")), "doc2"
     )
@@ -149,10 +148,9 @@ def contest_labels(documents: DataFrame, labels: DataFrame) -> DataFrame:
     """Raw label rows of the contest folders. Each key comes twice; the later row has the verdict."""
     verdicts = labels.select(F.col("doc_id").alias("doc2"), "quality", "toxic")
     rows = copy_pairs(documents).join(verdicts, "doc2").withColumn("folder", contest_folder())
-    number = F.pmod("doc1", F.lit(20)).cast("int")
     lines = F.array(
         F.struct(F.col("toxic").alias("verdict"), F.lit(1).alias("line_order")),
         F.struct(F.col("quality").alias("verdict"), F.lit(2).alias("line_order")),
     )
     names = F.split("folder", "_", 2)
-    return rows.select(names[0].alias("sub1"), names[1].alias("sub2"), number.alias("problem"), F.inline(lines))
+    return rows.select(names[0].alias("sub1"), names[1].alias("sub2"), problem_number().alias("problem"), F.inline(lines))

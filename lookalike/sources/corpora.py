@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lookalike.operators.numbering import number_rows, range_bucket
-from lookalike.operators.skew import spread_join
+from lookalike.operators.skew import key_profile, spread_join
 from lookalike.sources.documents import COMPARED_FILE, ORIGINAL_FILE, SOURCE_SUFFIX
 from lookalike.sources.manifest import MANIFEST_COLUMNS
 
@@ -72,7 +72,7 @@ def graded_pairs(files: DataFrame) -> DataFrame:
     )
     versions = graded_versions(files)
     numbered = number_versions(versions).withColumnRenamed("path", "path2")
-    met = spread_join(numbered, originals, ["case_orig"], ["level", "version"], count_in=versions)
+    met = spread_join(numbered, originals, ["case_orig"], ["level", "version"], profile=key_profile(versions, ["case_orig"]))
     case_id = F.format_string(CASE_FORMAT, F.col("case_number"))
     unrelated = F.col("level") == 0
     folder = F.when(
