@@ -37,10 +37,12 @@ def read_documents(spark: SparkSession, root: str, pattern: str = SOURCE_PATTERN
         .option("recursiveFileLookup", True)
         .load(root)
     )
+    raw = F.col("content").cast("string")
     if strict:
-        text = F.try_validate_utf8(F.col("content").cast("string"))
+        text = F.try_validate_utf8(raw)
     else:
-        text = F.replace(F.make_valid_utf8(F.col("content").cast("string")), F.lit("�"), F.lit(""))
+        marked = F.make_valid_utf8(raw)
+        text = F.when(F.is_valid_utf8(raw), raw).otherwise(F.replace(marked, F.lit("\ufffd"), F.lit("")))
     return files.select(
         "path", folder_of(F.col("path")).alias("folder"), base_name(F.col("path")).alias("file"), text.alias("text")
     )
