@@ -37,6 +37,17 @@ def _group_key(groups: Sequence[str]) -> Column:
     return F.struct(*groups) if groups else F.lit(0)
 
 
+def _earlier_rows(counts: DataFrame, within: list[str], along: str) -> DataFrame:
+    """Add ``_shift``, the rows of earlier buckets, and ``_size``, those of all."""
+    whole = Window.partitionBy(*within)
+    before = whole.orderBy(along).rowsBetween(Window.unboundedPreceding, -1)
+    return counts.select(
+        "*",
+        F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_shift"),
+        F.sum("_rows").over(whole).alias("_size"),
+    )
+
+
 def number_rows(
     df: DataFrame,
     groups: Sequence[str],
@@ -44,21 +55,26 @@ def number_rows(
     order: Sequence[Column],
     name: str,
     size_name: str | None = None,
+    coarse: Column | None = None,
 ) -> DataFrame:
     """Add ``name``: 1, 2, 3... per group along ``order``, and the group size.
 
-    The rows are shuffled once, by group and bucket.
+    The rows are shuffled once, by group and bucket. When a group may have very
+    many buckets, ``coarse`` gives wider ones along the same order: buckets are
+    then summed inside a coarse bucket, and only coarse ones over the group.
     """
     keys = ["_group", "_bucket"]
     placed = df.withColumn("_group", _group_key(groups)).withColumn("_bucket", bucket)
-    counts = placed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
-    group = Window.partitionBy("_group")
-    before = group.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = counts.select(
-        *keys,
-        F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_shift"),
-        F.sum("_rows").over(group).alias("_size"),
-    )
+    if coarse is None:
+        counts = placed.groupBy(*keys).agg(F.count(F.lit(1)).alias("_rows"))
+        shifts = _earlier_rows(counts, ["_group"], "_bucket").drop("_rows")
+    else:
+        counts = placed.withColumn("_coarse", coarse).groupBy(*keys, "_coarse").agg(F.count(F.lit(1)).alias("_rows"))
+        inner = _earlier_rows(counts, ["_group", "_coarse"], "_bucket").withColumnRenamed("_shift", "_inner")
+        wide = counts.groupBy("_group", "_coarse").agg(F.sum("_rows").alias("_rows"))
+        outer = _earlier_rows(wide, ["_group"], "_coarse").drop("_rows")
+        both = inner.drop("_rows", "_size").join(outer, ["_group", "_coarse"])
+        shifts = both.select(*keys, (F.col("_inner") + F.col("_shift")).alias("_shift"), "_size")
     local = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
     joined = placed.withColumn("_local", local).join(shifts, keys)
     out = [*df.columns, (F.col("_local") + F.col("_shift")).alias(name)]

@@ -21,6 +21,9 @@ PAIR_FORMAT = "pair_%06d"
 UNRELATED_FORMAT = "%s_orig_np%02d"
 COPIED_FORMAT = "%s_orig_L%dv%02d"
 
+#: Values of ``order1`` that are summed together when pairs are numbered.
+FIRST_ORDERS = 4096
+
 
 def graded_versions(files: DataFrame) -> DataFrame:
     """Parse ``path`` into ``case_orig, case_number, level, version``; level 0 is unrelated work.
@@ -153,8 +156,8 @@ def contest_pairs(files: DataFrame, labels: DataFrame) -> DataFrame:
         F.lit("contest_submission_pair").alias("comparison_type"),
         "path1",
         "path2",
-        F.conv(F.substring(F.md5("folder_name"), 1, 8), 16, 10).cast("bigint").alias("order1"),
-        F.lit(0).cast("bigint").alias("order2"),
+        F.conv(F.substring(F.md5("folder_name"), 1, 4), 16, 10).cast("bigint").alias("order1"),
+        F.conv(F.substring(F.md5("folder_name"), 5, 4), 16, 10).cast("bigint").alias("order2"),
     )
 
 
@@ -169,9 +172,9 @@ def unify(*corpora: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
         rows = placed if rows is None else rows.unionByName(placed)
     # Corpus first, then order1; zero-padded text sorts like the numbers do.
     bucket = F.format_string("%03d-%016d-%016d", "_corpus", "order1", range_bucket(F.col("order2")))
-    numbered = number_rows(
-        rows, [], bucket, [F.col("_corpus"), F.col("order1"), F.col("order2"), F.col("folder_name")], "_number"
-    )
+    coarse = F.format_string("%03d-%016d", "_corpus", range_bucket(F.col("order1"), FIRST_ORDERS))
+    order = [F.col(c) for c in ("_corpus", "order1", "order2", "folder_name")]
+    numbered = number_rows(rows, [], bucket, order, "_number", coarse=coarse)
     named = numbered.withColumn("pair_id", F.format_string(PAIR_FORMAT, F.col("_number")))
     return named.select(*MANIFEST_COLUMNS, *extra)
 

@@ -24,7 +24,11 @@ def test_number_rows_equals_a_window(spark):
     got = number_rows(df, ["g"], range_bucket(F.col("v"), 50), [F.col("v")], "n", "size")
     w = Window.partitionBy("g")
     wanted = df.select("*", F.row_number().over(w.orderBy("v")).alias("n"), F.count("*").over(w).alias("size"))
-    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, map(tuple, wanted.collect())))
+    want = sorted(map(repr, map(tuple, wanted.collect())))
+    assert sorted(map(repr, map(tuple, got.collect()))) == want
+    wide = range_bucket(F.col("v"), 300)
+    got = number_rows(df, ["g"], range_bucket(F.col("v"), 50), [F.col("v")], "n", "size", coarse=wide)
+    assert sorted(map(repr, map(tuple, got.collect()))) == want
 
 
 def test_split_sizes_use_float_floor(spark):
