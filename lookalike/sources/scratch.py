@@ -11,11 +11,16 @@ from pyspark.sql import DataFrame, SparkSession
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder the cluster names in ``spark.checkpoint.dir``.
 
-    Only a session without that setting, such as a test's, uses a local folder.
+    A session in one process (master ``local``), such as a test's, may do
+    without that setting and gets a folder of its own. On a cluster executors
+    would not see each other's files there, so the setting is required.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
-    root = shared or tempfile.mkdtemp(prefix="lookalike-")
-    return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if not shared:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="lookalike-")
+    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
