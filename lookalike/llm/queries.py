@@ -4,16 +4,33 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lookalike.llm import decontaminate, embedding_dedup, language_id, license_scan, mixture, simhash_dedup
+from lookalike.llm import (
+    decontaminate,
+    embedding_dedup,
+    language_id,
+    license_scan,
+    mixture,
+    simhash_dedup,
+    token_files,
+)
 from lookalike.llm.common import table
 
 
+#: The vocabulary file of the queries that count or write tokens.
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.licenses(table(spark, sf_dir, "documents"))
 
 
+def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.token_files(table(spark, sf_dir, "documents"), TOKENIZER)
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
