@@ -14,6 +14,7 @@ from lookalike.llm import (
     license_scan,
     mixture,
     simhash_dedup,
+    suffix_dedup,
     token_files,
 )
 from lookalike.llm.common import table
@@ -23,6 +24,11 @@ from lookalike.llm.common import table
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.without_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.licenses(table(spark, sf_dir, "documents"))
 
