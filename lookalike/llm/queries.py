@@ -5,13 +5,15 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lookalike.llm import (
     decontaminate,
+    edit_counts,
     embedding_dedup,
     language_id,
     license_scan,
+    maxent_lm,
     mixture,
     simhash_dedup,
     suffix_dedup,
@@ -49,6 +51,10 @@ def op6_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.simhash_components(table(spark, sf_dir, "documents"))
 
 
+def op7_maxent_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return maxent_lm.log_likelihoods(table(spark, sf_dir, "documents"))
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     profiles = language_id.learn(docs.where(~language_id.held_out()))
@@ -56,6 +62,13 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predicted.select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op9_edit_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    revised = docs.select("doc_id", "text", edit_counts.revision(F.col("text"), F.col("doc_id")).alias("edits"))
+    found = edit_counts.recounted(edit_counts.token_trees(revised, TOKENIZER), TOKENIZER)
+    return found.drop("chars", "tokens")
+
+
 def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
 
