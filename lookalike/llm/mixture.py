@@ -186,9 +186,10 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     not by a seeded draw with that probability, so texts stay whole and the
     sources' shares hold on average.
     """
-    taken = mix(docs).where("size > 0").select("doc_id", (F.col("taken") / F.col("size")).alias("_times"))
+    times, copy = (next(n for n in (base + "_" * i for i in range(99)) if n not in docs.columns) for base in ("_times", "_copy"))
+    taken = mix(docs).where("size > 0").select("doc_id", (F.col("taken") / F.col("size")).alias(times))
     draw = F.pmod(_seeded("doc_id", F.lit("draw")), F.lit(1 << 30)) / float(1 << 30)
-    times = taken.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.floor(F.col("_times") + draw)).alias("_times"))
-    joined = docs.join(times.where("_times > 0"), "doc_id")
-    copies = joined.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int"))))
-    return copies.select(*docs.columns)
+    whole = taken.groupBy("doc_id").agg(F.max(F.floor(F.col(times) + draw)).cast("int").alias(times)).where(F.col(times) > 0)
+    whole = whole.withColumnRenamed("doc_id", copy)
+    joined = docs.join(whole, docs["doc_id"].eqNullSafe(whole[copy])).drop(whole[copy])
+    return joined.withColumn(copy, F.explode(F.sequence(F.lit(1), times))).select(*docs.columns)
