@@ -19,9 +19,9 @@ carries on only what is not settled:
    share. A core that occurs once settles its windows as unique;
 4. a stretch that occurs twice with the bytes around its core is settled as
    repeated;
-5. the windows of one example of every different stretch left are named by core
-   and own bytes around it, and single stretches keep the windows whose name
-   occurs twice.
+5. where different stretches share a core, the windows of one example of each
+   are named by core and own bytes around it, and single stretches keep the
+   windows whose name occurs twice.
 
 Groups are only counted, never listed, and counts are aggregated before the
 shuffle, so a passage that a third of all documents share is one row per task.
@@ -252,13 +252,18 @@ def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     kinds = cut.join(cores, core, "left_semi").groupBy(*core, *around).agg(F.count(F.lit(1)).alias("n"), example)
     kinds = written(kinds, "suffix-kinds")
     alike = cut.join(kinds.where("n > 1").select(*core, *around), [*core, *around], "left_semi").where("least <= most")
+    # Only where a single stretch and another one share a core can windows still be unsettled.
+    open_cores = kinds.groupBy(*core).agg(F.count_if(F.col("n") == 1).alias("single"), F.count(F.lit(1)).alias("kinds"))
+    open_cores = open_cores.where("single > 0 and kinds > 1").select(*core)
+    examples = kinds.where("least <= most").join(open_cores, core, "left_semi").select("*", "example.*")
     i, full = F.col("i"), STRETCH - 1
-    name = F.concat(F.substring("left", full + 1 - i, i), F.substring("right", F.lit(1), full - i)).alias("name")
-    examples = kinds.where("least <= most").select(*core, "n", "example.*", *around, F.explode(F.sequence("least", "most")).alias("i"))
-    named = examples.select(*core, "n", *doc, "i", (F.col("first") - i).alias("start"), name)
-    window = [*core, "i", "name"]
+    bytes_around = F.concat(F.substring("left", full + 1 - i, i), F.substring("right", F.lit(1), full - i))
+    named = examples.select("*", F.explode(F.sequence("least", "most")).alias("i")).select(
+        "core", F.xxhash64("owner", "nth", "i", bytes_around).alias("name"), "n", *doc, (F.col("first") - i).alias("start")
+    )
+    window = ["core", "name"]
     twice = named.groupBy(*window).agg(F.count(F.lit(1)).alias("times")).where("times > 1").select(*window)
-    single = named.where("n = 1").join(twice, window, "left_semi")
+    single = named.where("n = 1").select(*window, *doc, "start").join(twice, window, "left_semi")
     whole = found.join(distinct.where("n > 1").select("owner", "run"), ["owner", "run"], "left_semi")
 
     spans = (
