@@ -137,7 +137,8 @@ def learn(rows: DataFrame, size: int = PROFILE_SIZE, sample: int = SAMPLE_PER_LA
     found = top.select("lang", "code", (F.col("rank") - 1).alias("rank")).toPandas()
     languages = tuple(sorted(found["lang"].unique()))
     codes = np.unique(found["code"].to_numpy(np.int64))
-    ranks = np.full((len(codes), len(languages)), size, np.int64)
+    # Beyond any rank, so that the distance to it is the penalty.
+    ranks = np.full((len(codes), len(languages)), 2 * size, np.int64)
     column = {lang: j for j, lang in enumerate(languages)}
     ranks[np.searchsorted(codes, found["code"]), [column[x] for x in found["lang"]]] = found["rank"]
     return Profiles(languages, codes, ranks, size)

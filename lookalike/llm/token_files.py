@@ -4,7 +4,7 @@ Texts are range-partitioned by ``doc_id`` and encoded in that order; each task
 writes one file, and files follow each other in document order. A file is cut
 into blocks of ``BLOCK_IDS`` ids, coded by :mod:`range_coder`, which start afresh,
 so any block can be read alone. The format is a Parquet row per block: ``file``,
-``block``, ``n_ids``, the ``payload``, the crc32 of the payload and of its ids, and
+``block``, ``first_id`` (ids of the file before it), ``n_ids``, the ``payload``, the crc32 of the payload and of its ids, and
 an index of the documents in it (``row`` in the file, ``doc_id``, first id, number
 of ids, whether the document ends here). A block that does not match its
 checksums stops the reader.
@@ -48,7 +48,7 @@ _SOLID = "!-~À-ɏ"
 _SPLIT = re.compile(f"(?<=[{_SOLID}]) (?=[{_SOLID}])")
 
 BLOCK_SCHEMA = (
-    "file int, block int, n_ids int, ids_crc32 long, payload_crc32 long, payload binary, "
+    "file int, block int, first_id long, n_ids int, ids_crc32 long, payload_crc32 long, payload binary, "
     "docs array<struct<row:long,doc_id:long,first:int,n:int,ends:boolean>>"
 )
 
@@ -86,25 +86,26 @@ def _encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def _coded(file: int, block: int, ids: np.ndarray, docs: list) -> Iterator[pa.RecordBatch]:
+def _coded(file: int, block: int, ids: np.ndarray, docs: list, block_ids: int) -> Iterator[pa.RecordBatch]:
     """The blocks of ``ids``; the last may be short. ``docs``: (row, doc_id, first, n, ends) of pieces."""
-    whole, rest = divmod(len(ids), BLOCK_IDS)
-    sizes = np.array([BLOCK_IDS] * whole + [rest] * (rest > 0))
-    padded = np.zeros((len(sizes), BLOCK_IDS), np.uint16)
+    whole, rest = divmod(len(ids), block_ids)
+    sizes = np.array([block_ids] * whole + [rest] * (rest > 0))
+    padded = np.zeros((len(sizes), block_ids), np.uint16)
     padded.ravel()[: len(ids)] = ids
     payloads = range_coder.encode(padded, sizes)
     names = ["row", "doc_id", "first", "n", "ends"]
     by_block: list[list] = [[] for _ in sizes]
     for row, doc_id, first, n, ends in docs:
         while n:
-            b, at = divmod(first, BLOCK_IDS)
-            here = min(n, BLOCK_IDS - at)
+            b, at = divmod(first, block_ids)
+            here = min(n, block_ids - at)
             by_block[b].append(dict(zip(names, (row, doc_id, at, here, ends and here == n))))
             first, n = first + here, n - here
     crcs = [zlib.crc32(padded[i, :size].astype("<u4").tobytes()) for i, size in enumerate(sizes)]
     columns = [
         [file] * len(sizes),
         range(block, block + len(sizes)),
+        range(block * block_ids, (block + len(sizes)) * block_ids, block_ids),
         sizes.tolist(),
         crcs,
         [zlib.crc32(p) for p in payloads],
@@ -112,17 +113,19 @@ def _coded(file: int, block: int, ids: np.ndarray, docs: list) -> Iterator[pa.Re
         by_block,
     ]
     piece = pa.struct(list(zip(names, (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()))))
-    types = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.list_(piece)]
-    fields = ["file", "block", "n_ids", "ids_crc32", "payload_crc32", "payload", "docs"]
+    types = [pa.int32(), pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.list_(piece)]
+    fields = ["file", "block", "first_id", "n_ids", "ids_crc32", "payload_crc32", "payload", "docs"]
     yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, types)], fields)
 
 
-def write_token_files(docs: DataFrame, tokenizer: str, path: str) -> None:
+def write_token_files(
+    docs: DataFrame, tokenizer: str, path: str, block_ids: int = BLOCK_IDS, lanes: int = LANES
+) -> None:
     """Encode ``docs (doc_id, text)`` and write the blocks to ``path``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, file, block, row = _encoder(tokenizer), TaskContext.get().partitionId(), 0, 0
-        group = LANES * BLOCK_IDS
+        group = lanes * block_ids
         held: list[np.ndarray] = []
         pieces: list = []
         size = 0
@@ -145,12 +148,12 @@ def write_token_files(docs: DataFrame, tokenizer: str, path: str) -> None:
                             pieces.append((row, doc_ids[j], size, len(part), done == len(ids)))
                             size += len(part)
                             if size == group:
-                                yield from _coded(file, block, np.concatenate(held), pieces)
-                                block, held, pieces, size = block + LANES, [], [], 0
+                                yield from _coded(file, block, np.concatenate(held), pieces, block_ids)
+                                block, held, pieces, size = block + lanes, [], [], 0
                         row += 1
                     texts, waiting = [], 0
         if size:
-            yield from _coded(file, block, np.concatenate(held), pieces)
+            yield from _coded(file, block, np.concatenate(held), pieces, block_ids)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     tie = F.xxhash64("text")
@@ -176,7 +179,7 @@ def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     raise ValueError(f"file {b['file']}, block {b['block']}: the ids are damaged")
                 for d in b["docs"]:
                     crc = zlib.crc32(raw[4 * d["first"] : 4 * (d["first"] + d["n"])])
-                    at = b["block"] * BLOCK_IDS + d["first"]
+                    at = b["first_id"] + d["first"]
                     for column, value in zip(columns, (b["file"], d["row"], d["doc_id"], at, d["n"], d["ends"], crc)):
                         column.append(value)
             types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.int64()]
@@ -242,8 +245,10 @@ def read_token_files(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def token_files(docs: DataFrame, tokenizer: str) -> DataFrame:
+def token_files(
+    docs: DataFrame, tokenizer: str, block_ids: int = BLOCK_IDS, lanes: int = LANES
+) -> DataFrame:
     """Write ``docs`` to a scratch folder and read the digest of every document back."""
     path = scratch_path(docs.sparkSession, "token-files")
-    write_token_files(docs, tokenizer, path)
+    write_token_files(docs, tokenizer, path, block_ids, lanes)
     return read_token_files(docs.sparkSession, path)
