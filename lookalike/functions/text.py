@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 # Patterns that decide what counts as a comment and as a word.
 LINE_COMMENT = r"//[^\n]*\n"
 BLOCK_COMMENT = r"(?s)/\*.*?\*/"
-BLANKS = r"\s+"
+BLANKS = r"[\t-\r\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
 WORD = r"[\p{L}\p{N}_]+"
 PAIR_MARKER = " [SEP] "
 

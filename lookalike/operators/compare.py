@@ -7,8 +7,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from lookalike.operators.metrics import confusion_counts, with_scores
 from lookalike.operators.pairs import PAIR, pair_sides
 from lookalike.operators.structure import (
-    ALL,
     COMPARISON_THRESHOLD,
+    ONCE,
     matches_from_sides,
     text_shapes,
     with_structure_score,
@@ -23,7 +23,7 @@ def decide(score: Column, threshold: float) -> Column:
     return (score >= F.lit(threshold)).cast("int")
 
 
-def score_both(pairs: DataFrame, documents: DataFrame, leaf_rule: str = ALL) -> DataFrame:
+def score_both(pairs: DataFrame, documents: DataFrame, leaf_rule: str = ONCE) -> DataFrame:
     """Both similarities of each pair of texts.
 
     The texts meet their pairs once; both scorers then work on the same

@@ -2,52 +2,39 @@
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import Column, DataFrame, functions as F
-
-from lookalike.operators.skew import key_profile, shuffle_tasks, spread_join
+from pyspark.sql import DataFrame, functions as F
 
 #: The two columns that identify a pair.
 PAIR = ["doc1", "doc2"]
 
-#: Pair sides per task, at most. A text grows tenfold when it is cut into
-#: n-grams, so the number of tasks follows the pairs and is stated: adaptive
-#: execution would merge partitions by their size before that.
-SIDES_PER_TASK = 50_000
-
-
-
 
 def pair_sides(pairs: DataFrame, documents: DataFrame, payload: list[str]) -> DataFrame:
     """``(doc1, doc2, side, *payload)``: one row per pair side that exists.
 
     Each document is shuffled once to meet its pairs, then the sides are
     shuffled by pair, so everything computed per pair afterwards is local.
-    ``pairs`` must not repeat a pair.
+    ``pairs`` must not repeat a pair. A document with very many pairs makes a
+    large partition of pair sides; the shuffle after the join lets adaptive
+    execution split it.
     """
     ends = F.array(
         F.struct(F.lit(1).alias("side"), F.col("doc1").alias("doc_id")),
         F.struct(F.lit(2).alias("side"), F.col("doc2").alias("doc_id")),
     )
     sides = pairs.select(*PAIR, F.inline(ends))
-    profile = key_profile(sides, ["doc_id"])
-    met = spread_join(
-        sides, documents.select("doc_id", *payload), ["doc_id"], [*PAIR, "side"], profile=profile
-    )
-    tasks = max(shuffle_tasks(pairs), math.ceil(profile.rows / SIDES_PER_TASK))
+    met = sides.join(documents.select("doc_id", *payload), "doc_id")
     # In this order the shuffle differs from one that made ``pairs`` distinct.
     # Spark would otherwise drop it for that one, whose few small partitions of
     # ids adaptive execution has merged by then.
-    return met.select(*PAIR, "side", *payload).repartition(tasks, "doc2", "doc1")
+    return met.select(*PAIR, "side", *payload).repartition("doc2", "doc1")
 
 
 def pair_texts(pairs: DataFrame, documents: DataFrame) -> DataFrame:
     """``(doc1, doc2, text1, text2)`` of the pairs whose documents both exist."""
     sides = pair_sides(pairs, documents, ["text"])
 
-    def text_of(side: int) -> Column:
-        return F.max(F.when(F.col("side") == side, F.col("text")))
+    def texts(side: int) -> DataFrame:
+        return sides.where(F.col("side") == side).select(*PAIR, F.col("text").alias(f"text{side}"))
 
-    both = sides.groupBy(*PAIR).agg(text_of(1).alias("text1"), text_of(2).alias("text2"))
+    both = texts(1).join(texts(2), PAIR)
     return both.where(F.col("text1").isNotNull() & F.col("text2").isNotNull())

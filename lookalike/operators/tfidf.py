@@ -8,7 +8,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from lookalike.functions.text import NO_GRAM, explode_grams, strip_comments
 from lookalike.operators.pairs import PAIR, pair_sides
-from lookalike.operators.skew import shuffle_tasks
 
 # Default decision threshold and n-gram range.
 TFIDF_THRESHOLD = 0.45
@@ -24,7 +23,7 @@ def gram_counts(documents: DataFrame, key: list[str], text: Column, longest: int
     The texts are shuffled by key before they are cut, because their grams,
     even counted per task, are several times larger.
     """
-    placed = documents.select(*key, text.alias("_text")).repartition(shuffle_tasks(documents), *key)
+    placed = documents.select(*key, text.alias("_text")).repartition(*key)
     grams = explode_grams(placed, F.col("_text"), key, longest)
     return grams.groupBy(*key, "gram").agg(F.count(F.lit(1)).alias("tf"))
 

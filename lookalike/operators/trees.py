@@ -45,6 +45,7 @@ SENTENCE = r"[^.!?]+"
 # Markup: what is no element, what a tag looks like, elements without content.
 NOT_ELEMENTS = r"(?s)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>"
 TAG = r"</?[a-zA-Z][^>]*>"
+TAG_NAME = r"^</?([a-zA-Z][^\s/>]*)"
 VOID_TAGS = ("p", "b", "br", "meta", "img", "hr", "input", "link")
 TAG_VALUES = {"html": 200, "body": 100, "article": 60, "div": 50, "nav": 40, "ul": 30, "li": 20, "p": 15, "a": 10}
 
@@ -133,15 +134,29 @@ def text_tree_nodes(documents: DataFrame, key: Sequence[str] = ("doc_id",)) -> D
 
 
 def tag_tree(pages: DataFrame) -> DataFrame:
-    """Elements of marked-up pages: ``doc_id, position, depth, node_type``.
+    """Elements of marked-up pages: ``doc_id, position, depth, node_type, line_number``.
 
-    ``pages`` has ``doc_id, html``. An end tag closes the innermost open
+    ``pages`` has ``doc_id, html``; lines are counted after comments, scripts and
+    styles are taken out. An end tag closes the innermost open
     element whatever its name; elements of ``VOID_TAGS`` are leaves and their
     end tags are ignored; what is still open at the end closes there.
     """
     cleaned = F.regexp_replace("html", NOT_ELEMENTS, "")
-    tags = pages.select("doc_id", F.posexplode(F.regexp_extract_all(cleaned, F.lit(TAG), F.lit(0))).alias("seq", "tag"))
-    name = F.lower(F.regexp_extract("tag", r"^</?([a-zA-Z0-9]+)", 1))
+    found = F.regexp_extract_all(cleaned, F.lit(TAG), F.lit(0))
+    # The text before each tag; what follows the last one drops out with its NULL tag.
+    both = F.arrays_zip(found.alias("tag"), F.split(cleaned, TAG).alias("before"))
+    tags = pages.select("doc_id", F.posexplode(both).alias("seq", "both")).select(
+        "doc_id", "seq", "both.tag", "both.before"
+    )
+    tags = tags.where(F.col("tag").isNotNull())
+
+    def breaks(text: str) -> Column:
+        return F.length(text) - F.length(F.replace(F.col(text), F.lit("\n"), F.lit("")))
+
+    up_to_here = Window.partitionBy("doc_id").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    line = 1 + F.sum(breaks("before") + breaks("tag")).over(up_to_here) - breaks("tag")
+    tags = tags.withColumn("line_number", line.cast("int"))
+    name = F.lower(F.regexp_extract("tag", TAG_NAME, 1))
     is_end = F.col("tag").startswith("</")
     is_void = F.col("node_type").isin(*VOID_TAGS) | F.col("tag").endswith("/>")
     kinds = (
@@ -156,7 +171,7 @@ def tag_tree(pages: DataFrame) -> DataFrame:
     return (
         kinds.withColumn("depth", depth.cast("int"))
         .where(~F.col("is_end"))
-        .select("doc_id", (F.row_number().over(along) - 1).alias("position"), "depth", "node_type")
+        .select("doc_id", (F.row_number().over(along) - 1).alias("position"), "depth", "node_type", "line_number")
     )
 
 
@@ -170,20 +185,25 @@ def subtree_hashes(
 
     Depth may fall by any amount from row to row but grows by one at most. No
     recursion: a subtree is a run of rows, so its sum is a difference of
-    running sums. Every node becomes an open event and a close event at its
+    running sums. A tree with a column ``base`` or ``is_cut`` says itself what a node
+    counts and whether it cuts; a ``line_number`` is kept. Every node becomes an open event and a close event at its
     level, where it meets its partner, and a child event one level up. All
     windows share the partitioning by document, so there is one shuffle.
     """
     doc = Window.partitionBy("doc_id")
     running = doc.orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
-    is_cut = F.col("node_type").isin(*cutting) if cutting else F.lit(False)
+    own_cuts = "is_cut" in tree.columns
+    is_cut = F.col("is_cut") if own_cuts else F.col("node_type").isin(*cutting) if cutting else F.lit(False)
+    base = F.col("base").cast("bigint") if "base" in tree.columns else base_value(F.col("node_type"), values, other)
+    line = F.col("line_number") if "line_number" in tree.columns else F.lit(None).cast("int")
     rows = tree.select(
         "doc_id",
         "position",
         "depth",
         "node_type",
-        base_value(F.col("node_type"), values, other).alias("base"),
+        base.alias("base"),
         is_cut.alias("is_cut"),
+        line.alias("line_number"),
         F.lead("depth").over(doc.orderBy("position")).alias("next_depth"),
         F.min("depth").over(running).alias("top_depth"),
     ).withColumn("total", F.sum("base").over(running))
@@ -208,11 +228,11 @@ def subtree_hashes(
     ).select("*", "event.kind", "event.level")
     level = Window.partitionBy("doc_id", "level").orderBy("position", "part")
     level = level.rowsBetween(Window.unboundedPreceding, 0)
-    node = F.struct("position", "node_type", "depth", "base", "is_cut", "total", "children_before")
+    node = F.struct("position", "node_type", "depth", "base", "is_cut", "total", "children_before", "line_number")
     paired = events.withColumn(
         "children_before", F.sum((F.col("kind") == "child").cast("int")).over(level)
     ).withColumn("opened", F.last(F.when(F.col("kind") == "open", node), ignorenulls=True).over(level))
-    if cutting:
+    if cutting or own_cuts:
         paired = _totals_outside_cuts(paired)
     opened = F.col("opened")
     value = F.when(opened["is_cut"], opened["base"]).otherwise(
@@ -225,6 +245,7 @@ def subtree_hashes(
         opened["depth"].alias("depth"),
         (F.col("children_before") - opened["children_before"]).cast("int").alias("num_children"),
         value.alias("hash_value"),
+        opened["line_number"].alias("line_number"),
     )
 
 

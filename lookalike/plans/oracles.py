@@ -100,15 +100,24 @@ nodes AS (
   FROM placed_nodes)"""
 
 
-def tag_nodes(cutting: str = "('')") -> str:
+ODD_TAGS = """chr(10) || '<my-tag><x:y' || chr(10) || 'a=''1''></X:Y>' || chr(10) || chr(10) || '<h1 /></my-tag>'"""
+
+
+def tag_nodes(cutting: str = "false") -> str:
     """``nodes`` of the pages by comparing each element with all later ones of its page."""
     return rf"""
+cleaned AS (
+  SELECT page_id AS doc_id, regexp_replace(html || {ODD_TAGS},
+    '(?s)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>', '', 'g') AS html FROM pages),
+spots AS (
+  SELECT doc_id, seq, tag, string_split_regex(html, '</?[a-zA-Z][^>]*>')[seq] AS lead_in
+  FROM cleaned, unnest(regexp_extract_all(html, '</?[a-zA-Z][^>]*>')) WITH ORDINALITY AS u(tag, seq)),
 tags AS (
-  SELECT page_id AS doc_id, seq, tag, lower(regexp_extract(tag, '^</?([a-zA-Z0-9]+)', 1)) AS node_type,
-    starts_with(tag, '</') AS is_end
-  FROM pages, unnest(regexp_extract_all(
-    regexp_replace(html, '(?s)<!--.*?-->|<script\b.*?</script>|<style\b.*?</style>', '', 'g'),
-    '</?[a-zA-Z][^>]*>')) WITH ORDINALITY AS u(tag, seq)),
+  SELECT *, lower(regexp_extract(tag, '^</?([a-zA-Z][^\s/>]*)', 1)) AS node_type, starts_with(tag, '</') AS is_end,
+    1 + sum(length(lead_in || tag) - length(replace(lead_in || tag, chr(10), ''))) OVER (
+      PARTITION BY doc_id ORDER BY seq ROWS UNBOUNDED PRECEDING)
+      - (length(tag) - length(replace(tag, chr(10), ''))) AS line_number
+  FROM spots),
 kinds AS (
   SELECT *, node_type IN ('p', 'b', 'br', 'meta', 'img', 'hr', 'input', 'link') OR suffix(tag, '/>') AS is_void
   FROM tags),
@@ -117,31 +126,32 @@ deep AS (
       PARTITION BY doc_id ORDER BY seq ROWS UNBOUNDED PRECEDING) + CASE WHEN is_void THEN 1 ELSE 0 END AS depth
   FROM kinds WHERE NOT (is_end AND is_void)),
 elements AS (
-  SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY seq) - 1 AS position, depth, node_type,
+  SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY seq) - 1 AS position, depth, node_type, line_number,
     CASE node_type WHEN 'html' THEN 200 WHEN 'body' THEN 100 WHEN 'article' THEN 60 WHEN 'div' THEN 50
       WHEN 'nav' THEN 40 WHEN 'ul' THEN 30 WHEN 'li' THEN 20 WHEN 'p' THEN 15 WHEN 'a' THEN 10 ELSE 5 END AS base
   FROM deep WHERE NOT is_end),
 ends AS (
-  SELECT e.doc_id, e.position, e.depth, e.node_type, e.base,
+  SELECT e.doc_id, e.position, e.depth, e.node_type, e.base, e.line_number,
     coalesce(min(l.position), 1000000000) AS stop
   FROM elements e LEFT JOIN elements l
     ON l.doc_id = e.doc_id AND l.position > e.position AND l.depth <= e.depth
-  GROUP BY e.doc_id, e.position, e.depth, e.node_type, e.base),
+  GROUP BY e.doc_id, e.position, e.depth, e.node_type, e.base, e.line_number),
 hidden AS (
   SELECT o.doc_id, o.position AS root, x.position AS inner_position, bool_or(c.position IS NOT NULL) AS is_hidden
   FROM ends o
   JOIN elements x ON x.doc_id = o.doc_id AND x.position >= o.position AND x.position < o.stop
-  LEFT JOIN ends c ON c.doc_id = o.doc_id AND c.node_type IN {cutting}
+  LEFT JOIN ends c ON c.doc_id = o.doc_id AND ({cutting})
     AND c.position >= o.position AND c.position < x.position AND x.position < c.stop
   GROUP BY o.doc_id, o.position, x.position),
 nodes AS (
   SELECT o.doc_id, CAST(o.position AS INT) AS position, o.node_type, CAST(o.depth AS INT) AS depth,
+    CAST(o.line_number AS INT) AS line_number,
     CAST(count(*) FILTER (WHERE x.depth = o.depth + 1) AS INT) AS num_children,
     CAST(sum(CASE WHEN h.is_hidden THEN 0 ELSE x.base END) AS BIGINT) AS hash_value
   FROM ends o
   JOIN elements x ON x.doc_id = o.doc_id AND x.position >= o.position AND x.position < o.stop
   JOIN hidden h ON h.doc_id = o.doc_id AND h.root = o.position AND h.inner_position = x.position
-  GROUP BY o.doc_id, o.position, o.node_type, o.depth)"""
+  GROUP BY o.doc_id, o.position, o.node_type, o.depth, o.line_number)"""
 
 
 HOST_PAIRS = """
@@ -177,7 +187,8 @@ matches AS (
 DOC_IDS = "SELECT doc_id AS id FROM documents"
 PAGE_IDS = "SELECT page_id AS id FROM pages"
 
-COMPARED = f"""{LABELLED},{TFIDF},{TEXT_NODES},{match_subqueries("all", DOC_IDS)},
+def compared_by(leaf_rule: str) -> str:
+    return f"""{LABELLED},{TFIDF},{TEXT_NODES},{match_subqueries(leaf_rule, DOC_IDS)},
 compared AS (
   SELECT *, tfidf_prediction = label AS tfidf_correct, structure_prediction = label AS structure_correct,
     tfidf_prediction = label AND structure_prediction = label AS both_correct,
@@ -188,6 +199,12 @@ compared AS (
       CASE WHEN m.structure_similarity >= 0.45::DOUBLE THEN 1 ELSE 0 END AS structure_prediction
     FROM labelled l JOIN tfidf t USING (doc1, doc2) JOIN matches m USING (doc1, doc2)))"""
 
+
+COMPARED = compared_by("all")
+COMPARED_FIELDS = """source_dataset, doc1, doc2, label, round(tfidf_similarity, 6) AS tfidf_similarity,
+  round(structure_similarity, 6) AS structure_similarity, tfidf_prediction, structure_prediction,
+  tfidf_correct, structure_correct, both_correct, both_wrong"""
+
 SCORED = f"""{LABELLED},{TFIDF},
 scored AS (
   SELECT l.*, round(t.tfidf_similarity, 6) AS score,
@@ -267,7 +284,10 @@ ORACLES: dict[str, str] = {
     "normalize_text": rf"""
 SELECT page_id, trim(regexp_replace({UNCOMMENTED.format(
     "html || chr(10) || '// drop http://x.y' || chr(10) || 'keep /* a' || chr(10) || 'b */ tail /* open // end'"
-    " || chr(10) || 'last // stays'")}, '\s+', ' ', 'g')) AS normalized FROM pages""",
+    " || chr(10) || 'last // stays' || ' a' || chr(160) || 'b' || chr(8195) || ' c' || chr(8232) || chr(29)"
+    " || chr(12288) || 'd' || chr(8203) || 'e' || chr(11) || chr(133)")},
+  '[\t\n\x0b\x0c\r\x1c-\x20\x{{85}}\x{{a0}}\x{{1680}}\x{{2000}}-\x{{200a}}\x{{2028}}\x{{2029}}\x{{202f}}\x{{205f}}\x{{3000}}]+',
+  ' ', 'g'), ' ') AS normalized FROM pages""",
     "tokenize_counts": f"""
 SELECT doc_id, len(w) AS words, len(list_distinct(w)) AS distinct_words
 FROM (SELECT doc_id, {WORDS.format("text")} AS w FROM documents)""",
@@ -346,8 +366,10 @@ SELECT doc1, doc2, CASE WHEN tfidf_similarity >= 0.45 THEN 1 ELSE 0 END AS tfidf
     "text_tree_nodes": f"""WITH {TEXT_NODES}
 SELECT doc_id, position, node_type, num_children, hash_value, line_number FROM nodes""",
     "tag_tree_nodes": f"""WITH {tag_nodes()}
-SELECT doc_id, position, node_type, depth, num_children, hash_value FROM nodes""",
-    "tag_tree_cut": f"""WITH {tag_nodes("('ul')")} SELECT doc_id, position, hash_value FROM nodes""",
+SELECT doc_id, position, node_type, depth, num_children, hash_value, line_number FROM nodes""",
+    "tag_tree_cut": f"""WITH {tag_nodes("c.node_type = 'ul'")} SELECT doc_id, position, hash_value FROM nodes""",
+    "tag_tree_cut_some": f"""WITH {tag_nodes("c.node_type = 'ul' AND c.depth % 2 = 0")}
+SELECT doc_id, position, hash_value FROM nodes""",
     "structural_match_count": f"""WITH {HOST_PAIRS},{tag_nodes()},{match_subqueries("once", PAGE_IDS)}
 SELECT doc1, doc2, similar_nodes, nodes1, nodes2 FROM matches""",
     "structural_match_pairs": f"""WITH {HOST_PAIRS},{tag_nodes()},
@@ -366,10 +388,8 @@ SELECT doc1, doc2, round(structure_similarity, 6) AS structure_similarity,
 SELECT doc1, doc2, round(structure_similarity, 6) AS structure_similarity FROM matches""",
     "text_structural_score": f"""WITH {PAIRS},{TEXT_NODES},{match_subqueries("once", DOC_IDS)}
 SELECT doc1, doc2, similar_nodes, round(structure_similarity, 6) AS structure_similarity FROM matches""",
-    "compare_methods": f"""WITH {COMPARED}
-SELECT {KEY}, label, round(tfidf_similarity, 6) AS tfidf_similarity,
-  round(structure_similarity, 6) AS structure_similarity, tfidf_prediction, structure_prediction,
-  tfidf_correct, structure_correct, both_correct, both_wrong FROM compared""",
+    "compare_methods": f"WITH {COMPARED} SELECT {COMPARED_FIELDS} FROM compared",
+    "compare_methods_once": f"WITH {compared_by('once')} SELECT {COMPARED_FIELDS} FROM compared",
     "agreement": f"""WITH {COMPARED}
 SELECT count(*) AS pairs,
   round(avg(CAST(tfidf_correct AS INT)), 6) AS tfidf_accuracy,

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import cached_property
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -10,7 +11,6 @@ from lookalike.functions.text import normalize, pair_text, words
 from lookalike.operators import compare, metrics, splits, structure, trees
 from lookalike.operators.classify import PairClassifier, corpus_tfidf, run_summary
 from lookalike.operators.pairs import PAIR, pair_texts
-from lookalike.operators.skew import dealt, shuffle_tasks
 from lookalike.operators.tfidf import TFIDF_THRESHOLD, gram_counts, tfidf_similarity
 from lookalike.plans import tables
 from lookalike.sources import corpora, documents as files, manifest as manifests
@@ -18,6 +18,7 @@ from lookalike.sources.scratch import scratch_path, written
 
 DIGITS = 6
 MANIFEST_KEY = ["source_dataset", "doc1", "doc2"]
+ODD_TAGS = "\n<my-tag><x:y\na='1'></X:Y>\n\n<h1 /></my-tag>"
 
 
 def rounded(name: str) -> Column:
@@ -25,22 +26,36 @@ def rounded(name: str) -> Column:
 
 
 class Inputs:
-    """The given tables of one directory."""
+    """The given tables of one directory, each opened when it is first asked for."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
-        self.documents, self.labels, self.pages, self.benchmark = (
-            tables.table(spark, sf_dir, name) for name in ("documents", "labels", "pages", "benchmark")
-        )
-        self.html = self.pages.select(F.col("page_id").alias("doc_id"), "html")
+        self.sf_dir = sf_dir
+
+    @cached_property
+    def documents(self) -> DataFrame:
+        return tables.table(self.spark, self.sf_dir, "documents")
+
+    @cached_property
+    def labels(self) -> DataFrame:
+        return tables.table(self.spark, self.sf_dir, "labels")
+
+    @cached_property
+    def pages(self) -> DataFrame:
+        return tables.table(self.spark, self.sf_dir, "pages")
+
+    @cached_property
+    def html(self) -> DataFrame:
+        """Pages with a few elements of unusual names at their end."""
+        return self.pages.select(F.col("page_id").alias("doc_id"), F.concat("html", F.lit(ODD_TAGS)).alias("html"))
 
     def labelled(self) -> DataFrame:
         return tables.labelled_pairs(self.documents, self.labels)
 
-    def scored(self) -> DataFrame:
-        """Labelled pairs with both similarities."""
+    def scored(self, leaf_rule: str = structure.ALL) -> DataFrame:
+        """Labelled pairs with both similarities; trees of prose consist mostly of leaves."""
         labelled = self.labelled()
-        scores = compare.score_both(labelled.select(*PAIR).distinct(), self.documents)
+        scores = compare.score_both(labelled.select(*PAIR).distinct(), self.documents, leaf_rule)
         return labelled.join(scores, PAIR)
 
     def tfidf_scored(self) -> DataFrame:
@@ -90,8 +105,9 @@ def query(build: Callable[[Inputs], DataFrame]) -> Callable[[Inputs], DataFrame]
 
 @query
 def normalize_text(t: Inputs) -> DataFrame:
-    """Comments are appended first, because the raw pages hold none."""
+    """Comments and all sorts of white space are appended, because the raw pages hold none."""
     remarks = "\n// drop http://x.y\nkeep /* a\nb */ tail /* open // end\nlast // stays"
+    remarks += " a\u00a0b\u2003 c\u2028\x1d\u3000d\u200be\x0b\x85"
     text = normalize(F.concat("html", F.lit(remarks)))
     return t.pages.select("page_id", text.alias("normalized"))
 
@@ -260,7 +276,7 @@ def tfidf_pair_decision(t: Inputs) -> DataFrame:
 
 @query
 def text_tree_nodes(t: Inputs) -> DataFrame:
-    return trees.text_tree_nodes(dealt(t.documents.select("doc_id", "text")))
+    return trees.text_tree_nodes(t.documents.select("doc_id", "text"))
 
 
 @query
@@ -275,6 +291,15 @@ def tag_tree_cut(t: Inputs) -> DataFrame:
     return nodes.select("doc_id", "position", "hash_value")
 
 
+@query
+def tag_tree_cut_some(t: Inputs) -> DataFrame:
+    """The same trees, cut at some nodes of a type only: lists at even depths."""
+    tree = trees.tag_tree(t.html)
+    some = tree.withColumn("is_cut", (F.col("node_type") == "ul") & (F.col("depth") % 2 == 0))
+    nodes = trees.subtree_hashes(some, trees.TAG_VALUES)
+    return nodes.select("doc_id", "position", "hash_value")
+
+
 def _page_matches(t: Inputs, leaf_rule: str = structure.ONCE) -> DataFrame:
     return structure.structural_score(
         tables.host_pairs(t.pages), trees.tag_tree_nodes(t.html), t.html, leaf_rule
@@ -315,9 +340,8 @@ def text_structural_score(t: Inputs) -> DataFrame:
 # --- comparison and metrics -------------------------------------------------------------
 
 
-@query
-def compare_methods(t: Inputs) -> DataFrame:
-    compared = compare.with_decisions(t.scored())
+def _compared(t: Inputs, leaf_rule: str) -> DataFrame:
+    compared = compare.with_decisions(t.scored(leaf_rule))
     flags = ["tfidf_correct", "structure_correct", "both_correct", "both_wrong"]
     return compared.select(
         *MANIFEST_KEY,
@@ -330,6 +354,17 @@ def compare_methods(t: Inputs) -> DataFrame:
     )
 
 
+@query
+def compare_methods(t: Inputs) -> DataFrame:
+    return _compared(t, structure.ALL)
+
+
+@query
+def compare_methods_once(t: Inputs) -> DataFrame:
+    """Under the default rule, by which leaves match once."""
+    return _compared(t, structure.ONCE)
+
+
 @query
 def agreement(t: Inputs) -> DataFrame:
     row = compare.agreement(compare.with_decisions(t.scored()))
@@ -396,7 +431,7 @@ def roc_auc(t: Inputs) -> DataFrame:
 
 @query
 def corpus_tfidf_top(t: Inputs) -> DataFrame:
-    weighted = corpus_tfidf(dealt(t.documents.select("doc_id", "text")), ["doc_id"], F.col("text"))
+    weighted = corpus_tfidf(t.documents.select("doc_id", "text"), ["doc_id"], F.col("text"))
     return weighted.select("doc_id", "gram", "tf", "df", rounded("weight"))
 
 
@@ -406,7 +441,7 @@ def _training_texts(t: Inputs) -> DataFrame:
     both = pair_texts(split.select(*PAIR).distinct(), t.documents)
     joint = both.select(*PAIR, pair_text(F.col("text1"), F.col("text2")).alias("text"))
     texts = split.join(joint, PAIR).select(*MANIFEST_KEY, "label", "split", "text")
-    return written(texts.repartition(shuffle_tasks(texts), *MANIFEST_KEY), "training-texts")
+    return written(texts.repartition(*MANIFEST_KEY), "training-texts")
 
 
 def _fitted(t: Inputs, optimize: bool = False) -> tuple[PairClassifier, DataFrame]:

@@ -13,7 +13,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lookalike.operators.pairs import PAIR
-from lookalike.operators.skew import spread_join
 
 # Path formats of the file listing.
 ORIGINAL_FORMAT = "graded/case-%02d/Original/%d.java"
@@ -31,11 +30,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def star(members: DataFrame, group: str) -> DataFrame:
     """``(group, doc1, doc2)``: each member of a group with its first one.
 
-    The first members come from a partial aggregation and are joined back with
-    heavy groups spread out, so a group may hold any share of the rows.
+    The first members come from a partial aggregation. A group may hold any
+    share of the rows: the join back is a plain one, whose large partitions
+    adaptive execution splits.
     """
     firsts = members.groupBy(group).agg(F.min("doc_id").alias("doc1"))
-    met = spread_join(members, firsts, [group], ["doc_id"])
+    met = members.join(firsts, group)
     return met.where(F.col("doc_id") != F.col("doc1")).select(group, "doc1", F.col("doc_id").alias("doc2"))
 
 

@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lookalike.operators.numbering import number_rows, range_bucket
-from lookalike.operators.skew import key_profile, spread_join
 from lookalike.sources.documents import COMPARED_FILE, ORIGINAL_FILE, SOURCE_SUFFIX
 from lookalike.sources.manifest import MANIFEST_COLUMNS
 
@@ -29,7 +28,8 @@ def graded_versions(files: DataFrame) -> DataFrame:
     """Parse ``path`` into ``case_orig, case_number, level, version``; level 0 is unrelated work.
 
     One row per version folder with its first file by name. Other paths, and
-    folders whose name is no number, are skipped.
+    folders whose name is no number or one beyond 64 bits, are skipped; the
+    latter are in ``unnumbered_versions``.
     """
     path = F.col("path")
 
@@ -41,15 +41,30 @@ def graded_versions(files: DataFrame) -> DataFrame:
     level = F.when(path.rlike(UNRELATED_PATH), 0).otherwise(F.regexp_extract(path, COPIED_PATH, 3).try_cast("int"))
     versions = files.where(path.rlike(UNRELATED_PATH) | path.rlike(COPIED_PATH)).select(
         part(1).alias("case_orig"),
-        part(2).cast("int").alias("case_number"),
+        part(2).try_cast("int").alias("case_number"),
         level.alias("level"),
-        part(3).cast("bigint").alias("version"),
+        part(3).try_cast("bigint").alias("version"),
         "path",
     )
+    versions = versions.where(F.col("case_number").isNotNull() & F.col("version").isNotNull())
     keys = ["case_orig", "case_number", "level", "version"]
     return versions.groupBy(*keys).agg(F.min("path").alias("path"))
 
 
+def unnumbered_versions(files: DataFrame) -> DataFrame:
+    """Reject table: paths of versions whose case or version number is too large."""
+    path = F.col("path")
+    too_large = [
+        path.rlike(pattern)
+        & (
+            F.regexp_extract(path, pattern, 2).try_cast("int").isNull()
+            | F.regexp_extract(path, pattern, last).try_cast("bigint").isNull()
+        )
+        for pattern, last in ((UNRELATED_PATH, 3), (COPIED_PATH, 4))
+    ]
+    return files.where(too_large[0] | too_large[1]).select("path")
+
+
 def number_versions(versions: DataFrame) -> DataFrame:
     """Add ``version_number``: 1, 2, 3... per case and level in numeric order."""
     return number_rows(
@@ -75,7 +90,7 @@ def graded_pairs(files: DataFrame) -> DataFrame:
     )
     versions = graded_versions(files)
     numbered = number_versions(versions).withColumnRenamed("path", "path2")
-    met = spread_join(numbered, originals, ["case_orig"], ["level", "version"], profile=key_profile(versions, ["case_orig"]))
+    met = numbered.join(originals, "case_orig")
     case_id = F.format_string(CASE_FORMAT, F.col("case_number"))
     unrelated = F.col("level") == 0
     folder = F.when(
@@ -97,7 +112,8 @@ def graded_pairs(files: DataFrame) -> DataFrame:
         "path1",
         "path2",
         F.col("case_number").cast("bigint").alias("order1"),
-        (F.col("level").cast("bigint") * (1 << 40) + F.col("version")).alias("order2"),
+        F.col("level").cast("bigint").alias("order2"),
+        F.col("version").alias("order3"),
     )
 
 
@@ -158,22 +174,23 @@ def contest_pairs(files: DataFrame, labels: DataFrame) -> DataFrame:
         "path2",
         F.conv(F.substring(F.md5("folder_name"), 1, 4), 16, 10).cast("bigint").alias("order1"),
         F.conv(F.substring(F.md5("folder_name"), 5, 4), 16, 10).cast("bigint").alias("order2"),
+        F.lit(0).cast("bigint").alias("order3"),
     )
 
 
 def unify(*corpora: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
     """One manifest with ``pair_id`` numbered over all corpora in the given order.
 
-    Inside a corpus the order is ``order1, order2``, then the folder name.
+    Inside a corpus the order is ``order1, order2, order3``, then the folder name.
     """
     rows = None
     for place, corpus in enumerate(corpora):
         placed = corpus.withColumn("_corpus", F.lit(place))
         rows = placed if rows is None else rows.unionByName(placed)
     # Corpus first, then order1; zero-padded text sorts like the numbers do.
-    bucket = F.format_string("%03d-%016d-%016d", "_corpus", "order1", range_bucket(F.col("order2")))
-    coarse = F.format_string("%03d-%016d", "_corpus", range_bucket(F.col("order1"), FIRST_ORDERS))
-    order = [F.col(c) for c in ("_corpus", "order1", "order2", "folder_name")]
+    bucket = F.format_string("%03d-%019d-%019d-%019d", "_corpus", "order1", "order2", range_bucket(F.col("order3")))
+    coarse = F.format_string("%03d-%019d", "_corpus", range_bucket(F.col("order1"), FIRST_ORDERS))
+    order = [F.col(c) for c in ("_corpus", "order1", "order2", "order3", "folder_name")]
     numbered = number_rows(rows, [], bucket, order, "_number", coarse=coarse)
     named = numbered.withColumn("pair_id", F.format_string(PAIR_FORMAT, F.col("_number")))
     return named.select(*MANIFEST_COLUMNS, *extra)

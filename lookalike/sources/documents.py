@@ -41,8 +41,14 @@ def read_documents(spark: SparkSession, root: str, pattern: str = SOURCE_PATTERN
     if strict:
         text = F.try_validate_utf8(raw)
     else:
-        marked = F.make_valid_utf8(raw)
-        text = F.when(F.is_valid_utf8(raw), raw).otherwise(F.replace(marked, F.lit("\ufffd"), F.lit("")))
+        # A file may hold the replacement character itself; it is set aside while bad bytes are marked by it.
+        aside = raw
+        for old, new in (("\x01", "\x01a"), ("\ufffd", "\x01b")):
+            aside = F.replace(aside, F.lit(old), F.lit(new))
+        clean = F.replace(F.make_valid_utf8(aside), F.lit("\ufffd"), F.lit(""))
+        for old, new in (("\x01b", "\ufffd"), ("\x01a", "\x01")):
+            clean = F.replace(clean, F.lit(old), F.lit(new))
+        text = F.when(F.is_valid_utf8(raw), raw).otherwise(clean)
     return files.select(
         "path", folder_of(F.col("path")).alias("folder"), base_name(F.col("path")).alias("file"), text.alias("text")
     )

@@ -20,6 +20,8 @@ MANIFEST_SCHEMA = T.StructType(
     ]
 )
 MANIFEST_COLUMNS = MANIFEST_SCHEMA.fieldNames()
+#: What scoring a pair can do without.
+OPTIONAL_COLUMNS = ("case_id", "case_orig", "file1", "file2", "plagiarism_level", "source_dataset", "comparison_type")
 LABEL_SCHEMA = T.StructType(
     [
         T.StructField("sub1", T.StringType()),
@@ -28,28 +30,47 @@ LABEL_SCHEMA = T.StructType(
         T.StructField("verdict", T.IntegerType()),
     ]
 )
-PREDICTION_SCHEMA = "TrueLabel INT, Predicted INT, Probability DOUBLE"
+PREDICTION_SCHEMA = T.StructType(
+    [
+        T.StructField("TrueLabel", T.IntegerType()),
+        T.StructField("Predicted", T.IntegerType()),
+        T.StructField("Probability", T.DoubleType()),
+    ]
+)
 KNOWN_SOURCES = ("ir_plag", "conplag")
 
 
+def by_name(table: DataFrame, schema: T.StructType, optional: tuple[str, ...] = ()) -> DataFrame:
+    """The columns of ``schema``, found by name and cast; optional ones may be absent."""
+    missing = [f.name for f in schema if f.name not in table.columns and f.name not in optional]
+    if missing:
+        raise ValueError(f"missing columns: {', '.join(missing)}")
+    known = [f for f in schema if f.name in table.columns]
+    return table.select(*(F.col(f.name).try_cast(f.dataType).alias(f.name) for f in known))
+
+
 def read_manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Manifest CSV with header; ids stay strings. Parquet when the path says so."""
+    """Manifest CSV with header; ids stay strings. Parquet when the path says so.
+
+    Columns may stand in any order; those a pair can do without may be absent.
+    """
     if path.rstrip("/").endswith(".parquet"):
-        return spark.read.schema(MANIFEST_SCHEMA).parquet(path)
-    return spark.read.schema(MANIFEST_SCHEMA).option("header", True).csv(path)
+        return by_name(spark.read.parquet(path), MANIFEST_SCHEMA, OPTIONAL_COLUMNS)
+    return by_name(spark.read.option("header", True).csv(path), MANIFEST_SCHEMA, OPTIONAL_COLUMNS)
 
 
 def read_labels(spark: SparkSession, path: str) -> DataFrame:
     """Raw label CSV with ``line_order``, which sorts rows as they stand in the files."""
-    labels = spark.read.schema(LABEL_SCHEMA).option("header", True).csv(path)
     place = F.struct(
         F.col("_metadata.file_path"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()
     )
-    return labels.select("*", place.alias("line_order"))
+    labels = spark.read.option("header", True).csv(path).select("*", place.alias("line_order"))
+    named = T.StructType([*LABEL_SCHEMA.fields, labels.schema["line_order"]])
+    return by_name(labels, named)
 
 
 def read_predictions(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(PREDICTION_SCHEMA).option("header", True).csv(path)
+    return by_name(spark.read.option("header", True).csv(path), PREDICTION_SCHEMA)
 
 
 def known_sources(manifest: DataFrame, sources: tuple[str, ...] = KNOWN_SOURCES) -> DataFrame:

@@ -3,20 +3,18 @@ from pyspark.sql import Window, functions as F
 
 from lookalike.operators import compare, metrics, splits
 from lookalike.operators.numbering import number_rows, range_bucket
-from lookalike.operators.skew import key_profile, spread_join
+from lookalike.plans import tables
 from lookalike.sources import corpora, documents as files, manifest as manifests
 
 
-def test_spread_join_equals_plain_join_on_a_hot_key(spark):
-    left = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("k"), "id")
-    right = spark.range(3000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v")).where("k % 5 <> 1")
-    profile = key_profile(left, ["k"], heavy_rows=100)
-    assert profile.rows == 3000
-    assert [tuple(r) for r in profile.heavy.collect()] == [(0, 10)]
-    for how in ("inner", "left"):
-        spread = spread_join(left, right, ["k"], ["id"], how, profile)
-        plain = left.join(right, "k", how)
-        assert sorted(map(repr, spread.collect())) == sorted(map(repr, plain.collect()))
+@pytest.mark.parametrize("group", ["if(id % 10 > 0, 0, id)", "id % 4000", "id"])
+def test_star_with_one_hot_group_and_with_thousands(spark, group):
+    rows = spark.range(12_000).selectExpr(f"{group} AS g", "id AS doc_id")
+    first, expected = {}, set()
+    for r in rows.orderBy("doc_id").collect():
+        if first.setdefault(r.g, r.doc_id) != r.doc_id:
+            expected.add((r.g, first[r.g], r.doc_id))
+    assert {tuple(r) for r in tables.star(rows, "g").collect()} == expected
 
 
 def test_number_rows_equals_a_window(spark):
@@ -150,13 +148,58 @@ def test_graded_corpus_to_manifest(spark, tmp_path):
     assert back.schema == manifests.MANIFEST_SCHEMA and back.count() == 3
 
 
+def test_columns_are_found_by_name(spark, tmp_path):
+    (tmp_path / "m.csv").write_text("folder_name,pair_id,label\nf1,p1,1\n")
+    manifest = manifests.read_manifest(spark, str(tmp_path / "m.csv"))
+    assert manifest.columns == ["pair_id", "folder_name", "label"]
+    assert [tuple(r) for r in manifest.collect()] == [("p1", "f1", 1)]
+    assert manifests.known_sources(manifest).count() == 1
+    (tmp_path / "l.csv").write_text("problem,verdict,sub1,sub2\n19,1,a,b\n")
+    assert manifests.read_labels(spark, str(tmp_path / "l.csv")).first()[:4] == ("a", "b", 19, 1)
+    (tmp_path / "bad.csv").write_text("folder_name,label\nf1,1\n")
+    with pytest.raises(ValueError, match="pair_id"):
+        manifests.read_manifest(spark, str(tmp_path / "bad.csv"))
+    (tmp_path / "p.csv").write_text("Probability,TrueLabel,Predicted\n0.25,1,0\n")
+    assert [tuple(r) for r in manifests.read_predictions(spark, str(tmp_path / "p.csv")).collect()] == [(1, 0, 0.25)]
+
+
+def test_large_version_numbers(spark):
+    big = str(2**41)
+    paths = [
+        "case-01/Original/T.java", f"case-01/plagiarized/L1/{big}/A.java", "case-01/plagiarized/L2/3/A.java",
+        f"case-01/plagiarized/L1/{10**21}/A.java", "case-01/plagiarized/L1/7/A.java",
+    ]
+    files_ = spark.createDataFrame([(p,) for p in paths], "path STRING")
+    unified = corpora.unify(corpora.graded_pairs(files_)).orderBy("pair_id")
+    assert [r.folder_name for r in unified.collect()] == ["c01_orig_L1v01", "c01_orig_L1v02", "c01_orig_L2v01"]
+    assert [r.path for r in corpora.unnumbered_versions(files_).collect()] == [paths[3]]
+
+
+@pytest.mark.parametrize("scale, shift", [(1e-5, 0.5), (2e6, -1e6), (1.0, 0.0)])
+def test_roc_of_crowded_and_of_wide_scores(spark, scale, shift):
+    rows = [(int(i * 31 % 7 < 3), (i * 137 % 1009) / 1009 * scale + shift) for i in range(2000)]
+    df = spark.createDataFrame(rows, "label INT, score DOUBLE")
+    scores = sorted({s for _, s in rows})
+    at = {s: i for i, s in enumerate(scores)}
+    pos, neg = [0] * len(scores), [0] * len(scores)
+    for y, s in rows:
+        (pos if y else neg)[at[s]] += 1
+    below, wanted = 0, 0.0
+    for p, n in zip(pos, neg):
+        wanted += p * (below + n / 2)
+        below += n
+    assert abs(metrics.roc_auc(df).first().auc - wanted / sum(pos) / sum(neg)) < 1e-12
+    assert metrics.roc_curve(df, drop_collinear=False).count() == len(scores) + 1
+
+
 def test_read_documents_drops_bad_bytes(spark, tmp_path):
     folder = tmp_path / "a_b"
     folder.mkdir()
     (folder / "a.java").write_bytes("é ok".encode())
     (folder / "b.java").write_bytes(b"x\xffy")
     (folder / "c.txt").write_bytes(b"no")
+    (folder / "d.java").write_bytes("a\ufffdb\x01a\x01".encode() + b"\xff\xc3")
     got = {r.file: (r.folder, r.text) for r in files.read_documents(spark, str(tmp_path)).collect()}
-    assert got == {"a.java": ("a_b", "é ok"), "b.java": ("a_b", "xy")}
+    assert got == {"a.java": ("a_b", "é ok"), "b.java": ("a_b", "xy"), "d.java": ("a_b", "a\ufffdb\x01a\x01")}
     strict = files.read_documents(spark, str(tmp_path), strict=True)
-    assert [r.file for r in files.unreadable(strict).collect()] == ["b.java"]
+    assert sorted(r.file for r in files.unreadable(strict).collect()) == ["b.java", "d.java"]
