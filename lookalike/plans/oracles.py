@@ -484,3 +484,81 @@ raw AS (
     tf * (ln((1 + (SELECT count(*) FROM documents))::DOUBLE / (1 + df)) + 1) AS w
   FROM tf JOIN frequencies USING (gram))
 SELECT doc_id, gram, tf, df, round(w / sqrt(sum(w * w) OVER (PARTITION BY doc_id)), 6) AS weight FROM raw"""
+
+
+# --- classifier: the same regression solved in its dual form -----------------------------
+#
+# The minimum of the log losses' sum plus half the squared coefficients is a
+# combination of the training rows, so the coefficients are ``sum(a_i x_i)``. One
+# row of the recursion holds all ``a`` and the intercept; a step follows the
+# gradient. K is the matrix of the rows' products.
+
+LR_STEPS = 6000
+LR = rf"""{SPLIT},
+texts AS (
+  SELECT row_number() OVER (ORDER BY source_dataset, doc1, doc2) AS id, s.source_dataset, s.doc1, s.doc2, label, split,
+    regexp_extract_all(lower(a.text || ' [SEP] ' || b.text), '[\p{{L}}\p{{N}}_]+') AS w
+  FROM split_rows s JOIN documents a ON a.doc_id = s.doc1 JOIN documents b ON b.doc_id = s.doc2),
+text_grams AS (
+  SELECT id, split, unnest(w) AS gram FROM texts
+  UNION ALL
+  SELECT id, split, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) FROM texts
+  UNION ALL
+  SELECT id, split, unnest(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]))
+  FROM texts),
+text_tf AS (SELECT id, split, gram, count(*) AS tf FROM text_grams GROUP BY id, split, gram),
+terms AS (
+  SELECT gram, count(*) AS df FROM text_tf WHERE split = 'train' GROUP BY gram
+  ORDER BY sum(tf) DESC, len(string_split(gram, ' ')), gram LIMIT 5000),
+raw_features AS (
+  SELECT id, gram, tf * (ln((1 + (SELECT count(*) FROM texts WHERE split = 'train'))::DOUBLE / (1 + df)) + 1) AS v
+  FROM text_tf JOIN terms USING (gram)),
+features AS (SELECT id, gram, v / sqrt(sum(v * v) OVER (PARTITION BY id)) AS v FROM raw_features),
+train AS (SELECT id, row_number() OVER (ORDER BY id) AS nth, label FROM texts WHERE split = 'train'),
+products AS (
+  SELECT x.id, t.nth, sum(x.v * y.v) AS k FROM features y JOIN train t ON t.id = y.id JOIN features x ON x.gram = y.gram
+  GROUP BY x.id, t.nth),
+kernel AS (
+  SELECT i.id, list(coalesce(k, 0) ORDER BY t.nth) AS k
+  FROM texts i CROSS JOIN train t LEFT JOIN products p ON p.id = i.id AND p.nth = t.nth GROUP BY i.id),
+problem AS (
+  SELECT (SELECT list(k ORDER BY nth) FROM kernel JOIN train USING (id)) AS m,
+    (SELECT list(label::DOUBLE ORDER BY nth) FROM train) AS y, 1.9::DOUBLE / (count(*) / 4 + 1) AS pace FROM train),
+RECURSIVE_PLACE
+solved AS (SELECT a, b FROM steps ORDER BY step DESC LIMIT 1),
+predicted AS (
+  SELECT t.*, 1 / (1 + exp(-(list_dot_product(k, a) + b))) AS p FROM texts t JOIN kernel USING (id), solved)"""
+LR = LR.replace(
+    "RECURSIVE_PLACE",
+    f"""steps(step, a, b) AS (
+  SELECT 0, list_transform(y, lambda x: 0::DOUBLE), 0::DOUBLE FROM problem
+  UNION ALL
+  SELECT step + 1,
+    list_transform(list_zip(a, gap), lambda z: z[1] - pace * (z[2] + z[1])), b - pace * list_sum(gap)
+  FROM (
+    SELECT step, a, b, pace,
+      list_transform(list_zip(m, y), lambda r: 1 / (1 + exp(-(list_dot_product(r[1], a) + b))) - r[2]) AS gap
+    FROM steps, problem WHERE step < {LR_STEPS})),""",
+)
+PREDICTION = "label AS TrueLabel, CAST(p > 0.5 AS INT) AS Predicted, round(p, 4) AS Probability"
+ORACLES["lr_predictions"] = f"WITH RECURSIVE {LR} SELECT {KEY}, split, {PREDICTION} FROM predicted WHERE split <> 'train'"
+ORACLES["model_roundtrip"] = f"WITH RECURSIVE {LR} SELECT {KEY}, {PREDICTION} FROM predicted WHERE split = 'test'"
+ORACLES["feature_importance"] = f"""WITH RECURSIVE {LR},
+coefficients AS (
+  SELECT gram, sum(v * a[t.nth]) AS c FROM features JOIN train t USING (id), solved GROUP BY gram),
+ranks AS (
+  SELECT *, row_number() OVER (PARTITION BY sign(c) ORDER BY abs(c) DESC, gram) AS rank_in_sign
+  FROM coefficients WHERE c <> 0)
+SELECT gram AS feature, round(c, 4) AS coefficient, round(abs(c), 4) AS abs_coefficient, rank_in_sign
+FROM ranks WHERE rank_in_sign <= 20"""
+ORACLES["lr_summary"] = f"""WITH RECURSIVE {LR},
+ranks AS (
+  SELECT label, rank() OVER (ORDER BY p) + (count(*) OVER (PARTITION BY p) - 1) / 2.0::DOUBLE AS r
+  FROM predicted WHERE split = 'test'),
+area AS (
+  SELECT count(*) FILTER (WHERE label = 1) AS pos, count(*) FILTER (WHERE label = 0) AS neg,
+    sum(r) FILTER (WHERE label = 1) AS s FROM ranks)
+SELECT 'Logistic Regression (TF-IDF n-grams)' AS "Método",
+  (SELECT round(avg(CAST((p > 0.5) = (label = 1) AS INT)), 6) FROM predicted WHERE split = 'validation') AS Val_Accuracy,
+  (SELECT round(avg(CAST((p > 0.5) = (label = 1) AS INT)), 6) FROM predicted WHERE split = 'test') AS Test_Accuracy,
+  (SELECT round((s - pos * (pos + 1) / 2.0::DOUBLE) / nullif(pos * neg, 0), 6) FROM area) AS Test_AUC"""

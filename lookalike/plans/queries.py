@@ -17,6 +17,8 @@ from lookalike.sources import corpora, documents as files, manifest as manifests
 from lookalike.sources.scratch import scratch_path, written
 
 DIGITS = 6
+#: Digits of what an iterative solver yields.
+MODEL_DIGITS = 4
 MANIFEST_KEY = ["source_dataset", "doc1", "doc2"]
 ODD_TAGS = "\n<my-tag><x:y\na='1'></X:Y>\n\n<h1 /></my-tag>"
 
@@ -450,11 +452,16 @@ def _fitted(t: Inputs, optimize: bool = False) -> tuple[PairClassifier, DataFram
     return PairClassifier(longest=3).fit(train, MANIFEST_KEY, optimize), texts
 
 
+def _rounded_predictions(model: PairClassifier, texts: DataFrame, keep: list[str]) -> DataFrame:
+    found = model.predictions(texts, keep)
+    return found.withColumn("Probability", F.round("Probability", MODEL_DIGITS))
+
+
 @query
 def lr_predictions(t: Inputs) -> DataFrame:
     model, texts = _fitted(t)
     held_out = texts.where(F.col("split") != splits.TRAIN)
-    return model.predictions(held_out, [*MANIFEST_KEY, "split"])
+    return _rounded_predictions(model, held_out, [*MANIFEST_KEY, "split"])
 
 
 @query
@@ -465,7 +472,10 @@ def lr_grid(t: Inputs) -> DataFrame:
 
 @query
 def feature_importance(t: Inputs) -> DataFrame:
-    return _fitted(t)[0].feature_importance(20)
+    """The strongest features with their coefficients, rounded."""
+    found = _fitted(t)[0].feature_importance(20)
+    rounded_ = (F.round(c, MODEL_DIGITS).alias(c) for c in ("coefficient", "abs_coefficient"))
+    return found.select("feature", *rounded_, "rank_in_sign")
 
 
 @query
@@ -474,13 +484,14 @@ def model_roundtrip(t: Inputs) -> DataFrame:
     model, texts = _fitted(t)
     path = scratch_path(t.spark, "model")
     model.save(path)
-    return PairClassifier.load(path).predictions(texts.where(F.col("split") == splits.TEST), MANIFEST_KEY)
+    return _rounded_predictions(PairClassifier.load(path), texts.where(F.col("split") == splits.TEST), MANIFEST_KEY)
 
 
 @query
 def lr_summary(t: Inputs) -> DataFrame:
     model, texts = _fitted(t)
     predicted = model.predictions(texts, ["split"])
-    return run_summary(
+    summary = run_summary(
         predicted.where(F.col("split") == splits.VALIDATION), predicted.where(F.col("split") == splits.TEST)
     )
+    return summary.select("Método", *(rounded(c) for c in summary.columns[1:]))
