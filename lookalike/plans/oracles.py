@@ -452,6 +452,21 @@ WHERE place = 1 OR next_pos IS NULL OR pos <> next_pos OR neg <> next_neg
 UNION ALL SELECT NULL, 0, 0""",
 }
 
+BY_MANIFEST = f"""{compared_by('once')},{MANIFEST.removeprefix(f"{CASE_PAIRS},{COPY_PAIRS},")},
+by_manifest AS (
+  SELECT m.folder_name AS folder, m.file1, m.file2, m.label, m.source_dataset AS dataset, similar_nodes,
+    c.* EXCLUDE (source_dataset, case_id, doc1, doc2, label, plagiarism_level)
+  FROM manifest m JOIN compared c USING (source_dataset, doc1, doc2) JOIN matches USING (doc1, doc2))"""
+ORACLES["manifest_scores"] = f"""WITH {BY_MANIFEST}
+SELECT folder, file1, file2, label, dataset, round(structure_similarity, 6) AS structure_score, similar_nodes,
+  CASE WHEN structure_similarity >= 0.6::DOUBLE THEN 1 ELSE 0 END AS prediction FROM by_manifest"""
+ORACLES["manifest_compare"] = f"""WITH {BY_MANIFEST}
+SELECT folder, file1, file2, label, dataset, round(tfidf_similarity, 6) AS tfidf_similarity,
+  round(structure_similarity, 6) AS structure_similarity, tfidf_prediction, structure_prediction,
+  tfidf_correct, structure_correct, both_correct, both_wrong FROM by_manifest"""
+ORACLES["predictions_roundtrip"] = f"""WITH {SCORED}
+SELECT label AS TrueLabel, prediction AS Predicted, score AS Probability FROM scored"""
+
 HYBRID = f"""{COMPARED},
 weights AS (SELECT i / 10.0::DOUBLE AS weight FROM range(0, 11) r(i)),
 decided AS (

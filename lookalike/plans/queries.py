@@ -8,7 +8,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lookalike.functions.text import normalize, pair_text, words
-from lookalike.operators import compare, metrics, splits, structure, trees
+from lookalike.operators import compare, jobs, metrics, splits, structure, trees
 from lookalike.operators.classify import PairClassifier, corpus_tfidf, run_summary
 from lookalike.operators.pairs import PAIR, pair_texts
 from lookalike.operators.tfidf import TFIDF_THRESHOLD, gram_counts, tfidf_similarity
@@ -38,6 +38,11 @@ class Inputs:
     def documents(self) -> DataFrame:
         return tables.table(self.spark, self.sf_dir, "documents")
 
+    @cached_property
+    def keys(self) -> DataFrame:
+        """Ids, sources and longest lines, written once, so that pair lists read no text again."""
+        return written(tables.document_keys(self.documents), "document-keys")
+
     @cached_property
     def labels(self) -> DataFrame:
         return tables.table(self.spark, self.sf_dir, "labels")
@@ -52,7 +57,7 @@ class Inputs:
         return self.pages.select(F.col("page_id").alias("doc_id"), F.concat("html", F.lit(ODD_TAGS)).alias("html"))
 
     def labelled(self) -> DataFrame:
-        return tables.labelled_pairs(self.documents, self.labels)
+        return tables.labelled_pairs(self.keys, self.labels)
 
     def scored(self, leaf_rule: str = structure.ALL) -> DataFrame:
         """Labelled pairs with both similarities; trees of prose consist mostly of leaves."""
@@ -73,8 +78,8 @@ class Inputs:
 
     def listing(self) -> DataFrame:
         """Every file of the unified corpus after renaming: ``folder, file, path, doc_id``."""
-        contest = tables.contest_listing(self.documents)
-        raw = tables.graded_listing(self.documents, self.labels)
+        contest = tables.contest_listing(self.keys)
+        raw = tables.graded_listing(self.keys, self.labels)
         graded = corpora.graded_pairs(raw)
         ends = F.array(
             F.struct(F.lit("original.java").alias("file"), F.col("path1").alias("path")),
@@ -83,10 +88,17 @@ class Inputs:
         placed = graded.select(F.col("folder_name").alias("folder"), F.inline(ends))
         return placed.unionByName(contest.select("folder", "file", "path"))
 
+    def file_texts(self) -> DataFrame:
+        """``path, text`` of the files in the raw corpora."""
+        contest = tables.contest_listing(self.keys).select("path", "doc_id")
+        graded = tables.graded_listing(self.keys, self.labels)
+        owners = contest.unionByName(graded)
+        return owners.join(self.documents.select("doc_id", "text"), "doc_id").select("path", "text")
+
     def unified(self, *extra: str) -> DataFrame:
-        graded = corpora.graded_pairs(tables.graded_listing(self.documents, self.labels))
+        graded = corpora.graded_pairs(tables.graded_listing(self.keys, self.labels))
         contest = corpora.contest_pairs(
-            tables.contest_listing(self.documents), tables.contest_labels(self.documents, self.labels)
+            tables.contest_listing(self.keys), tables.contest_labels(self.keys, self.labels)
         )
         return corpora.unify(graded, contest, extra=extra)
 
@@ -143,7 +155,7 @@ def ngram_df(t: Inputs) -> DataFrame:
 
 @query
 def version_numbers(t: Inputs) -> DataFrame:
-    raw = tables.graded_listing(t.documents, t.labels)
+    raw = tables.graded_listing(t.keys, t.labels)
     return corpora.number_versions(corpora.graded_versions(raw)).select(
         "case_orig", "level", "version", F.col("version_number").cast("bigint").alias("version_number"), "path"
     )
@@ -151,15 +163,15 @@ def version_numbers(t: Inputs) -> DataFrame:
 
 @query
 def label_lookup(t: Inputs) -> DataFrame:
-    folders = corpora.contest_folders(tables.contest_listing(t.documents))
-    labels = tables.contest_labels(t.documents, t.labels)
+    folders = corpora.contest_folders(tables.contest_listing(t.keys))
+    labels = tables.contest_labels(t.keys, t.labels)
     return corpora.label_contest_folders(folders, labels).select("folder_name", "problem", "verdict")
 
 
 @query
 def label_missing(t: Inputs) -> DataFrame:
-    folders = corpora.contest_folders(tables.contest_listing(t.documents))
-    return corpora.unlabelled_folders(folders, tables.contest_labels(t.documents, t.labels))
+    folders = corpora.contest_folders(tables.contest_listing(t.keys))
+    return corpora.unlabelled_folders(folders, tables.contest_labels(t.keys, t.labels))
 
 
 @query
@@ -188,7 +200,7 @@ def pair_resolve(t: Inputs) -> DataFrame:
 @query
 def pair_verify(t: Inputs) -> DataFrame:
     """Against the contest files of labelled documents, so folders and files are missing."""
-    present = tables.contest_listing(t.documents).join(t.labels, "doc_id", "left_semi")
+    present = tables.contest_listing(t.keys).join(t.labels, "doc_id", "left_semi")
     return files.verify_folders(t.unified(), present).select("folder_name", "problem")
 
 
@@ -264,13 +276,13 @@ def split_partitioned_write(t: Inputs) -> DataFrame:
 
 @query
 def tfidf_pair_similarity(t: Inputs) -> DataFrame:
-    scores = tfidf_similarity(tables.all_pairs(t.documents), t.documents)
+    scores = tfidf_similarity(tables.all_pairs(t.keys), t.documents)
     return scores.select(*PAIR, rounded("tfidf_similarity"))
 
 
 @query
 def tfidf_pair_decision(t: Inputs) -> DataFrame:
-    scores = tfidf_similarity(tables.all_pairs(t.documents), t.documents)
+    scores = tfidf_similarity(tables.all_pairs(t.keys), t.documents)
     return scores.select(
         *PAIR, compare.decide(F.col("tfidf_similarity"), TFIDF_THRESHOLD).alias("tfidf_prediction")
     )
@@ -335,7 +347,7 @@ def structural_score_all_leaves(t: Inputs) -> DataFrame:
 
 @query
 def text_structural_score(t: Inputs) -> DataFrame:
-    scored = structure.text_structural_score(tables.all_pairs(t.documents), t.documents)
+    scored = structure.text_structural_score(tables.all_pairs(t.keys), t.documents)
     return scored.select(*PAIR, "similar_nodes", rounded("structure_similarity"))
 
 
@@ -367,6 +379,30 @@ def compare_methods_once(t: Inputs) -> DataFrame:
     return _compared(t, structure.ONCE)
 
 
+@query
+def manifest_scores(t: Inputs) -> DataFrame:
+    """Manifest, files, scores and decisions in one go."""
+    scored = jobs.score_manifest(t.unified(), t.listing(), t.file_texts())
+    return scored.withColumn("structure_score", F.round("structure_score", DIGITS))
+
+
+@query
+def manifest_compare(t: Inputs) -> DataFrame:
+    compared = jobs.compare_manifest(t.unified(), t.listing(), t.file_texts())
+    return compared.withColumns({c: F.round(c, DIGITS) for c in ("tfidf_similarity", "structure_similarity")})
+
+
+@query
+def predictions_roundtrip(t: Inputs) -> DataFrame:
+    """Prediction rows written as CSV and read back by name."""
+    scored = t.tfidf_scored().select(
+        F.col("score").alias("Probability"), F.col("label").alias("TrueLabel"), F.col("prediction").alias("Predicted")
+    )
+    path = scratch_path(t.spark, "predictions")
+    manifests.write_csv(scored, path)
+    return manifests.read_predictions(t.spark, path)
+
+
 @query
 def agreement(t: Inputs) -> DataFrame:
     row = compare.agreement(compare.with_decisions(t.scored()))

@@ -48,9 +48,9 @@ def problem_number() -> Column:
     return F.pmod("doc1", F.lit(PROBLEMS)).cast("int")
 
 
-def case_pairs(documents: DataFrame) -> DataFrame:
+def case_pairs(keys: DataFrame) -> DataFrame:
     """``source, doc1, doc2`` of the graded corpus."""
-    return star(documents.select("doc_id", "source"), "source")
+    return star(keys.select("doc_id", "source"), "source")
 
 
 def longest_line(text: Column) -> Column:
@@ -59,30 +59,35 @@ def longest_line(text: Column) -> Column:
     return F.array_max(lines)["line"]
 
 
-def copy_pairs(documents: DataFrame) -> DataFrame:
-    """``doc1, doc2`` of the contest corpus."""
+def document_keys(documents: DataFrame) -> DataFrame:
+    """``doc_id, source, line_key``: all that the pair lists need of a document."""
     line_key = F.sha2(longest_line(F.col("text")), 256).alias("line_key")
-    return star(documents.select("doc_id", line_key), "line_key").select(*PAIR)
+    return documents.select("doc_id", "source", line_key)
+
+
+def copy_pairs(keys: DataFrame) -> DataFrame:
+    """``doc1, doc2`` of the contest corpus."""
+    return star(keys.select("doc_id", "line_key"), "line_key").select(*PAIR)
 
 
-def all_pairs(documents: DataFrame) -> DataFrame:
+def all_pairs(keys: DataFrame) -> DataFrame:
     """The pairs of both corpora, each once."""
-    return case_pairs(documents).select(*PAIR).unionByName(copy_pairs(documents)).distinct()
+    return case_pairs(keys).select(*PAIR).unionByName(copy_pairs(keys)).distinct()
 
 
-def labelled_pairs(documents: DataFrame, labels: DataFrame) -> DataFrame:
+def labelled_pairs(keys: DataFrame, labels: DataFrame) -> DataFrame:
     """Labelled pairs of both corpora in manifest terms; a pair may be in both."""
     verdicts = labels.select(F.col("doc_id").alias("doc2"), F.col("quality").alias("label"))
     copied = F.col("label") == 1
     level = F.concat(F.lit("level_"), (F.pmod("doc2", F.lit(LEVELS)) + 1).cast("string"))
-    graded = case_pairs(documents).join(verdicts, "doc2").select(
+    graded = case_pairs(keys).join(verdicts, "doc2").select(
         F.lit("ir_plag").alias("source_dataset"),
         F.format_string("c%02d", source_number("source")).alias("case_id"),
         *PAIR,
         "label",
         F.when(copied, level).otherwise("none").alias("plagiarism_level"),
     )
-    contest = copy_pairs(documents).join(verdicts, "doc2").select(
+    contest = copy_pairs(keys).join(verdicts, "doc2").select(
         F.lit("conplag").alias("source_dataset"),
         F.format_string("p%02d", problem_number()).alias("case_id"),
         *PAIR,
@@ -114,14 +119,14 @@ def contest_folder() -> Column:
     )
 
 
-def graded_listing(documents: DataFrame, labels: DataFrame) -> DataFrame:
+def graded_listing(keys: DataFrame, labels: DataFrame) -> DataFrame:
     """``path, doc_id`` in the layout of the graded corpus; versions are the labelled documents."""
-    originals = documents.groupBy("source").agg(F.min("doc_id").alias("doc_id"))
+    originals = keys.groupBy("source").agg(F.min("doc_id").alias("doc_id"))
     original_files = originals.select(
         F.format_string(ORIGINAL_FORMAT, source_number("source"), F.col("doc_id")).alias("path"), "doc_id"
     )
     number = source_number("source")
-    versions = case_pairs(documents).join(
+    versions = case_pairs(keys).join(
         labels.select(F.col("doc_id").alias("doc2"), F.col("quality").alias("label")), "doc2"
     )
     doc = F.col("doc2")
@@ -132,9 +137,9 @@ def graded_listing(documents: DataFrame, labels: DataFrame) -> DataFrame:
     return original_files.unionByName(versions.select(path.alias("path"), doc.alias("doc_id")))
 
 
-def contest_listing(documents: DataFrame) -> DataFrame:
+def contest_listing(keys: DataFrame) -> DataFrame:
     """``path, folder, file, doc_id``: two files in the folder of every contest pair."""
-    folders = copy_pairs(documents).withColumn("folder", contest_folder())
+    folders = copy_pairs(keys).withColumn("folder", contest_folder())
     ends = F.explode(F.array("doc1", "doc2"))
     return folders.select("folder", ends.alias("doc_id")).select(
         F.format_string(CONTEST_FORMAT, F.col("folder"), submission("doc_id")).alias("path"),
@@ -144,10 +149,10 @@ def contest_listing(documents: DataFrame) -> DataFrame:
     )
 
 
-def contest_labels(documents: DataFrame, labels: DataFrame) -> DataFrame:
+def contest_labels(keys: DataFrame, labels: DataFrame) -> DataFrame:
     """Raw label rows of the contest folders. Each key comes twice; the later row has the verdict."""
     verdicts = labels.select(F.col("doc_id").alias("doc2"), "quality", "toxic")
-    rows = copy_pairs(documents).join(verdicts, "doc2").withColumn("folder", contest_folder())
+    rows = copy_pairs(keys).join(verdicts, "doc2").withColumn("folder", contest_folder())
     lines = F.array(
         F.struct(F.col("toxic").alias("verdict"), F.lit(1).alias("line_order")),
         F.struct(F.col("quality").alias("verdict"), F.lit(2).alias("line_order")),
