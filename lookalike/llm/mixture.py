@@ -34,7 +34,7 @@ WEIGHTS = (1.0, 2.0, 3.0)
 #: No document is taken more often than this.
 MAX_REPEATS = 3
 #: Words of a block.
-BLOCK_WORDS = 100
+BLOCK_WORDS = 20
 #: Documents of a shard, about. One task orders a shard.
 SHARD_ROWS = 20_000
 #: Sources that may be weighed on the driver; more are refused.
