@@ -290,7 +290,7 @@ def tfidf_pair_decision(t: Inputs) -> DataFrame:
 
 @query
 def text_tree_nodes(t: Inputs) -> DataFrame:
-    return trees.text_tree_nodes(t.documents.select("doc_id", "text"))
+    return trees.text_tree_nodes(t.documents.select("doc_id", "text").repartition("doc_id"))
 
 
 @query
@@ -469,7 +469,9 @@ def roc_auc(t: Inputs) -> DataFrame:
 
 @query
 def corpus_tfidf_top(t: Inputs) -> DataFrame:
-    weighted = corpus_tfidf(t.documents.select("doc_id", "text"), ["doc_id"], F.col("text"))
+    # Cutting costs far more than moving a text, and a table may be stored in one piece.
+    texts = t.documents.select("doc_id", "text").repartition("doc_id")
+    weighted = corpus_tfidf(texts, ["doc_id"], F.col("text"))
     return weighted.select("doc_id", "gram", "tf", "df", rounded("weight"))
 
 
