@@ -32,6 +32,27 @@ def range_bucket(number: Column, width: int = RANGE_WIDTH) -> Column:
     return F.floor(number / F.lit(width))
 
 
+#: Buckets of a group whose numbers may lie anywhere, and the accuracy of their bounds.
+EVEN_BUCKETS = 256
+BOUND_ACCURACY = 10_000
+
+
+def with_even_bucket(df: DataFrame, groups: Sequence[str], number: str, name: str = "_even") -> DataFrame:
+    """Add ``name``, which never decreases with ``number`` and cuts every group about evenly.
+
+    Bounds are approximate quantiles per group, so numbers may be dense, sparse or
+    like hashes. The table of bounds has a row per group; the join is a plain one.
+    """
+    shares = [i / EVEN_BUCKETS for i in range(1, EVEN_BUCKETS)]
+    bounds = df.groupBy(*groups).agg(
+        F.array_distinct(F.percentile_approx(number, shares, BOUND_ACCURACY)).alias("_bounds")
+    )
+    keys = {g: f"_of_{g}" for g in groups}
+    met = df.join(bounds.withColumnsRenamed(keys), [F.col(g).eqNullSafe(F.col(k)) for g, k in keys.items()])
+    below = F.size(F.filter("_bounds", lambda bound: bound < F.col(number)))
+    return met.withColumn(name, below).drop("_bounds", *keys.values())
+
+
 def _group_key(groups: Sequence[str]) -> Column:
     """One key for all group columns; as a struct it also matches NULL values."""
     return F.struct(*groups) if groups else F.lit(0)

@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lookalike.operators.numbering import number_rows, range_bucket
+from lookalike.operators.numbering import number_rows, range_bucket, with_even_bucket
 from lookalike.sources.documents import COMPARED_FILE, ORIGINAL_FILE, SOURCE_SUFFIX
 from lookalike.sources.manifest import MANIFEST_COLUMNS
 
@@ -67,13 +67,11 @@ def unnumbered_versions(files: DataFrame) -> DataFrame:
 
 def number_versions(versions: DataFrame) -> DataFrame:
     """Add ``version_number``: 1, 2, 3... per case and level in numeric order."""
-    return number_rows(
-        versions,
-        ["case_orig", "case_number", "level"],
-        range_bucket(F.col("version")),
-        [F.col("version")],
-        "version_number",
+    groups = ["case_orig", "case_number", "level"]
+    numbered = number_rows(
+        with_even_bucket(versions, groups, "version"), groups, F.col("_even"), [F.col("version")], "version_number"
     )
+    return numbered.drop("_even")
 
 
 def graded_pairs(files: DataFrame) -> DataFrame:
@@ -113,7 +111,8 @@ def graded_pairs(files: DataFrame) -> DataFrame:
         "path2",
         F.col("case_number").cast("bigint").alias("order1"),
         F.col("level").cast("bigint").alias("order2"),
-        F.col("version").alias("order3"),
+        # Dense where versions may be sparse, and in the same order.
+        F.col("version_number").cast("bigint").alias("order3"),
     )
 
 

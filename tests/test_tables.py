@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import Window, functions as F
 
 from lookalike.operators import compare, metrics, splits
-from lookalike.operators.numbering import number_rows, range_bucket
+from lookalike.operators.numbering import number_rows, range_bucket, with_even_bucket
 from lookalike.plans import tables
 from lookalike.sources import corpora, documents as files, manifest as manifests
 
@@ -29,6 +29,17 @@ def test_number_rows_equals_a_window(spark):
     assert sorted(map(repr, map(tuple, got.collect()))) == want
 
 
+@pytest.mark.parametrize("value", ["id", "id * 1000003", "xxhash64(id)", "id % 5"])
+def test_even_buckets_number_any_values(spark, value):
+    df = spark.range(3000).selectExpr("if(id % 11 > 0, if(id % 3 > 0, 1, 2), null) AS g", f"{value} AS v", "id")
+    placed = with_even_bucket(df, ["g"], "v")
+    got = number_rows(placed, ["g"], F.col("_even"), [F.col("v"), F.col("id")], "n").drop("_even")
+    wanted = df.select("*", F.row_number().over(Window.partitionBy("g").orderBy("v", "id")).alias("n"))
+    assert sorted(map(repr, got.collect())) == sorted(map(repr, wanted.collect()))
+    if value != "id % 5":
+        assert placed.where("g = 1").groupBy("_even").count().agg(F.max("count")).first()[0] < 60
+
+
 def test_split_sizes_use_float_floor(spark):
     df = spark.range(90).select("id", F.lit("s").alias("source_dataset"), F.lit(1).alias("label"))
     split = splits.stratified_split(df, ["id"], ["source_dataset", "label"])
