@@ -36,7 +36,7 @@ MAX_REPEATS = 3
 #: Words of a block.
 BLOCK_WORDS = 20
 #: Documents of a shard, about. One task orders a shard.
-SHARD_ROWS = 20_000
+SHARD_ROWS = 1_000
 #: Sources that may be weighed on the driver; more are refused.
 MAX_SOURCES = 1_000_000
 SEED = 17
