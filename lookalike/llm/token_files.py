@@ -38,9 +38,9 @@ from lookalike.sources.scratch import scratch_path
 END_ID = 2
 BLOCK_IDS = 2048
 #: Blocks that a task codes in lockstep.
-LANES = 3072
+LANES = 2048
 #: Pieces whose ids a worker remembers; then it starts anew.
-CACHE_PIECES = 400_000
+CACHE_PIECES = 300_000
 #: New pieces that are encoded in one call.
 PIECES_AT_ONCE = 50
 

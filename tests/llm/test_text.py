@@ -301,7 +301,7 @@ TEXTS = [
 ]
 
 
-@pytest.mark.parametrize("block_ids, lanes", [(64, 5), (2048, 3072)])
+@pytest.mark.parametrize("block_ids, lanes", [(64, 5), (2048, 2048)])
 def test_token_files_round_trip(documents, tokenizer, block_ids, lanes):
     rows = [(100 - i, t, "en", "s") for i, t in enumerate(TEXTS * 3)] + [(None, "no id", "en", "s")]
     found = token_files.token_files(documents(rows), BPE, block_ids, lanes).orderBy("start").collect()
