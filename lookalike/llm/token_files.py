@@ -97,7 +97,7 @@ class Encoder:
             split.append([first, *[" " + r for r in rest]])
         if len(self.known) > CACHE_PIECES:
             self.known.clear()
-        self.learn(list(set().union(*split) - self.known.keys()))
+        self.learn([piece for piece in set().union(*split) if piece not in self.known])
         return [b"".join(map(self.known.__getitem__, pieces)) for pieces in split]
 
 
