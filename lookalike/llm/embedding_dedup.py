@@ -2,16 +2,20 @@
 
 Identical vectors are one vector with a count. Centroids are fitted on a bounded
 sample (``SAMPLE`` vectors); every vector then goes to its nearest cell as a
-member and to the next ``PROBES - 1`` cells as a visitor. A pair is compared in
-the member's cell, and only in one of two cells if each visits the other. Cells
+member and, as a visitor, to every earlier cell that can hold a vector within the
+threshold's angle. Such a cell's vectors lie beyond the plane between the two
+centroids and within the cell's radius, so a vector visits unless its angle to
+that plane is larger than the threshold's, or its angle to the centroid larger
+than both together. A pair is compared once, in the earlier of its two cells, and
+no link is missed. Where vectors spread evenly in many dimensions the bounds
+exclude little, and the comparisons grow with the square of the vectors. Cells
 are cut into blocks of ``BLOCK_ROWS``, so a task holds two blocks and one matrix
 of cosines; pairs are counted there and never written. A block reports, for each
 vector, how many vectors it links and the smallest one of its local group, so
 links grow with the rows.
 
 Cosines are in double precision: ``a . b / (|a| |b|)``, linked from the threshold
-on. Vectors of different lengths are not compared. A link whose two cells do not
-visit each other is missed; recall is measured in the tests and the README.
+on. Vectors of different lengths are not compared.
 
 Defined results: vectors that are null, empty or zero, or that hold nulls or
 non-finite components, link with nothing and have no link and their own id as
@@ -39,7 +43,8 @@ SAMPLE = 20_000
 #: Vectors of a cell, about, until there are MAX_CELLS cells.
 CELL_ROWS = 2_000
 MAX_CELLS = 2_048
-PROBES = 3
+#: Angles that rounding may add, in radians.
+SLACK = 1e-6
 BLOCK_ROWS = 1_000
 ROUNDS = 12
 #: Keys of vectors without an id start here.
@@ -79,26 +84,60 @@ def _matrix(column: pd.Series) -> np.ndarray:
     return np.array(column.to_list(), float)
 
 
-def assign(vectors: DataFrame, centroids: dict[int, np.ndarray], probes: int = PROBES) -> DataFrame:
-    """``vectors`` with ``dim`` and ``cells``: the nearest cells, nearest first."""
+def assign(vectors: DataFrame, centroids: dict[int, np.ndarray]) -> DataFrame:
+    """``vectors`` with the nearest cell, ``home``, and the ``angle`` to its centroid."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for dim, part in frame.groupby("dim"):
-                near = -(units(_matrix(part["vector"])) @ centroids[dim].T)
-                part = part.copy()
-                part["cells"] = np.argsort(near, axis=1, kind="stable")[:, :probes].tolist()
-                yield part
+                near = units(_matrix(part["vector"])) @ centroids[dim].T
+                home = np.argmax(near, axis=1)
+                angle = np.arccos(np.clip(near[np.arange(len(part)), home], -1, 1))
+                yield part.assign(home=home.astype(np.int32), angle=angle)
 
-    return vectors.mapInPandas(run, "vec long, copies long, vector array<double>, dim int, cells array<int>")
+    return vectors.mapInPandas(run, "vec long, copies long, vector array<double>, dim int, home int, angle double")
 
 
-def compare_blocks(left: pd.DataFrame, right: pd.DataFrame | None, cell: int, threshold: float) -> pd.DataFrame:
+def visited(
+    points: np.ndarray, home: np.ndarray, centroids: np.ndarray, radii: np.ndarray, threshold: float
+) -> np.ndarray:
+    """``(points, cells)``: cells before a unit vector's own that can hold a vector it links.
+
+    A cell without members has a negative radius and is not visited.
+    """
+    reach = math.acos(max(-1.0, min(1.0, threshold))) + SLACK
+    near = points @ centroids.T
+    angle = np.arccos(np.clip(near, -1, 1))
+    apart = np.sqrt(np.maximum(2 - 2 * (centroids @ centroids.T), 0))[home]
+    beyond = near[np.arange(len(points)), home][:, None] - near
+    # Beyond the plane's normal nothing is farther than a right angle from the plane.
+    plane = np.sin(min(reach, math.pi / 2)) * apart + SLACK
+    fits = (beyond <= plane) & (angle <= reach + radii[None, :] + SLACK) & (radii >= 0)[None, :]
+    return fits & (np.arange(len(centroids))[None, :] < home[:, None])
+
+
+def spread_out(
+    assigned: DataFrame, centroids: dict[int, np.ndarray], radii: dict[int, np.ndarray], threshold: float
+) -> DataFrame:
+    """``assigned`` with ``cells``: a vector's own cell and those it visits."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for dim, whole in frame.groupby("dim"):
+                for lo in range(0, len(whole), BLOCK_ROWS):
+                    part = whole.iloc[lo : lo + BLOCK_ROWS]
+                    home = part["home"].to_numpy()
+                    fits = visited(units(_matrix(part["vector"])), home, centroids[dim], radii[dim], threshold)
+                    cells = [[int(h), *np.flatnonzero(row).tolist()] for h, row in zip(home, fits)]
+                    yield part.drop(columns=["home", "angle"]).assign(cells=cells)
+
+    return assigned.mapInPandas(run, "vec long, copies long, vector array<double>, dim int, cells array<int>")
+
+
+def compare_blocks(left: pd.DataFrame, right: pd.DataFrame | None, threshold: float) -> pd.DataFrame:
     """``(vec, links, low)`` of the rows that link in one pair of blocks.
 
-    ``right`` None compares a block with itself. Rows of ``right`` are members of
-    ``cell``. A visitor on the left skips members that visit its own, smaller
-    cell; the pair is compared there.
+    ``right`` None compares a block with itself.
     """
     a = _matrix(left["vector"])
     b = a if right is None else _matrix(right["vector"])
@@ -108,13 +147,6 @@ def compare_blocks(left: pd.DataFrame, right: pd.DataFrame | None, cell: int, th
     other = left if right is None else right
     if right is None:
         np.fill_diagonal(linked, False)
-    else:
-        home = np.array([c[0] for c in left["cells"]])
-        visiting = home != cell
-        if visiting.any():
-            visits = np.array([c + [-1] * (PROBES - len(c)) for c in right["cells"].map(list)])
-            twice = (home[:, None, None] == visits[None, :, :]).any(axis=2)
-            linked &= ~(twice & (visiting & (home < cell))[:, None])
     rows, columns = linked.any(axis=1), linked.any(axis=0)
     linked = linked[np.ix_(rows, columns)]
     left, other = left[rows], other[columns]
@@ -165,8 +197,11 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     }
 
     assigned = written(assign(distinct, centroids), "embedding-cells")
-    spread = assigned.select("*", F.posexplode("cells").alias("nth", "cell"))
-    spread = spread.withColumn("member", F.col("nth") == 0).drop("nth")
+    radii = {d: np.full(len(c), -1.0) for d, c in centroids.items()}
+    for r in assigned.groupBy("dim", "home").agg(F.max("angle").alias("radius")).collect():
+        radii[r["dim"]][r["home"]] = r["radius"]
+    spread = spread_out(assigned, centroids, radii, threshold).select("*", F.posexplode("cells").alias("nth", "cell"))
+    spread = spread.withColumn("member", F.col("nth") == 0).drop("nth", "cells")
     sizes = spread.groupBy("dim", "cell").agg(
         F.ceil(F.count_if("member") / BLOCK_ROWS).cast("int").alias("blocks"),
         F.greatest(F.lit(1), F.ceil(F.count_if(~F.col("member")) / BLOCK_ROWS)).cast("int").alias("guests"),
@@ -181,14 +216,14 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     own, last = F.col("block"), F.col("blocks") - 1
     met = F.sequence(F.lit(0), F.when(F.col("member"), last + F.col("guests")).otherwise(last))
     pair = F.transform(met, lambda other: F.struct(F.greatest(other, own).alias("i"), F.least(other, own).alias("j")))
-    tasks = dealt.select("dim", "cell", "block", "vec", "copies", "vector", "cells", F.inline(pair))
+    tasks = dealt.select("dim", "cell", "block", "vec", "copies", "vector", F.inline(pair))
 
     def compare(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        _, cell, i, j = key
+        i, j = key[2:]
         left, right = frame[frame["block"] == i], frame[frame["block"] == j]
         if not len(left) or not len(right):
             return pd.DataFrame({"vec": [], "links": [], "low": []}).astype("int64")
-        return compare_blocks(left, None if i == j else right, int(cell), threshold)
+        return compare_blocks(left, None if i == j else right, threshold)
 
     found = tasks.groupBy("dim", "cell", "i", "j").applyInPandas(compare, "vec long, links long, low long")
     found = written(found, "embedding-links")
