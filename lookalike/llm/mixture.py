@@ -12,8 +12,9 @@ shares of a common divisor, and the few seats that this leaves over or short are
 handed out by quotient.
 
 Defined results: a null text has size 0 and takes nothing; a null source is a
-source of its own, last in order; repeated rows are separate documents; rows
-without an id are ordered like any other; an empty table gives an empty result;
+source of its own, last in order; repeated rows and rows without an id are
+separate documents, told apart by source, text and a number within equal rows; an
+empty table gives an empty result;
 other columns are ignored by ``mix`` and passed through by ``mixed_documents``.
 """
 
@@ -25,6 +26,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from lookalike.operators.numbering import number_rows, range_bucket
 from lookalike.sources.scratch import written
 
 # What a word is, and the weights that sources repeat in order.
@@ -40,12 +42,16 @@ SHARD_ROWS = 1_000
 #: Sources that may be weighed on the driver; more are refused.
 MAX_SOURCES = 1_000_000
 SEED = 17
+#: What tells rows apart; ``nth`` is the number within rows that are equal otherwise.
+KEY = ("doc_id", "source", "digest", "nth")
 
 
-def sizes(docs: DataFrame) -> DataFrame:
-    """``(doc_id, source, size)``; the size is the number of words."""
-    count = F.coalesce(F.regexp_count(F.col("text").cast("string"), F.lit(WORD)), F.lit(0)).cast("long")
-    return docs.select("doc_id", F.col("source").cast("string").alias("source"), count.alias("size"))
+def sizes(docs: DataFrame, row: Column) -> DataFrame:
+    """``(row, doc_id, source, digest, size)``; the size is the number of words."""
+    text = F.col("text").cast("string")
+    count = F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
+    source = F.col("source").cast("string").alias("source")
+    return docs.select(row.alias("row"), "doc_id", source, F.xxhash64(text).alias("digest"), count.alias("size"))
 
 
 def targets(source_sizes: list[int], weights: tuple[float, ...] = WEIGHTS, most: float = MAX_REPEATS) -> np.ndarray:
@@ -112,8 +118,16 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_rows: int = SHARD
     Only sizes are shuffled, never texts. The table of sources comes to the
     driver; it is refused beyond ``MAX_SOURCES`` rows.
     """
-    spark = docs.sparkSession
-    rows = written(sizes(docs), "mixture-sizes")
+    taken = _mixed(sizes(docs, F.monotonically_increasing_id()), block_words, shard_rows)
+    return taken.select("doc_id", "size", "source_size", "target", "taken")
+
+
+def _mixed(found_sizes: DataFrame, block_words: int, shard_rows: int) -> DataFrame:
+    """``(row, *KEY, size, source_size, target, taken)`` of ``sizes``."""
+    spark = found_sizes.sparkSession
+    serial = written(found_sizes, "mixture-sizes")
+    numbered = number_rows(serial, KEY[:-1], range_bucket(F.col("row")), [F.col("row")], "nth")
+    rows = written(numbered.select("row", *KEY, "size"), "mixture-rows")
     by_source = rows.groupBy("source").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("documents"))
     found = by_source.limit(MAX_SOURCES + 1).collect()
     if len(found) > MAX_SOURCES:
@@ -133,7 +147,7 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_rows: int = SHARD
 
     # The plan has a row per source; whether it is broadcast is left to Spark and its size limit.
     placed = rows.join(plan, rows.source.eqNullSafe(plan.source)).drop(plan.source)
-    placed = placed.withColumn("shard", F.pmod(_seeded("doc_id", F.lit("shard")), F.col("shards")))
+    placed = placed.withColumn("shard", F.pmod(_seeded(*KEY, F.lit("shard")), F.col("shards")))
     cell = ["source", "shard"]
     shards = placed.groupBy(*cell).agg(F.sum("size").alias("shard_words"), F.first("quota").alias("quota"))
 
@@ -149,9 +163,9 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_rows: int = SHARD
 
     joined = placed.join(given.withColumnRenamed("source", "_source").withColumnRenamed("shard", "_shard"),
                          F.col("source").eqNullSafe(F.col("_source")) & (F.col("shard") == F.col("_shard")))
-    order = Window.partitionBy(*cell).orderBy(_seeded("doc_id"), "doc_id", "size").rowsBetween(Window.unboundedPreceding, 0)
+    order = Window.partitionBy(*cell).orderBy(_seeded(*KEY), *KEY).rowsBetween(Window.unboundedPreceding, 0)
     ended = joined.withColumn("_end", F.sum("size").over(order)).withColumn("_start", F.col("_end") - F.col("size"))
-    return ended.select("doc_id", "size", "source_size", "target", _taken().cast("long").alias("taken"))
+    return ended.select("row", *KEY, "size", "source_size", "target", _taken().cast("long").alias("taken"))
 
 
 def _taken() -> Column:
@@ -186,10 +200,12 @@ def mixed_documents(docs: DataFrame) -> DataFrame:
     not by a seeded draw with that probability, so texts stay whole and the
     sources' shares hold on average.
     """
-    times, copy = (next(n for n in (base + "_" * i for i in range(99)) if n not in docs.columns) for base in ("_times", "_copy"))
-    taken = mix(docs).where("size > 0").select("doc_id", (F.col("taken") / F.col("size")).alias(times))
-    draw = F.pmod(_seeded("doc_id", F.lit("draw")), F.lit(1 << 30)) / float(1 << 30)
-    whole = taken.groupBy("doc_id").agg(F.max(F.floor(F.col(times) + draw)).cast("int").alias(times)).where(F.col(times) > 0)
-    whole = whole.withColumnRenamed("doc_id", copy)
-    joined = docs.join(whole, docs["doc_id"].eqNullSafe(whole[copy])).drop(whole[copy])
+    names = ("_times", "_copy", "_row")
+    times, copy, row = (next(n for n in (base + "_" * i for i in range(99)) if n not in docs.columns) for base in names)
+    # Written with its number, so that a row is the same one in the mix and in the join.
+    keyed = written(docs.withColumn(row, F.monotonically_increasing_id()), "mixture-documents")
+    taken = _mixed(sizes(keyed, F.col(row)), BLOCK_WORDS, SHARD_ROWS).where("size > 0")
+    draw = F.pmod(_seeded(*KEY, F.lit("draw")), F.lit(1 << 30)) / float(1 << 30)
+    whole = taken.select(F.col("row").alias(row), F.floor(F.col("taken") / F.col("size") + draw).cast("int").alias(times))
+    joined = keyed.join(whole.where(F.col(times) > 0), row)
     return joined.withColumn(copy, F.explode(F.sequence(F.lit(1), times))).select(*docs.columns)
