@@ -12,14 +12,18 @@ from lookalike.llm import (
     edit_counts,
     embedding_dedup,
     language_id,
+    lexical_search,
     license_scan,
     maxent_lm,
     mixture,
     simhash_dedup,
+    spelling,
     suffix_dedup,
     token_files,
+    toxicity,
 )
 from lookalike.llm.common import table
+from lookalike.llm.oracles import SEARCH, SPELLING
 
 
 #: The vocabulary file of the queries that count or write tokens.
@@ -73,9 +77,25 @@ def op10_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_dedup.near_vectors(table(spark, sf_dir, "embeddings"))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.learn(docs.where(~toxicity.held_out()), table(spark, sf_dir, "labels"))
+    scored = toxicity.score(docs, model).withColumn("held_out", toxicity.held_out())
+    return scored.select("doc_id", "held_out", "score", "predicted", "sentences", "offending")
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = spelling.spelling_variants(table(spark, sf_dir, "documents"))
+    return found.select("word", "form", "root", "n", "n_near", "form_n")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     name: build for name, build in list(globals().items()) if name.startswith("op") and name[2:3].isdigit()
 }
 
-#: None of these operators can be said in SQL; tests hold them against brute force.
-ORACLES: dict[str, str] = {}
+#: The other operators cannot be said in SQL; tests hold them against brute force.
+ORACLES: dict[str, str] = {"op12_lexical_search": SEARCH, "op13_spelling_variants": SPELLING}
