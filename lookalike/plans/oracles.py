@@ -577,3 +577,37 @@ SELECT 'Logistic Regression (TF-IDF n-grams)' AS "Método",
   (SELECT round(avg(CAST((p > 0.5) = (label = 1) AS INT)), 6) FROM predicted WHERE split = 'validation') AS Val_Accuracy,
   (SELECT round(avg(CAST((p > 0.5) = (label = 1) AS INT)), 6) FROM predicted WHERE split = 'test') AS Test_Accuracy,
   (SELECT round((s - pos * (pos + 1) / 2.0::DOUBLE) / nullif(pos * neg, 0), 6) FROM area) AS Test_AUC"""
+
+# --- all similar pairs, by a plain join on shared grams --------------------------------
+
+
+def shared_gram_join(wanted: str) -> str:
+    """``cosines (doc1, doc2, cosine)`` of all pairs of ``tf`` that share a gram and are wanted."""
+    return f"""
+masses AS (SELECT doc_id, sum(tf * tf) AS mass FROM tf GROUP BY doc_id),
+met AS (
+  SELECT a.doc_id AS doc1, b.doc_id AS doc2, sum(a.tf * a.tf) AS s1, sum(b.tf * b.tf) AS s2, sum(a.tf * b.tf) AS dot
+  FROM tf a JOIN tf b ON a.gram = b.gram AND {wanted} GROUP BY 1, 2),
+cosines AS (
+  SELECT doc1, doc2, dot / sqrt(
+    (s1 + pow(ln(1.5::DOUBLE) + 1, 2) * (m1.mass - s1)) * (s2 + pow(ln(1.5::DOUBLE) + 1, 2) * (m2.mass - s2))) AS cosine
+  FROM met JOIN masses m1 ON m1.doc_id = doc1 JOIN masses m2 ON m2.doc_id = doc2)"""
+
+
+CLASSES = f"""
+sequences AS (
+  SELECT doc_id, array_to_string({WORDS.format(UNCOMMENTED.format("text"))}, ' ') AS w
+  FROM documents),
+classes AS (
+  SELECT doc_id, CASE WHEN coalesce(w, '') = '' THEN doc_id ELSE min(doc_id) OVER (PARTITION BY w) END AS first
+  FROM sequences)"""
+ORACLES["text_classes"] = f"WITH {CLASSES} SELECT doc_id, first FROM classes"
+ORACLES["similar_documents"] = f"""WITH {CLASSES},
+{gram_subqueries(UNCOMMENTED.format("text")).replace("FROM documents", "FROM documents SEMI JOIN (SELECT first AS doc_id FROM classes) USING (doc_id)")},
+{shared_gram_join("a.doc_id < b.doc_id")}
+SELECT doc1, doc2, round(cosine, 6) AS tfidf_similarity FROM cosines WHERE cosine >= 0.8"""
+ORACLES["benchmark_matches"] = f"""WITH sides AS (
+  SELECT -1 - item_id AS doc_id, text FROM benchmark UNION ALL SELECT doc_id, text FROM documents),
+{gram_subqueries(UNCOMMENTED.format("text")).replace("FROM documents", "FROM sides")},
+{shared_gram_join("a.doc_id < 0 AND b.doc_id >= 0")}
+SELECT -1 - doc1 AS item_id, doc2 AS doc_id, round(cosine, 6) AS tfidf_similarity FROM cosines WHERE cosine >= 0.45"""

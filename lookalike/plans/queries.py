@@ -8,7 +8,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lookalike.functions.text import normalize, pair_text, words
-from lookalike.operators import compare, jobs, metrics, splits, structure, trees
+from lookalike.operators import candidates, compare, jobs, metrics, splits, structure, trees
 from lookalike.operators.classify import PairClassifier, corpus_tfidf, run_summary
 from lookalike.operators.pairs import PAIR, pair_texts
 from lookalike.operators.tfidf import TFIDF_THRESHOLD, gram_counts, tfidf_similarity
@@ -47,6 +47,10 @@ class Inputs:
     def labels(self) -> DataFrame:
         return tables.table(self.spark, self.sf_dir, "labels")
 
+    @cached_property
+    def benchmark(self) -> DataFrame:
+        return tables.table(self.spark, self.sf_dir, "benchmark")
+
     @cached_property
     def pages(self) -> DataFrame:
         return tables.table(self.spark, self.sf_dir, "pages")
@@ -288,6 +292,24 @@ def tfidf_pair_decision(t: Inputs) -> DataFrame:
     )
 
 
+@query
+def text_classes(t: Inputs) -> DataFrame:
+    return candidates.text_classes(t.documents)
+
+
+@query
+def similar_documents(t: Inputs) -> DataFrame:
+    """All pairs of different texts that are near copies, found without a pair list."""
+    return candidates.similar_texts(t.documents).select(*PAIR, rounded("tfidf_similarity"))
+
+
+@query
+def benchmark_matches(t: Inputs) -> DataFrame:
+    """All documents that reach the decision threshold for a benchmark item."""
+    found = candidates.similar_to_items(t.benchmark, t.documents)
+    return found.select("item_id", "doc_id", rounded("tfidf_similarity"))
+
+
 @query
 def text_tree_nodes(t: Inputs) -> DataFrame:
     return trees.text_tree_nodes(t.documents.select("doc_id", "text").repartition("doc_id"))
