@@ -6,7 +6,7 @@ of ``documents``:
 
 * ``language``: documents without a language go;
 * ``near_duplicates``: one document of each group stays, the smallest id; documents link
-  from a similarity of 0.8 of their five-word shingles on;
+  whose SimHash fingerprints differ in two bits or fewer;
 * ``decontamination``: documents that hold a benchmark item go;
 * ``mixing``: documents are kept as often as the mix of their source takes them;
 * ``tokens``: the token files' digest, one row per document.
@@ -21,7 +21,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lookalike.llm import decontaminate, language_id, mixture, shingle_dedup, token_files
+from lookalike.llm import decontaminate, language_id, mixture, simhash_dedup, token_files
 from lookalike.llm.common import ship, table
 from lookalike.sources.scratch import written
 
@@ -33,7 +33,7 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     ship(spark)
-    return shingle_dedup.drop_near_duplicates(docs)
+    return simhash_dedup.drop_near_duplicates(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
