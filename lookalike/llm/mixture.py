@@ -1,15 +1,16 @@
 """Mixing sources to target weights by Sainte-Lague apportionment.
 
-The words of a source are a stream of equal blocks. Targets decide how many
-blocks the whole mix gets; these seats go to the sources by the highest
-quotients ``target / (2 * seats + 1)``, and a source's seats go to its shards in
-the same way, by their words. A shard is a seeded part of a source that one task
-can order. Inside a shard all blocks are taken as often as its quota holds whole
-rounds, and a seeded choice of blocks once more.
-
-The highest quotients are found without listing blocks: seats are rounded
-shares of a common divisor, and the few seats that this leaves over or short are
-handed out by quotient.
+The words of a source are a stream of equal blocks. Targets decide how many blocks of
+the mix each source gets, and its shards share them by their words. Sainte-Lague gives
+the seats one by one to the highest quotient ``votes / (2 * seats + 1)``; for a house
+that may be of any size this is ``votes / divisor``, rounded, and the divisor here is
+the block itself. So every quota is an expression of its own row: sources are ranked,
+weighed and apportioned as a table, and none of them comes to the driver. A shard is a
+seeded part of a source that one task can order. Its blocks are taken as often as its
+quota holds whole rounds, and a seeded run of blocks once more.
+
+Blocks have ``BLOCK_WORDS`` words, fewer where the smallest target would not hold
+``FINEST`` of them, so that small sources are rounded no more coarsely than large ones.
 
 Defined results: a null text has size 0 and takes nothing; a null source is a
 source of its own, last in order; repeated rows and rows without an id are
@@ -20,10 +21,6 @@ other columns are ignored by ``mix`` and passed through by ``mixed_documents``.
 
 from __future__ import annotations
 
-import heapq
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from lookalike.operators.numbering import number_rows, range_bucket
@@ -35,12 +32,11 @@ WEIGHTS = (1.0, 2.0, 3.0)
 
 #: No document is taken more often than this.
 MAX_REPEATS = 3
-#: Words of a block.
+#: Words of a block, at most, and blocks that the smallest target holds, at least.
 BLOCK_WORDS = 20
+FINEST = 20
 #: Documents of a shard, about. One task orders a shard.
 SHARD_ROWS = 1_000
-#: Sources that may be weighed on the driver; more are refused.
-MAX_SOURCES = 1_000_000
 SEED = 17
 #: What tells rows apart; ``nth`` is the number within rows that are equal otherwise.
 KEY = ("doc_id", "source", "digest", "nth")
@@ -54,58 +50,48 @@ def sizes(docs: DataFrame, row: Column) -> DataFrame:
     return docs.select(row.alias("row"), "doc_id", source, F.xxhash64(text).alias("digest"), count.alias("size"))
 
 
-def targets(source_sizes: list[int], weights: tuple[float, ...] = WEIGHTS, most: float = MAX_REPEATS) -> np.ndarray:
-    """Shares of all words by repeating weights, none above ``most`` times its own.
+def ranked_sources(by_source: DataFrame) -> DataFrame:
+    """``by_source`` with ``rank``, from 0 in code-point order, null last.
 
-    What a full source cannot take is shared again, by weight, among the others.
+    Sorted in ranges by Spark; a range is shifted by the rows of the earlier ones.
     """
-    own = np.asarray(source_sizes, float)
-    weight = np.resize(np.asarray(weights, float), len(own))
-    target, open_ = np.zeros(len(own)), own > 0
-    left = own.sum()
-    while np.any(open_):
-        share = left * weight / weight[open_].sum()
-        full = open_ & (share >= most * own)
-        if not np.any(full):
-            target[open_] = share[open_]
-            break
-        target[full] = most * own[full]
-        left -= target[full].sum()
-        open_ &= ~full
-    return target
-
-
-def apportion(votes: np.ndarray, seats: int) -> np.ndarray:
-    """Sainte-Lague: ``seats`` by the highest quotients ``votes / (2 k + 1)``.
-
-    Ties go to the earlier entry. Entries without votes get nothing.
+    placed = by_source.orderBy(F.asc_nulls_last("source")).withColumn("_place", F.monotonically_increasing_id())
+    placed = written(placed.withColumn("_range", F.shiftright("_place", 33)), "mixture-ranks")
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = placed.groupBy("_range").agg(F.count(F.lit(1)).alias("_rows"))
+    shifts = ranges.select("_range", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_shift"))
+    rank = F.col("_shift") + F.col("_place") - F.shiftleft("_range", 33)
+    return placed.join(shifts, "_range").select(*by_source.columns, rank.alias("rank"))
+
+
+def with_targets(ranked: DataFrame, weights: tuple[float, ...] = WEIGHTS, most: int = MAX_REPEATS) -> DataFrame:
+    """Add ``target`` to ``(source, words, rank)``: shares by repeating weights, none above ``most`` times its words.
+
+    A source is full where the common level reaches ``most`` times its words; what it
+    cannot take raises the level for the others. The level only rises, and a round that
+    fills no further source ends the search. Sums are exact, so reruns agree.
     """
-    votes = np.asarray(votes, float)
-    won = np.zeros(len(votes), np.int64)
-    total = votes.sum()
-    if total <= 0 or seats <= 0:
-        return won
-    # Rounded down shares never exceed the final seats by more than the heap can undo.
-    won = np.floor(votes * (seats / total)).astype(np.int64)
-    heap = [(-v / (2 * k + 1), i) for i, (v, k) in enumerate(zip(votes, won)) if v > 0]
-    heapq.heapify(heap)
-    for _ in range(seats - int(won.sum())):
-        _, i = heap[0]
-        won[i] += 1
-        heapq.heapreplace(heap, (-votes[i] / (2 * won[i] + 1), i))
-    # A seat that is worth less than the best one not yet given moves there.
-    last = [(votes[i] / (2 * won[i] - 1), -i) for i in range(len(votes)) if won[i] > 0]
-    heapq.heapify(last)
-    while last and heap and last[0][0] < -heap[0][0]:
-        _, i = heapq.heappop(last)
-        _, j = heap[0]
-        won[-i] -= 1
-        won[j] += 1
-        heap = [(-v / (2 * k + 1), n) for n, (v, k) in enumerate(zip(votes, won)) if v > 0]
-        heapq.heapify(heap)
-        last = [(votes[n] / (2 * won[n] - 1), -n) for n in range(len(votes)) if won[n] > 0]
-        heapq.heapify(last)
-    return won
+    weight = F.element_at(F.array(*(F.lit(w) for w in weights)), (F.col("rank") % len(weights) + 1).cast("int"))
+    weighed = written(ranked.withColumn("weight", weight.cast("decimal(18,6)")), "mixture-weights")
+    holds = F.col("words") > 0
+    level, filled = 0.0, -1
+    while True:
+        full = holds & (F.col("weight").cast("double") * level >= most * F.col("words"))
+        total, in_full, open_, now = weighed.agg(
+            F.coalesce(F.sum("words"), F.lit(0)),
+            F.coalesce(F.sum(F.when(full, F.col("words"))), F.lit(0)),
+            F.coalesce(F.sum(F.when(holds & ~full, F.col("weight"))), F.lit(0)),
+            F.count_if(full),
+        ).first()
+        if now == filled or not open_:
+            target = F.when(full, most * F.col("words")).when(holds, F.col("weight").cast("double") * level)
+            return weighed.withColumn("target", F.coalesce(target.cast("double"), F.lit(0.0))).drop("weight")
+        level, filled = float((total - most * in_full) / open_), now
+
+
+def quota(votes: Column, divisor: Column | int) -> Column:
+    """Seats by the highest quotients ``votes / (2 k + 1)`` down to half the divisor."""
+    return F.floor(votes / divisor + 0.5).cast("long")
 
 
 def _seeded(*columns: Column | str) -> Column:
@@ -115,8 +101,7 @@ def _seeded(*columns: Column | str) -> Column:
 def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_rows: int = SHARD_ROWS) -> DataFrame:
     """``(doc_id, size, source_size, target, taken)`` of every document.
 
-    Only sizes are shuffled, never texts. The table of sources comes to the
-    driver; it is refused beyond ``MAX_SOURCES`` rows.
+    Only sizes are shuffled, never texts.
     """
     taken = _mixed(sizes(docs, F.monotonically_increasing_id()), block_words, shard_rows)
     return taken.select("doc_id", "size", "source_size", "target", "taken")
@@ -124,73 +109,60 @@ def mix(docs: DataFrame, block_words: int = BLOCK_WORDS, shard_rows: int = SHARD
 
 def _mixed(found_sizes: DataFrame, block_words: int, shard_rows: int) -> DataFrame:
     """``(row, *KEY, size, source_size, target, taken)`` of ``sizes``."""
-    spark = found_sizes.sparkSession
     serial = written(found_sizes, "mixture-sizes")
     numbered = number_rows(serial, KEY[:-1], range_bucket(F.col("row")), [F.col("row")], "nth")
     rows = written(numbered.select("row", *KEY, "size"), "mixture-rows")
     by_source = rows.groupBy("source").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("documents"))
-    found = by_source.limit(MAX_SOURCES + 1).collect()
-    if len(found) > MAX_SOURCES:
-        raise ValueError(f"more than {MAX_SOURCES} sources")
-    found.sort(key=lambda r: (r["source"] is None, (r["source"] or "").encode("utf-32-be", "surrogatepass")))
-    words = [r["words"] for r in found]
-    target = targets(words)
-    quota = apportion(target, round(float(target.sum()) / block_words))
-    schema = "source string, source_size long, target double, quota long, shards long"
-    plan = spark.createDataFrame(
-        [
-            (r["source"], r["words"], float(t), int(q), -(-r["documents"] // shard_rows))
-            for r, t, q in zip(found, target, quota)
-        ],
-        schema,
+    plan = written(with_targets(ranked_sources(by_source)), "mixture-plan")
+    smallest = plan.where("words > 0").agg(F.min("target")).first()[0] or 0.0
+    block = max(1, min(block_words, int(smallest // FINEST)))
+    plan = plan.select(
+        F.col("source").alias("_source"),
+        F.col("words").alias("source_size"),
+        "target",
+        F.ceil(F.col("documents") / shard_rows).alias("shards"),
     )
 
     # The plan has a row per source; whether it is broadcast is left to Spark and its size limit.
-    placed = rows.join(plan, rows.source.eqNullSafe(plan.source)).drop(plan.source)
+    placed = rows.join(plan, F.col("source").eqNullSafe(F.col("_source")))
     placed = placed.withColumn("shard", F.pmod(_seeded(*KEY, F.lit("shard")), F.col("shards")))
     cell = ["source", "shard"]
-    shards = placed.groupBy(*cell).agg(F.sum("size").alias("shard_words"), F.first("quota").alias("quota"))
-
-    def share(key: tuple, cells: pd.DataFrame) -> pd.DataFrame:
-        cells = cells.sort_values("shard", kind="stable")
-        won = apportion(cells["shard_words"].to_numpy(float), int(cells["quota"].iloc[0]))
-        return pd.DataFrame({"source": cells["source"], "shard": cells["shard"], "shard_words": cells["shard_words"], "won": won})
-
-    given = shards.groupBy("source").applyInPandas(share, "source string, shard long, shard_words long, won long")
-    blocks = F.greatest(F.lit(1), F.round(F.col("shard_words") / block_words)).cast("long")
-    given = given.withColumn("blocks", blocks).withColumn("won", F.least("won", F.col("blocks") * MAX_REPEATS))
-    given = given.withColumn("rounds", F.expr("won div blocks")).withColumn("extra", F.expr("won % blocks"))
+    shards = placed.groupBy(*cell).agg(
+        F.sum("size").alias("shard_words"), F.first("source_size").alias("all"), F.first("target").alias("votes")
+    )
+    # A shard's votes are its share of the source's target; a source of one shard has all of them.
+    votes = F.col("votes") * (F.col("shard_words") / F.col("all"))
+    won = F.least(quota(votes, block) * block, F.col("shard_words") * MAX_REPEATS)
+    given = shards.where("shard_words > 0").select(
+        F.col("source").alias("_source"),
+        F.col("shard").alias("_shard"),
+        "shard_words",
+        won.alias("won"),
+        F.greatest(F.lit(1), F.round(F.col("shard_words") / block)).cast("long").alias("blocks"),
+    )
+    given = given.withColumn("rounds", F.expr("won div shard_words"))
+    extra = F.round((F.col("won") % F.col("shard_words")) * F.col("blocks") / F.col("shard_words"))
+    given = given.withColumn("extra", extra.cast("long"))
+    given = given.withColumn("first", F.pmod(_seeded("_source", "_shard"), F.col("blocks")))
 
-    joined = placed.join(given.withColumnRenamed("source", "_source").withColumnRenamed("shard", "_shard"),
-                         F.col("source").eqNullSafe(F.col("_source")) & (F.col("shard") == F.col("_shard")))
+    met = F.col("source").eqNullSafe(F.col("_source")) & (F.col("shard") == F.col("_shard"))
+    joined = placed.drop("_source").join(given, met, "left")
     order = Window.partitionBy(*cell).orderBy(_seeded(*KEY), *KEY).rowsBetween(Window.unboundedPreceding, 0)
     ended = joined.withColumn("_end", F.sum("size").over(order)).withColumn("_start", F.col("_end") - F.col("size"))
     return ended.select("row", *KEY, "size", "source_size", "target", _taken().cast("long").alias("taken"))
 
 
 def _taken() -> Column:
-    """Words of ``[_start, _end)`` in whole rounds and in the seeded extra blocks.
+    """Words of ``[_start, _end)`` in whole rounds and in the run of extra blocks.
 
-    Block ``b`` covers ``[b * words div blocks, (b + 1) * words div blocks)``. It is
-    an extra one if a seeded step around the circle of blocks brings it among the
-    first ``extra``; the step is a prime larger than any number of blocks, so
-    exactly that many are chosen.
+    Block ``b`` covers ``[b * words div blocks, (b + 1) * words div blocks)``. The run
+    starts at a seeded block and goes on at the shard's first one after its last.
     """
-    return F.expr(
-        f"""
-        case when size = 0 then 0 else size * rounds + case when extra = 0 then 0 else aggregate(
-          sequence(_start * blocks div shard_words, least(blocks - 1, (_end * blocks) div shard_words)),
-          cast(0 as bigint),
-          (sum, b) -> sum + case
-            when cast((cast(b as decimal(38,0)) * {STEP} + pmod(xxhash64({SEED}, source, shard), blocks)) % blocks as bigint) < extra
-            then greatest(0, least(_end, (b + 1) * shard_words div blocks) - greatest(_start, b * shard_words div blocks))
-            else 0 end) end end
-        """
-    )
-
-
-#: A prime beyond any number of blocks in a shard.
-STEP = 2_147_483_647
+    run = "greatest(0, least(_end, {1}) - greatest(_start, {0}))"
+    begin = "(first * shard_words) div blocks"
+    end = "(least(first + extra, blocks) * shard_words) div blocks"
+    around = "(greatest(first + extra - blocks, 0) * shard_words) div blocks"
+    return F.expr(f"if(size = 0, 0, size * rounds + {run.format(begin, end)} + {run.format('0', around)})")
 
 
 def mixed_documents(docs: DataFrame) -> DataFrame:

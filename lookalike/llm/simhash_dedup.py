@@ -24,7 +24,9 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from lookalike.llm.common import components, text_bytes
 from lookalike.sources.scratch import written
@@ -133,14 +135,19 @@ def near_links(fps: DataFrame) -> DataFrame:
     return positional_postings(fps).mapInArrow(run, "a long, b long")
 
 
-def simhash_components(docs: DataFrame) -> DataFrame:
-    """``(doc_id, fingerprint, component_id)`` of every row of ``docs``."""
-    rows = written(fingerprints(docs), "simhash-fingerprints")
-    first = rows.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
+def _grouped(fps: DataFrame) -> DataFrame:
+    """``(fp, first_id, root)`` of the distinct fingerprints in ``fps (doc_id, fp)``; equal roots are one group."""
+    first = fps.groupBy("fp").agg(F.min("doc_id").alias("first_id"))
     roots = components(near_links(first.select("fp")), "simhash-links")
-    member = first.join(roots, first.fp == roots.node, "left").select(
+    return first.join(roots, first.fp == roots.node, "left").select(
         "fp", "first_id", F.coalesce("root", "fp").alias("root")
     )
+
+
+def simhash_components(docs: DataFrame) -> DataFrame:
+    """``(doc_id, fingerprint, component_id)`` of every row of ``docs``."""
+    rows = written(fingerprints(docs), "simhash-fingerprints")
+    member = _grouped(rows)
     smallest = member.groupBy("root").agg(F.min("first_id").alias("component_id"))
     named = member.join(smallest, "root").select("fp", "component_id")
     return rows.join(named, "fp").select(
@@ -149,9 +156,30 @@ def simhash_components(docs: DataFrame) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` whose document is the smallest id of its group.
+    """One row of ``docs`` for each group of near duplicates, unchanged.
 
-    Rows without an id cannot be told apart and stay.
+    The smallest id stays, of rows with that id the first one; a row without an id
+    stays only if its whole group has none. Rows are written with their fingerprint
+    and a number, so that a row is the same one in all steps.
     """
-    losers = simhash_components(docs).where("doc_id != component_id").select("doc_id").distinct()
-    return docs.join(losers, "doc_id", "left_anti").select(*docs.columns)
+    fp, serial = (next(n for n in (base + "_" * i for i in range(99)) if n not in docs.columns) for base in ("fp", "serial"))
+    text_at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            texts = pa.RecordBatch.from_arrays([batch.column(text_at).cast(pa.string())], ["text"])
+            fps = np.fromiter((fingerprint(text) for _, text in text_bytes(texts)), np.uint64, batch.num_rows)
+            numbers = pa.array(at + np.arange(batch.num_rows))
+            yield pa.RecordBatch.from_arrays(
+                [*batch.columns, pa.array(fps.view(np.int64)), numbers], [*batch.schema.names, fp, serial]
+            )
+            at += batch.num_rows
+
+    schema = StructType([*docs.schema.fields, StructField(fp, LongType()), StructField(serial, LongType())])
+    rows = written(docs.mapInArrow(run, schema), "simhash-rows")
+    marks = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(fp).alias("fp"), F.col(serial).alias("serial"))
+    order = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "serial")
+    least = marks.join(_grouped(marks).select("fp", "root"), "fp").groupBy("root").agg(F.min(order).alias("least"))
+    stay = least.select(F.col("least.serial").alias(serial))
+    return rows.join(stay, serial, "left_semi").select(*docs.columns)
