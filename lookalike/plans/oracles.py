@@ -2,6 +2,22 @@
 
 from __future__ import annotations
 
+from lookalike.operators.code_trees import (
+    ASIDE,
+    ASSIGNING,
+    BEFORE_EXPRESSIONS,
+    BINARY,
+    CLASS_WORDS,
+    CUTTING_OPERATORS,
+    ESCAPED,
+    GOES_ON,
+    LITERAL_WORDS,
+    NEVER_CALLED,
+    TOKEN,
+)
+from lookalike.operators.trees import NODE_VALUES, OTHER_NODE_VALUE
+from lookalike.plans.tables import BROKEN_CODE, CODE_STATEMENTS
+
 # --- building blocks: each is one or more named subqueries --------------------------
 
 CASE_PAIRS = """
@@ -611,3 +627,141 @@ ORACLES["benchmark_matches"] = f"""WITH sides AS (
 {gram_subqueries(UNCOMMENTED.format("text")).replace("FROM documents", "FROM sides")},
 {shared_gram_join("a.doc_id < 0 AND b.doc_id >= 0")}
 SELECT -1 - doc1 AS item_id, doc2 AS doc_id, round(cosine, 6) AS tfidf_similarity FROM cosines WHERE cosine >= 0.45"""
+
+
+# --- trees of source code, by intervals of tokens ---------------------------------------
+
+
+def _sql_list(values: tuple[str, ...]) -> str:
+    return "(" + ", ".join("'" + v.replace("'", "''") + "'" for v in values) + ")"
+
+
+def _sql_statement(pattern: str) -> str:
+    quoted = "'" + pattern.replace("'", "''") + "'"
+    return f"replace(replace({quoted}, '<w>', w[1]), '<n>', CAST(len(w) AS VARCHAR))"
+
+
+CODE_TOKEN = TOKEN.replace("'", "''")
+TYPE_END = "((regexp_matches({0}, '^[\\p{{L}}_$]') AND {0} NOT IN {1}) OR {0} IN (']', '>'))"
+BEFORE = _sql_list(BEFORE_EXPRESSIONS)
+NEVER = _sql_list(NEVER_CALLED)
+WORD_START = "regexp_matches({0}, '^[\\p{{L}}_$]')"
+
+NODE_BASES = "MAP {" + ", ".join(f"'{kind}': {value}" for kind, value in NODE_VALUES.items()) + "}"
+
+CODE_NODES = f"""
+code_sentences AS (
+  SELECT doc_id, number, place, {WORDS.format("sentence")} AS w
+  FROM documents, unnest(string_split(text, chr(10))) WITH ORDINALITY AS l(line, number),
+    unnest(regexp_extract_all(line, '[^.!?]+')) WITH ORDINALITY AS s(sentence, place)),
+code_methods AS (
+  SELECT doc_id, number, 'public int ' || arg_min(w[1], place) || '(int a, String b) {{' || chr(10) || string_agg(
+      CASE {" ".join(f"WHEN len(w) % {len(CODE_STATEMENTS)} = {i} THEN {_sql_statement(p)}" for i, p in enumerate(CODE_STATEMENTS))} END,
+      chr(10) ORDER BY place) || chr(10) || '}}' AS method
+  FROM code_sentences WHERE len(w) > 0 GROUP BY doc_id, number),
+code_files AS (
+  SELECT d.doc_id, 'class D' || d.doc_id || ' {{' || chr(10) || coalesce(m.body, '') || chr(10)
+    || CASE WHEN d.doc_id % {BROKEN_CODE[0]} = {BROKEN_CODE[1]} THEN '}}}}' ELSE '}}' END AS text
+  FROM documents d LEFT JOIN (
+    SELECT doc_id, string_agg(method, chr(10) ORDER BY number) AS body FROM code_methods GROUP BY doc_id) m
+    ON d.doc_id = m.doc_id),
+raw_tokens AS (
+  SELECT doc_id, seq, token, gap FROM (
+    SELECT doc_id, unnest(regexp_extract_all(text, '{CODE_TOKEN}')) AS token,
+      unnest(string_split_regex(text, '{CODE_TOKEN}')[:-2]) AS gap,
+      unnest(range(len(regexp_extract_all(text, '{CODE_TOKEN}')))) AS seq
+    FROM (SELECT doc_id, regexp_replace(text, '{ESCAPED}', '{ASIDE}', 'g') AS text FROM code_files))),
+lined AS (
+  SELECT doc_id, seq, token, 1 + sum(
+      length(gap) - length(replace(gap, chr(10), '')) + length(token) - length(replace(token, chr(10), '')))
+    OVER (PARTITION BY doc_id ORDER BY seq) - length(token) + length(replace(token, chr(10), '')) AS line
+  FROM raw_tokens),
+tokens AS (
+  SELECT *, lag(token) OVER w AS p1, lag(token, 2) OVER w AS p2, lead(token) OVER w AS nx, lead(seq) OVER w AS nseq,
+    sum(CASE WHEN token IN ('(', '[', '{{') THEN 1 WHEN token IN (')', ']', '}}') THEN -1 ELSE 0 END) OVER w AS after
+  FROM lined WHERE NOT regexp_matches(token, '^(//|/\\*)') WINDOW w AS (PARTITION BY doc_id ORDER BY seq)),
+opened AS (SELECT doc_id, seq, token, after AS level, p1, p2 FROM tokens WHERE token IN ('(', '[', '{{')),
+shut AS (SELECT doc_id, seq, token, after + 1 AS level, nx FROM tokens WHERE token IN (')', ']', '}}')),
+brackets AS (
+  SELECT o.doc_id, o.seq AS a, s.seq AS b, o.token, o.token || s.token AS pair, o.level, o.p1, o.p2
+  FROM opened o ASOF LEFT JOIN shut s ON o.doc_id = s.doc_id AND o.level = s.level AND s.seq > o.seq),
+broken AS (
+  SELECT doc_id FROM tokens GROUP BY doc_id HAVING min(after) < 0 OR arg_max(after, seq) <> 0
+  UNION SELECT doc_id FROM brackets WHERE pair NOT IN ('()', '[]', '{{}}')),
+homes AS (
+  SELECT t.*, coalesce(h.a, -1) AS home, h.b AS home_end, coalesce(h.token, '{{') AS home_token,
+    coalesce(h.token = '(' AND {WORD_START.format("h.p1")} AND h.p1 NOT IN {NEVER} AND {TYPE_END.format("h.p2", BEFORE)}, false) AS in_header
+  FROM (SELECT *, CASE WHEN token IN ('(', '[', '{{') THEN after - 1 ELSE after END AS own
+        FROM tokens WHERE doc_id NOT IN (SELECT doc_id FROM broken)) t
+  ASOF LEFT JOIN (SELECT * FROM brackets) h ON t.doc_id = h.doc_id AND t.own = h.level AND t.seq > h.a),
+marked AS (
+  SELECT *, home_token = '{{' AND (token = ';' OR (token = '}}' AND (nx IS NULL OR nx NOT IN {_sql_list(GOES_ON)}))) AS ends,
+    {WORD_START.format("token")} AND {TYPE_END.format("p1", BEFORE)} AS named,
+    token IN {_sql_list(BINARY)} AND (({WORD_START.format("p1")} AND p1 NOT IN {BEFORE}) OR regexp_matches(p1, '^["''0-9]') OR p1 IN (')', ']'))
+      AND NOT (token = '<' AND coalesce(regexp_matches(nx, '^[\\p{{Lu}}>?]'), false))
+      AND NOT (token = '>' AND (regexp_matches(p1, '^\\p{{Lu}}') OR p1 IN ('>', ']', '?'))) AS operates
+  FROM homes),
+parted AS (
+  SELECT *, (count(*) FILTER (WHERE ends) OVER v) - CAST(ends AS INT) AS statement,
+    (count(*) FILTER (WHERE ends OR token IN (',', ';')) OVER v) - CAST(ends OR token IN (',', ';') AS INT) AS stretch
+  FROM marked WINDOW v AS (PARTITION BY doc_id, home ORDER BY seq)),
+statements AS (
+  SELECT doc_id, min(seq) FILTER (WHERE token <> ';') AS a,
+    coalesce(max(seq) FILTER (WHERE ends), max(home_end) - 0.5, 1e9) AS b,
+    CASE WHEN bool_or(token IN {_sql_list(CLASS_WORDS)}) THEN 'ClassDeclaration'
+      WHEN arg_min(token, seq) FILTER (WHERE token <> ';') = 'if' THEN 'IfStatement'
+      WHEN arg_min(token, seq) FILTER (WHERE token <> ';') = 'else' AND bool_or(token = 'if') THEN 'IfStatement'
+      WHEN arg_min(token, seq) FILTER (WHERE token <> ';') = 'for' THEN 'ForStatement'
+      WHEN arg_min(token, seq) FILTER (WHERE token <> ';') = 'while' THEN 'WhileStatement'
+      WHEN bool_or(coalesce(token = '(' AND {WORD_START.format("p1")} AND p1 NOT IN {NEVER} AND {TYPE_END.format("p2", BEFORE)}, false)) THEN 'MethodDeclaration'
+      WHEN bool_or(coalesce(named AND nx IN ('=', ';', ',', ':'), false)) THEN 'VariableDeclaration'
+      WHEN bool_or(token IN {_sql_list(ASSIGNING)}) THEN 'Assignment' ELSE 'Statement' END AS kind
+  FROM parted WHERE home_token = '{{' GROUP BY doc_id, home, statement HAVING bool_or(token <> ';')),
+runs AS (
+  SELECT doc_id, a, b, 0 AS layer, kind, false AS cut FROM statements
+  UNION ALL
+  SELECT t.doc_id, t.seq, k.b, 1, 'FunctionCall', false
+  FROM parted t JOIN brackets k ON t.doc_id = k.doc_id AND k.token = '(' AND k.p1 = t.token
+    AND k.a = t.nseq
+  WHERE t.nx = '(' AND {WORD_START.format("t.token")} AND t.token NOT IN {NEVER} AND NOT coalesce({TYPE_END.format("t.p1", BEFORE)}, false)
+  UNION ALL
+  SELECT doc_id, seq, coalesce(min(seq) FILTER (WHERE ends OR token IN (',', ';')) OVER (PARTITION BY doc_id, home, stretch), home_end, 1e9),
+    1, 'BinaryOperation', token IN {_sql_list(CUTTING_OPERATORS)}
+  FROM parted QUALIFY operates),
+leaves AS (
+  SELECT doc_id, seq AS a, CASE WHEN regexp_matches(token, '^["''0-9]') OR token IN {_sql_list(LITERAL_WORDS)} THEN 'Literal'
+      WHEN named AND nx IN (',', ')') AND in_header THEN 'Parameter' END AS kind
+  FROM parted
+  WHERE NOT coalesce(nx = '(' AND {WORD_START.format("token")} AND token NOT IN {NEVER} AND NOT coalesce({TYPE_END.format("p1", BEFORE)}, false), false)),
+spans AS (
+  SELECT doc_id, -1 AS a, 2e9 AS b, 0 AS layer, 'CompilationUnit' AS kind, false AS cut, 1 AS line
+  FROM tokens WHERE doc_id NOT IN (SELECT doc_id FROM broken) GROUP BY doc_id
+  UNION ALL SELECT r.doc_id, r.a, r.b, r.layer, r.kind, r.cut, t.line FROM runs r JOIN tokens t ON t.doc_id = r.doc_id AND t.seq = r.a
+  UNION ALL SELECT l.doc_id, l.a, l.a, 1, l.kind, false, t.line
+  FROM leaves l JOIN tokens t ON t.doc_id = l.doc_id AND t.seq = l.a WHERE l.kind IS NOT NULL),
+valued AS (
+  SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY a, layer) - 1 AS position,
+    coalesce({NODE_BASES}[kind], {OTHER_NODE_VALUE}) AS base
+  FROM spans),
+pairs_of_nodes AS (
+  SELECT y.doc_id, y.position AS up, x.position AS down, x.base, y.cut
+  FROM valued y JOIN valued x ON x.doc_id = y.doc_id AND x.position > y.position AND x.a <= y.b),
+placed_nodes AS (
+  SELECT v.doc_id, v.position, count(p.up) AS depth, count(p.up) FILTER (WHERE p.cut) AS cuts
+  FROM valued v LEFT JOIN pairs_of_nodes p ON p.doc_id = v.doc_id AND p.down = v.position GROUP BY v.doc_id, v.position),
+code_nodes AS (
+  SELECT v.doc_id, CAST(v.position AS INT) AS position, any_value(v.kind) AS node_type, CAST(any_value(d.depth) AS INT) AS depth,
+    CAST(count(p.down) FILTER (WHERE e.depth = d.depth + 1) AS INT) AS num_children,
+    CAST(any_value(v.base) + CASE WHEN any_value(v.cut) THEN 0
+      ELSE coalesce(sum(p.base) FILTER (WHERE e.cuts = d.cuts), 0) END AS BIGINT) AS hash_value,
+    CAST(any_value(v.line) AS INT) AS line_number
+  FROM valued v JOIN placed_nodes d ON d.doc_id = v.doc_id AND d.position = v.position
+  LEFT JOIN pairs_of_nodes p ON p.doc_id = v.doc_id AND p.up = v.position
+  LEFT JOIN placed_nodes e ON e.doc_id = v.doc_id AND e.position = p.down
+  GROUP BY v.doc_id, v.position)"""
+ORACLES["code_tree_nodes"] = f"""WITH {CODE_NODES}
+SELECT doc_id, position, node_type, depth, num_children, hash_value, line_number FROM code_nodes"""
+ORACLES["code_structural_score"] = f"""WITH {PAIRS},{CODE_NODES},
+nodes AS (SELECT * FROM code_nodes),
+{match_subqueries("once", DOC_IDS)}
+SELECT doc1, doc2, similar_nodes, nodes1, nodes2, round(structure_similarity, 6) AS structure_similarity FROM matches"""

@@ -8,7 +8,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lookalike.functions.text import normalize, pair_text, words
-from lookalike.operators import candidates, compare, jobs, metrics, splits, structure, trees
+from lookalike.operators import candidates, code_trees, compare, jobs, metrics, splits, structure, trees
 from lookalike.operators.classify import PairClassifier, corpus_tfidf, run_summary
 from lookalike.operators.pairs import PAIR, pair_texts
 from lookalike.operators.tfidf import TFIDF_THRESHOLD, gram_counts, tfidf_similarity
@@ -315,6 +315,20 @@ def text_tree_nodes(t: Inputs) -> DataFrame:
     return trees.text_tree_nodes(t.documents.select("doc_id", "text").repartition("doc_id"))
 
 
+@query
+def code_tree_nodes(t: Inputs) -> DataFrame:
+    """Trees of source code; every fiftieth file has a bracket too many and no nodes."""
+    return code_trees.code_tree_nodes(tables.code_texts(t.documents))
+
+
+@query
+def code_structural_score(t: Inputs) -> DataFrame:
+    """Pairs of source files by their trees, files without nodes included."""
+    files = tables.code_texts(t.documents)
+    scored = structure.structural_score(tables.all_pairs(t.keys), code_trees.code_tree_nodes(files), files)
+    return scored.select(*PAIR, "similar_nodes", "nodes1", "nodes2", rounded("structure_similarity"))
+
+
 @query
 def tag_tree_nodes(t: Inputs) -> DataFrame:
     return trees.tag_tree_nodes(t.html)

@@ -10,9 +10,13 @@ Two corpora of pairs are read off the documents, each linear in their number:
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from lookalike.functions.text import words
 from lookalike.operators.pairs import PAIR
+from lookalike.operators.trees import SENTENCE
 
 # Path formats of the file listing.
 ORIGINAL_FORMAT = "graded/case-%02d/Original/%d.java"
@@ -159,3 +163,47 @@ def contest_labels(keys: DataFrame, labels: DataFrame) -> DataFrame:
     )
     names = F.split("folder", "_", 2)
     return rows.select(names[0].alias("sub1"), names[1].alias("sub2"), problem_number().alias("problem"), F.inline(lines))
+
+
+# --- source code made from the documents -------------------------------------------
+
+# The statement a sentence becomes, by its number of words; <w> is its first
+# word, <n> that number. Strings and comments hold brackets on purpose.
+CODE_STATEMENTS = (
+    "int <w> = <n>;",
+    '<w>(a, "<w>; { <n>");',
+    "if (a < <n>) { <w> = a - b / 2; } else { b++; }",
+    "for (int i = 0; i < <n>; i++) { <w>(i, b).next(); }",
+    "while (<w> != null) { a += <w>.size(1) % 3 + 'x'; }",
+    "/* <w> { */ List<String> <w> = new Map(a, b * 2); // done )",
+    "return f(<w>, a - g(b + 1) * 2);",
+)
+#: Documents with this remainder have a bracket too many.
+BROKEN_CODE = (50, 7)
+
+
+def code_texts(documents: DataFrame) -> DataFrame:
+    """``doc_id, text``: a class per document, a method per line, a statement per sentence."""
+
+    def statement(words_: Column) -> Column:
+        def filled(pattern: str) -> Column:
+            parts = re.split(r"<([wn])>", pattern)
+            values = {"w": words_[0], "n": F.size(words_).cast("string")}
+            return F.concat(*(values[x] if i % 2 else F.lit(x) for i, x in enumerate(parts)))
+
+        kind = F.pmod(F.size(words_), F.lit(len(CODE_STATEMENTS)))
+        return F.array(*(filled(p) for p in CODE_STATEMENTS))[kind]
+
+    def sentences(line: Column) -> Column:
+        cut = F.transform(F.regexp_extract_all(line, F.lit(SENTENCE), F.lit(0)), words)
+        return F.filter(cut, lambda w: F.size(w) > 0)
+
+    def method(own: Column) -> Column:
+        body = F.array_join(F.transform(own, statement), "\n")
+        return F.concat(F.lit("public int "), own[0][0], F.lit("(int a, String b) {\n"), body, F.lit("\n}"))
+
+    lines = F.filter(F.transform(F.split("text", "\n"), sentences), lambda own: F.size(own) > 0)
+    every, at = BROKEN_CODE
+    end = F.when(F.pmod("doc_id", F.lit(every)) == at, "\n}}").otherwise("\n}")
+    head = F.concat(F.lit("class D"), F.col("doc_id").cast("string"), F.lit(" {\n"))
+    return documents.select("doc_id", F.concat(head, F.array_join(F.transform(lines, method), "\n"), end).alias("text"))
