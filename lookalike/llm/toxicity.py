@@ -44,6 +44,8 @@ SAMPLE_PER_LABEL = 20_000
 FEATURES, RAREST = 1 << 13, 3
 SENTENCE_WORDS = 64
 STEPS, RATE, RIDGE = 60, 0.3, 1e-4
+#: Tasks of a training step.
+STEP_TASKS = 4
 
 _END = re.compile(r"[.!?\r\n]+")
 _WORD = re.compile(r"[^\W\d_]+")
@@ -95,22 +97,35 @@ def noisy_or(p: np.ndarray) -> float:
 # --- learning -----------------------------------------------------------------------------
 
 
+def _digests(docs: DataFrame) -> DataFrame:
+    """``(doc_id, text, digest)`` of the documents that have a text."""
+    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text is not null")
+    return rows.withColumn("digest", F.struct(F.xxhash64("text").alias("a"), F.xxhash64(F.lit(1), "text").alias("b")))
+
+
 def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``(text, toxic)``: the distinct texts of ``docs (doc_id, text)`` by label."""
+    """``(digest, toxic, doc_id)``: the distinct texts of ``docs (doc_id, text)`` by label, with one of their ids."""
     known = labels.where("toxic is not null").groupBy("doc_id").agg(F.max((F.col("toxic") == 1).cast("int")).alias("toxic"))
-    rows = docs.select("doc_id", F.col("text").cast("string").alias("text")).where("text is not null")
-    return rows.join(known, "doc_id").select("text", "toxic").distinct()
+    met = _digests(docs).select("doc_id", "digest").join(known, "doc_id")
+    return met.groupBy("digest", "toxic").agg(F.min("doc_id").alias("doc_id"))
+
 
+def sampled(docs: DataFrame, labels: DataFrame, most: int) -> tuple[DataFrame, dict[int, int]]:
+    """``(text, toxic, weight)``: about ``most`` texts of each label, weighted back to all of them.
 
-def _sampled(texts: DataFrame, most: int) -> tuple[DataFrame, dict[int, int]]:
-    """``(text, toxic, weight)``: about ``most`` texts of each label, weighted back to all of them."""
+    Texts are drawn by their digests; only those drawn are moved. Their list has the
+    bound of the sample, so it is broadcast.
+    """
+    texts = written(labelled(docs, labels), "toxicity-labelled")
     sizes = {toxic: n for toxic, n in texts.groupBy("toxic").count().collect()}
     share = F.lit(1.0)
     for toxic, n in sizes.items():
         if n > most:
             share = F.when(F.col("toxic") == toxic, F.lit(most / n)).otherwise(share)
-    place = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)
-    return texts.where(place < share).withColumn("weight", 1.0 / share), sizes
+    place = F.pmod("digest.a", F.lit(1 << 30)) / float(1 << 30)
+    drawn = texts.where(place < share).withColumn("weight", 1.0 / share)
+    found = _digests(docs).join(F.broadcast(drawn), ["doc_id", "digest"])
+    return found.dropDuplicates(["digest", "toxic"]).select("text", "toxic", "weight"), sizes
 
 
 def telling_words(sample: DataFrame, most: int) -> list[str]:
@@ -209,13 +224,14 @@ def _gradient(features: DataFrame, weights: np.ndarray, bias: float) -> tuple[np
 
 def learn(docs: DataFrame, labels: DataFrame, most: int = SAMPLE_PER_LABEL, steps: int = STEPS) -> Model:
     """A model from documents ``(doc_id, text)`` and labels ``(doc_id, toxic)``."""
-    sample, sizes = _sampled(labelled(docs, labels), most)
+    sample, sizes = sampled(docs, labels, most)
     if len(sizes) < 2:
         return Model(always=float(next(iter(sizes), 0)))
     sample = written(sample, "toxicity-sample")
     words = telling_words(sample, FEATURES)
     number = {w: i for i, w in enumerate(words)}
-    features = written(_features(sample, number), "toxicity-features")
+    # Every step reads the features once more; they are small, so a few tasks do.
+    features = written(_features(sample, number), "toxicity-features").coalesce(STEP_TASKS)
     scale, found = features.agg(F.sum("weight"), F.sum(F.col("weight") * F.size("sizes"))).first()
     # To begin with, sentences share the labels' rate evenly.
     rate = sizes[1] / (sizes[0] + sizes[1])
