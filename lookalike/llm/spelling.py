@@ -384,9 +384,10 @@ def near_words(words: DataFrame, subtree_words: int = SUBTREE_WORDS) -> DataFram
                 for columns in ([a, b, b_n], [b, a, a_n]):
                     yield pa.RecordBatch.from_arrays(columns, ["word", "other", "other_n"])
 
-    dealt = placed.mapInArrow(route, "node string, piece int, query int, word string, n long")
     context = words.sparkSession.sparkContext
     tasks = max(2 * context.defaultParallelism, -(-len(top.subtrees) // 16))
+    # Routing costs far more than moving a word, and few files hold the words.
+    dealt = placed.repartition(tasks, "word").mapInArrow(route, "node string, piece int, query int, word string, n long")
     by_subtree = dealt.repartition(tasks, "node", "piece").sortWithinPartitions("node", "piece", "query")
     return by_subtree.mapInArrow(search, "word string, other string, other_n long")
 
