@@ -5,15 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lookalike.operators.metrics import confusion_counts, with_scores
-from lookalike.operators.pairs import PAIR, pair_sides
+from lookalike.operators.pairs import PAIR, pair_slots, slot_sides
 from lookalike.operators.structure import (
     COMPARISON_THRESHOLD,
     ONCE,
-    matches_from_sides,
+    matches_from_slots,
     text_shapes,
     with_structure_score,
 )
-from lookalike.operators.tfidf import TFIDF_THRESHOLD, tfidf_from_sides
+from lookalike.operators.tfidf import TFIDF_THRESHOLD, tfidf_from_slots
 
 #: Steps of the weight grid, from structure alone to TF-IDF alone.
 WEIGHT_STEPS = 10
@@ -26,12 +26,12 @@ def decide(score: Column, threshold: float) -> Column:
 def score_both(pairs: DataFrame, documents: DataFrame, leaf_rule: str = ONCE) -> DataFrame:
     """Both similarities of each pair of texts.
 
-    The texts meet their pairs once; both scorers then work on the same
-    partitions and their results join without a shuffle.
+    The texts meet their pairs once; both scorers then work on the same partitions.
     """
-    sides = pair_sides(pairs, documents, ["text"])
-    structure = with_structure_score(matches_from_sides(sides, text_shapes(F.col("text")), leaf_rule))
-    return tfidf_from_sides(sides).join(structure.select(*PAIR, "structure_similarity"), PAIR)
+    slots = pair_slots(pairs)
+    sides = slot_sides(slots, documents, ["text"])
+    structure = with_structure_score(matches_from_slots(sides, slots, text_shapes(F.col("text")), leaf_rule))
+    return tfidf_from_slots(sides, slots).join(structure.select(*PAIR, "structure_similarity"), PAIR)
 
 
 def with_decisions(

@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from lookalike.operators.pairs import PAIR, pair_sides
+from lookalike.operators.pairs import PAIR, PLACES, SLOT, pair_sides, pair_slots, pairs_of_slots, per_place, slot_sides
 from lookalike.operators.trees import text_tree
 
 # Decision thresholds of the scoring job and of the comparison.
@@ -45,40 +45,52 @@ def check_leaf_rule(leaf_rule: str) -> None:
         raise ValueError(f"leaf_rule must be '{ONCE}' or '{ALL}', got {leaf_rule!r}")
 
 
-def matches_from_sides(sides: DataFrame, shapes: Column, leaf_rule: str = ONCE) -> DataFrame:
-    """``(doc1, doc2, similar_nodes, nodes1, nodes2)`` from the rows of ``pair_sides``."""
+def matches_from_slots(
+    sides: DataFrame, slots: DataFrame, shapes: Column, leaf_rule: str = ONCE
+) -> DataFrame:
+    """``(doc1, doc2, similar_nodes, nodes1, nodes2)`` from the rows of ``slot_sides``."""
     check_leaf_rule(leaf_rule)
     present = F.array(
         F.struct(
             F.lit(PRESENCE).alias("num_children"),
             F.lit(0).cast("bigint").alias("hash_value"),
-            F.lit(0).cast("bigint").alias("nodes"),
+            F.lit(1).cast("bigint").alias("nodes"),
         )
     )
-    rows = sides.select(*PAIR, "side", F.inline(F.concat(present, shapes)))
-    first, second = F.col("side") == 1, F.col("side") == 2
-
-    def nodes_of(side: Column) -> Column:
-        return F.sum(F.when(side, F.col("nodes")).otherwise(F.lit(0)))
+    rows = sides.select(*SLOT, "place", F.inline(F.concat(present, shapes)))
+
+    def nodes_at(place: int) -> Column:
+        return F.sum(F.when(F.col("place") == place, F.col("nodes")).otherwise(F.lit(0))).alias(f"n{place}")
+
+    merged = rows.groupBy(*SLOT, "num_children", "hash_value").agg(*(nodes_at(p) for p in range(PLACES + 1)))
+    real, is_leaf = F.col("num_children") != PRESENCE, F.col("num_children") == 0
+
+    def total(condition: Column, value: Column) -> Column:
+        return F.sum(F.when(condition, value).otherwise(F.lit(0)))
+
+    sums = [total(real, F.col("n0")).alias("nodes1")]
+    for place in range(1, PLACES + 1):
+        common = F.least("n0", f"n{place}")
+        leaf_matches = F.max(F.when(is_leaf & (common > 0), F.lit(1)).otherwise(F.lit(0)))
+        inner = total(real & ~is_leaf, common)
+        similar = total(real, common) if leaf_rule == ALL else inner + leaf_matches
+        sums += [
+            similar.cast("bigint").alias(f"similar_{place}"),
+            total(real, F.col(f"n{place}")).alias(f"nodes2_{place}"),
+            F.bool_or(~real & (common > 0)).alias(f"complete_{place}"),
+        ]
+
+    def scored(place: int) -> Column:
+        return F.struct(
+            F.lit(place).alias("place"),
+            F.col(f"complete_{place}").alias("complete"),
+            F.col(f"similar_{place}").alias("similar_nodes"),
+            F.col("nodes1"),
+            F.col(f"nodes2_{place}").alias("nodes2"),
+        )
 
-    merged = rows.groupBy(*PAIR, "num_children", "hash_value").agg(
-        nodes_of(first).alias("n1"),
-        nodes_of(second).alias("n2"),
-        F.bool_or(first).alias("in1"),
-        F.bool_or(second).alias("in2"),
-    )
-    common = F.least("n1", "n2")
-    is_leaf = F.col("num_children") == 0
-    leaf_matches = F.max(F.when(is_leaf & (common > 0), F.lit(1)).otherwise(F.lit(0)))
-    inner = F.sum(F.when(~is_leaf, common).otherwise(F.lit(0)))
-    similar = F.sum(common) if leaf_rule == ALL else inner + leaf_matches
-    scored = merged.groupBy(*PAIR).agg(
-        similar.cast("bigint").alias("similar_nodes"),
-        F.sum("n1").alias("nodes1"),
-        F.sum("n2").alias("nodes2"),
-        F.bool_or((F.col("num_children") == PRESENCE) & F.col("in1") & F.col("in2")).alias("complete"),
-    )
-    return scored.where("complete").drop("complete")
+    found = merged.groupBy(*SLOT).agg(*sums).select(*SLOT, F.inline(F.array(*per_place(scored))))
+    return pairs_of_slots(found.where("complete").drop("complete"), slots)
 
 
 def with_structure_score(matches: DataFrame) -> DataFrame:
@@ -98,14 +110,16 @@ def structural_score(
     shapes = documents.select("doc_id").join(node_shapes(nodes), "doc_id", "left")
     none = F.array().cast("array<struct<num_children:int,hash_value:bigint,nodes:bigint>>")
     filled = shapes.select("doc_id", F.coalesce("shapes", none).alias("shapes"))
-    sides = pair_sides(pairs, filled, ["shapes"])
-    return with_structure_score(matches_from_sides(sides, F.col("shapes"), leaf_rule))
+    slots = pair_slots(pairs)
+    sides = slot_sides(slots, filled, ["shapes"])
+    return with_structure_score(matches_from_slots(sides, slots, F.col("shapes"), leaf_rule))
 
 
 def text_structural_score(pairs: DataFrame, documents: DataFrame, leaf_rule: str = ONCE) -> DataFrame:
     """Score pairs of prose documents by their text trees."""
-    sides = pair_sides(pairs, documents, ["text"])
-    return with_structure_score(matches_from_sides(sides, text_shapes(F.col("text")), leaf_rule))
+    slots = pair_slots(pairs)
+    sides = slot_sides(slots, documents, ["text"])
+    return with_structure_score(matches_from_slots(sides, slots, text_shapes(F.col("text")), leaf_rule))
 
 
 def matched_pairs(pairs: DataFrame, nodes: DataFrame, leaf_rule: str = ONCE) -> DataFrame:

@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, functions as F
 
 from lookalike.functions.text import NO_GRAM, explode_grams, strip_comments
-from lookalike.operators.pairs import PAIR, pair_sides
+from lookalike.operators.pairs import PLACES, SLOT, pair_slots, pairs_of_slots, per_place, slot_sides
 
 # Default decision threshold and n-gram range.
 TFIDF_THRESHOLD = 0.45
@@ -40,29 +40,39 @@ def cosine_from_sums(shared1: Column, all1: Column, shared2: Column, all2: Colum
     return F.when((all1 > 0) & (all2 > 0), dot / F.sqrt(square1 * square2)).otherwise(F.lit(0.0))
 
 
-def tfidf_from_sides(sides: DataFrame, longest: int = LONGEST_GRAM) -> DataFrame:
-    """``(doc1, doc2, tfidf_similarity)`` from the rows of ``pair_sides``."""
-    grams = explode_grams(sides, strip_comments(F.col("text")), [*PAIR, "side"], longest, sentinel=True)
-    tf = grams.groupBy(*PAIR, "gram").agg(
-        F.count_if(F.col("side") == 1).alias("x"), F.count_if(F.col("side") == 2).alias("y")
-    )
-    real = F.col("gram") != NO_GRAM
-    both = real & (F.col("x") > 0) & (F.col("y") > 0)
-    x, y = F.col("x"), F.col("y")
+def tfidf_from_slots(sides: DataFrame, slots: DataFrame, longest: int = LONGEST_GRAM) -> DataFrame:
+    """``(doc1, doc2, tfidf_similarity)`` from the rows of ``slot_sides``.
 
-    def total(condition: Column, value: Column) -> Column:
-        return F.sum(F.when(condition, value).otherwise(F.lit(0)))
-
-    sums = tf.groupBy(*PAIR).agg(
-        total(both, x * x).alias("shared1"),
-        total(real, x * x).alias("all1"),
-        total(both, y * y).alias("shared2"),
-        total(real, y * y).alias("all2"),
-        total(both, x * y).alias("dot"),
-        F.bool_or(~real & (x > 0) & (y > 0)).alias("complete"),
-    )
-    cosine = cosine_from_sums(*(F.col(c) for c in ("shared1", "all1", "shared2", "all2", "dot")))
-    return sums.where("complete").select(*PAIR, cosine.alias("tfidf_similarity"))
+    Grams are counted once per slot, with a counter for the first document and one for
+    each place; the sums of all pairs of a slot come from the same rows.
+    """
+    grams = explode_grams(sides, strip_comments(F.col("text")), [*SLOT, "place"], longest, sentinel=True)
+    counters = [F.count_if(F.col("place") == place).alias(f"n{place}") for place in range(PLACES + 1)]
+    tf = grams.groupBy(*SLOT, "gram").agg(*counters)
+    real, x = F.col("gram") != NO_GRAM, F.col("n0")
+
+    def total(condition: Column, value: Column, name: str) -> Column:
+        return F.sum(F.when(condition, value).otherwise(F.lit(0))).alias(name)
+
+    sums = [total(real, x * x, "all1")]
+    for place in range(1, PLACES + 1):
+        y = F.col(f"n{place}")
+        both = real & (x > 0) & (y > 0)
+        sums += [
+            total(both, x * x, f"shared1_{place}"),
+            total(both, y * y, f"shared2_{place}"),
+            total(both, x * y, f"dot_{place}"),
+            total(real, y * y, f"all2_{place}"),
+            F.bool_or(~real & (x > 0) & (y > 0)).alias(f"complete_{place}"),
+        ]
+
+    def scored(place: int) -> Column:
+        shared1, shared2, dot, all2 = (F.col(f"{c}_{place}") for c in ("shared1", "shared2", "dot", "all2"))
+        cosine = cosine_from_sums(shared1, F.col("all1"), shared2, all2, dot)
+        return F.struct(F.lit(place).alias("place"), F.col(f"complete_{place}").alias("complete"), cosine.alias("tfidf_similarity"))
+
+    found = tf.groupBy(*SLOT).agg(*sums).select(*SLOT, F.inline(F.array(*per_place(scored))))
+    return pairs_of_slots(found.where("complete").drop("complete"), slots)
 
 
 def tfidf_similarity(pairs: DataFrame, documents: DataFrame, longest: int = LONGEST_GRAM) -> DataFrame:
@@ -71,4 +81,5 @@ def tfidf_similarity(pairs: DataFrame, documents: DataFrame, longest: int = LONG
     A pair with a missing document is left out; one without a common gram
     scores 0.
     """
-    return tfidf_from_sides(pair_sides(pairs, documents, ["text"]), longest)
+    slots = pair_slots(pairs)
+    return tfidf_from_slots(slot_sides(slots, documents, ["text"]), slots, longest)
