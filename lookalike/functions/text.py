@@ -58,7 +58,13 @@ def explode_grams(
     stage; nothing is sorted or shuffled. The outer form keeps Spark from adding
     a filter on the number of words, which would cut every text twice.
     """
-    tokens = words(text)
+    return explode_word_grams(df, words(text), keep, longest, sentinel)
+
+
+def explode_word_grams(
+    df: DataFrame, tokens: Column, keep: list[str], longest: int = 3, sentinel: bool = False
+) -> DataFrame:
+    """The same from an array of words."""
     if sentinel:
         tokens = F.concat(F.array(F.lit(NO_GRAM)), F.coalesce(tokens, F.array().cast("array<string>")))
     rows = df.select(*keep, tokens.alias("_words"))

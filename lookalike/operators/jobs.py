@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lookalike.functions.text import pair_text
 from lookalike.operators import compare
+from lookalike.operators.code_trees import code_tree_nodes
 from lookalike.operators.pairs import PAIR, pair_texts
-from lookalike.operators.structure import ONCE, STRUCTURE_THRESHOLD, text_structural_score
-from lookalike.sources.documents import resolve_pairs
+from lookalike.operators.structure import ONCE, STRUCTURE_THRESHOLD, structural_score, text_structural_score
+from lookalike.sources.documents import SOURCE_PATTERN, read_documents, resolve_pairs
 from lookalike.sources.manifest import known_sources
+from lookalike.sources.scratch import written
 
 
 def manifest_texts(manifest: DataFrame, files: DataFrame, texts: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -68,6 +70,30 @@ def compare_manifest(manifest: DataFrame, files: DataFrame, texts: DataFrame, le
     )
 
 
+def tree_files(spark: SparkSession, root: str, pattern: str = SOURCE_PATTERN) -> tuple[DataFrame, DataFrame]:
+    """The source files below ``root`` as ``(path, folder, file, text)``, and the nodes of their trees by path.
+
+    Files are read once. One that is no UTF-8 has a NULL text, and like one that does not
+    parse it has no nodes; see ``file_rejects``.
+    """
+    files = written(read_documents(spark, root, pattern, strict=True), "files")
+    sources = files.where(F.col("text").isNotNull()).select(F.col("path").alias("doc_id"), "text")
+    return files, written(code_tree_nodes(sources), "file-nodes")
+
+
+def score_files(pairs: DataFrame, files: DataFrame, nodes: DataFrame, leaf_rule: str = ONCE) -> DataFrame:
+    """Score pairs ``(doc1, doc2)`` of paths; a pair with a rejected side scores 0, one with a missing file is left out."""
+    return structural_score(pairs, nodes, files.select(F.col("path").alias("doc_id")), leaf_rule)
+
+
+def file_rejects(files: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``(path, problem)`` of the files that take no part: not UTF-8, or without a tree."""
+    rooted = nodes.where("position = 0").select(F.col("doc_id").alias("path"))
+    bare = files.join(rooted, "path", "left_anti")
+    problem = F.when(F.col("text").isNull(), "not UTF-8").otherwise("no tree")
+    return bare.select("path", problem.alias("problem"))
+
+
 def training_texts(manifest: DataFrame, files: DataFrame, texts: DataFrame) -> DataFrame:
     """``pair_id, label, text`` of a manifest split, ready for the classifier."""
     pairs, documents = manifest_texts(manifest, files, texts)

@@ -16,7 +16,7 @@ from lookalike.operators.code_trees import (
     TOKEN,
 )
 from lookalike.operators.trees import NODE_VALUES, OTHER_NODE_VALUE
-from lookalike.plans.tables import BROKEN_CODE, CODE_STATEMENTS
+from lookalike.plans.tables import BROKEN_BYTES, BROKEN_CODE, CODE_STATEMENTS
 
 # --- building blocks: each is one or more named subqueries --------------------------
 
@@ -559,7 +559,10 @@ RECURSIVE_PLACE
 solved AS (SELECT a, b FROM steps ORDER BY step DESC LIMIT 1),
 predicted AS (
   SELECT t.*, 1 / (1 + exp(-(list_dot_product(k, a) + b))) AS p FROM texts t JOIN kernel USING (id), solved)"""
-LR = LR.replace(
+LR_PENALIZED = LR.replace("list(coalesce(k, 0) ORDER BY t.nth)", "list(coalesce(k, 0) + 1 ORDER BY t.nth)").replace(
+    "(count(*) / 4 + 1)", "(count(*) / 2 + 1)"
+)
+LR_SOLVER = (
     "RECURSIVE_PLACE",
     f"""steps(step, a, b) AS (
   SELECT 0, list_transform(y, lambda x: 0::DOUBLE), 0::DOUBLE FROM problem
@@ -571,8 +574,14 @@ LR = LR.replace(
       list_transform(list_zip(m, y), lambda r: 1 / (1 + exp(-(list_dot_product(r[1], a) + b))) - r[2]) AS gap
     FROM steps, problem WHERE step < {LR_STEPS})),""",
 )
+LR = LR.replace(*LR_SOLVER)
+# A penalized intercept is a constant feature: the products grow by one, and no free intercept is left.
+LR_PENALIZED = LR_PENALIZED.replace(*LR_SOLVER).replace("b - pace * list_sum(gap)", "b")
 PREDICTION = "label AS TrueLabel, CAST(p > 0.5 AS INT) AS Predicted, round(p, 4) AS Probability"
 ORACLES["lr_predictions"] = f"WITH RECURSIVE {LR} SELECT {KEY}, split, {PREDICTION} FROM predicted WHERE split <> 'train'"
+ORACLES["lr_penalized_intercept"] = (
+    f"WITH RECURSIVE {LR_PENALIZED} SELECT {KEY}, split, {PREDICTION} FROM predicted WHERE split <> 'train'"
+)
 ORACLES["model_roundtrip"] = f"WITH RECURSIVE {LR} SELECT {KEY}, {PREDICTION} FROM predicted WHERE split = 'test'"
 ORACLES["feature_importance"] = f"""WITH RECURSIVE {LR},
 coefficients AS (
@@ -580,7 +589,7 @@ coefficients AS (
 ranks AS (
   SELECT *, row_number() OVER (PARTITION BY sign(c) ORDER BY abs(c) DESC, gram) AS rank_in_sign
   FROM coefficients WHERE c <> 0)
-SELECT gram AS feature, round(c, 4) AS coefficient, round(abs(c), 4) AS abs_coefficient, rank_in_sign
+SELECT gram AS feature, round(c, 3) AS coefficient, round(abs(c), 3) AS abs_coefficient, rank_in_sign
 FROM ranks WHERE rank_in_sign <= 20"""
 ORACLES["lr_summary"] = f"""WITH RECURSIVE {LR},
 ranks AS (
@@ -765,3 +774,64 @@ ORACLES["code_structural_score"] = f"""WITH {PAIRS},{CODE_NODES},
 nodes AS (SELECT * FROM code_nodes),
 {match_subqueries("once", DOC_IDS)}
 SELECT doc1, doc2, similar_nodes, nodes1, nodes2, round(structure_similarity, 6) AS structure_similarity FROM matches"""
+
+
+# --- ROC per group -------------------------------------------------------------------------
+
+ORACLES["roc_auc_by_level"] = f"""WITH {SCORED},
+placed AS (
+  SELECT source_dataset, plagiarism_level, label, score FROM scored
+  UNION ALL SELECT source_dataset, NULL, label, score FROM scored),
+ranks AS (
+  SELECT source_dataset, plagiarism_level, label, rank() OVER w
+    + (count(*) OVER (PARTITION BY source_dataset, plagiarism_level, score) - 1) / 2.0::DOUBLE AS r
+  FROM placed WINDOW w AS (PARTITION BY source_dataset, plagiarism_level ORDER BY score)),
+sums AS (
+  SELECT source_dataset, plagiarism_level, count(*) FILTER (WHERE label = 1) AS positives,
+    count(*) FILTER (WHERE label = 0) AS negatives, sum(r) FILTER (WHERE label = 1) AS rank_sum
+  FROM ranks GROUP BY ALL)
+SELECT source_dataset, plagiarism_level, positives, negatives,
+  round((rank_sum - positives * (positives + 1) / 2.0::DOUBLE) / nullif(positives * negatives, 0), 6) AS auc FROM sums"""
+ORACLES["roc_curve_by_source"] = f"""WITH {SCORED},
+steps AS (
+  SELECT source_dataset, score, count(*) FILTER (WHERE label = 1) AS pos, count(*) FILTER (WHERE label = 0) AS neg
+  FROM scored GROUP BY source_dataset, score),
+running AS (
+  SELECT source_dataset, score, pos, neg, sum(pos) OVER down AS tp, sum(neg) OVER down AS fp, row_number() OVER down AS place,
+    lead(pos) OVER along AS next_pos, lead(neg) OVER along AS next_neg,
+    sum(pos) OVER (PARTITION BY source_dataset) AS all_pos, sum(neg) OVER (PARTITION BY source_dataset) AS all_neg
+  FROM steps WINDOW along AS (PARTITION BY source_dataset ORDER BY score DESC),
+    down AS (PARTITION BY source_dataset ORDER BY score DESC ROWS UNBOUNDED PRECEDING))
+SELECT source_dataset, score AS threshold, round(fp / nullif(all_neg, 0), 6) AS fpr, round(tp / nullif(all_pos, 0), 6) AS tpr
+FROM running WHERE place = 1 OR next_pos IS NULL OR pos <> next_pos OR neg <> next_neg
+UNION ALL SELECT source_dataset, NULL, CASE WHEN all_neg > 0 THEN 0 END, CASE WHEN all_pos > 0 THEN 0 END
+FROM running WHERE place = 1"""
+
+
+# --- files, lists and samples ----------------------------------------------------------------
+
+ORACLES["file_scores"] = ORACLES["code_structural_score"].replace(
+    "nodes AS (SELECT * FROM code_nodes)",
+    f"nodes AS (SELECT * FROM code_nodes WHERE doc_id % {BROKEN_BYTES[0]} <> {BROKEN_BYTES[1]})",
+)
+ORACLES["file_rejects"] = f"""
+SELECT doc_id, CASE WHEN doc_id % {BROKEN_BYTES[0]} = {BROKEN_BYTES[1]} THEN 'not UTF-8' ELSE 'no tree' END AS problem
+FROM documents WHERE doc_id % {BROKEN_BYTES[0]} = {BROKEN_BYTES[1]} OR doc_id % {BROKEN_CODE[0]} = {BROKEN_CODE[1]}"""
+ORACLES["problem_samples"] = f"""WITH verified AS ({ORACLES["pair_verify"]})
+SELECT problem, CAST(nth AS INT) AS nth, folder_name FROM (
+  SELECT problem, folder_name, row_number() OVER (PARTITION BY problem ORDER BY folder_name) AS nth
+  FROM (SELECT DISTINCT problem, folder_name FROM verified WHERE problem IS NOT NULL))
+WHERE nth <= 10"""
+ORACLES["structural_match_lists"] = f"""WITH matched AS ({ORACLES["structural_match_pairs"]})
+SELECT doc1, doc2, count(*) AS nodes, md5(string_agg(
+    concat_ws(':', num_children, hash_value, position1, position2), ','
+    ORDER BY num_children, hash_value, position1, position2)) AS digest
+FROM matched GROUP BY doc1, doc2"""
+ORACLES["training_texts"] = f"""WITH numbered_pairs AS ({ORACLES["pair_ids"]}),
+texts_of_pairs AS (
+  WITH {MANIFEST}
+  SELECT m.folder_name, m.label, CASE WHEN m.source_dataset = 'conplag' AND m.doc2 % 2 = 1
+      THEN b.text || ' [SEP] ' || a.text ELSE a.text || ' [SEP] ' || b.text END AS text
+  FROM manifest m JOIN documents a ON a.doc_id = m.doc1 JOIN documents b ON b.doc_id = m.doc2)
+SELECT pair_id, label, length(text) AS length, md5(text) AS digest
+FROM numbered_pairs JOIN texts_of_pairs USING (folder_name)"""

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lookalike.functions.text import normalize, pair_text, words
 from lookalike.operators import candidates, code_trees, compare, jobs, metrics, splits, structure, trees
-from lookalike.operators.classify import PairClassifier, corpus_tfidf, run_summary
+from lookalike.operators.classify import PairClassifier, corpus_tfidf, summary_of_splits
 from lookalike.operators.pairs import PAIR, pair_texts
 from lookalike.operators.tfidf import TFIDF_THRESHOLD, gram_counts, tfidf_similarity
 from lookalike.plans import tables
@@ -19,6 +19,10 @@ from lookalike.sources.scratch import scratch_path, written
 DIGITS = 6
 #: Digits of what an iterative solver yields.
 MODEL_DIGITS = 4
+#: So tight that those digits of a probability do not depend on the passes.
+MODEL_TOLERANCE = 1e-10
+#: Coefficients vary more for the same probabilities: they need more passes and give a digit less.
+COEFFICIENT_DIGITS, COEFFICIENT_TOLERANCE = 3, 1e-12
 MANIFEST_KEY = ["source_dataset", "doc1", "doc2"]
 ODD_TAGS = "\n<my-tag><x:y\na='1'></X:Y>\n\n<h1 /></my-tag>"
 
@@ -366,6 +370,20 @@ def structural_match_pairs(t: Inputs) -> DataFrame:
     return structure.matched_pairs(tables.host_pairs(t.pages), trees.tag_tree_nodes(t.html))
 
 
+@query
+def structural_match_lists(t: Inputs) -> DataFrame:
+    """One row per pair with its matched nodes; the list as its length and a digest of its text."""
+    matches = structure.matched_pairs(tables.host_pairs(t.pages), trees.tag_tree_nodes(t.html))
+    lists = structure.matched_pair_lists(matches)
+
+    def item(node: Column) -> Column:
+        fields = ("num_children", "hash_value", "position1", "position2")
+        return F.concat_ws(":", *(node[c].cast("string") for c in fields))
+
+    as_text = F.array_join(F.transform("similar_nodes", item), ",")
+    return lists.select(*PAIR, F.size("similar_nodes").cast("bigint").alias("nodes"), F.md5(as_text).alias("digest"))
+
+
 @query
 def structural_score(t: Inputs) -> DataFrame:
     scored = _page_matches(t)
@@ -428,6 +446,54 @@ def manifest_compare(t: Inputs) -> DataFrame:
     return compared.withColumns({c: F.round(c, DIGITS) for c in ("tfidf_similarity", "structure_similarity")})
 
 
+@query
+def training_texts(t: Inputs) -> DataFrame:
+    """The classifier's texts of the unified manifest, as their length and digest."""
+    made = jobs.training_texts(t.unified(), t.listing(), t.file_texts())
+    return made.select("pair_id", "label", F.length("text").cast("bigint").alias("length"), F.md5("text").alias("digest"))
+
+
+@query
+def problem_samples(t: Inputs) -> DataFrame:
+    """The first ten folders, by name, that cannot be used, for each reason."""
+    present = tables.contest_listing(t.keys).join(t.labels, "doc_id", "left_semi")
+    return files.problem_samples(t.unified(), present)
+
+
+def _tree_files(t: Inputs) -> tuple[DataFrame, DataFrame]:
+    """Source files of all documents, written and read back; some end in a byte that is no UTF-8."""
+    every, at = tables.BROKEN_BYTES
+    bad = F.concat(F.encode("text", "UTF-8"), F.unhex(F.lit("FF"))).cast("string")
+    made = tables.code_texts(t.documents)
+    made = made.select("doc_id", F.when(F.pmod("doc_id", F.lit(every)) == at, bad).otherwise(F.col("text")).alias("text"))
+    root = scratch_path(t.spark, "files")
+    files.write_files(made, root)
+    return jobs.tree_files(t.spark, root, "*.txt")
+
+
+def _document_of(path: str) -> Column:
+    return F.regexp_extract(path, r"/doc=(\d+)/", 1).cast("bigint")
+
+
+@query
+def file_scores(t: Inputs) -> DataFrame:
+    """From a folder of source files to the scores of their pairs."""
+    read, nodes = _tree_files(t)
+    paths = read.select(_document_of("path").alias("doc"), "path")
+    pairs = tables.all_pairs(t.keys)
+    for side in PAIR:
+        pairs = pairs.join(paths.select(F.col("doc").alias(side), F.col("path").alias(f"{side}_path")), side)
+    pairs = pairs.select(*(F.col(f"{side}_path").alias(side) for side in PAIR))
+    scored = jobs.score_files(pairs, read, nodes)
+    named = (_document_of(side).alias(side) for side in PAIR)
+    return scored.select(*named, "similar_nodes", "nodes1", "nodes2", rounded("structure_similarity"))
+
+
+@query
+def file_rejects(t: Inputs) -> DataFrame:
+    return jobs.file_rejects(*_tree_files(t)).select(_document_of("path").alias("doc_id"), "problem")
+
+
 @query
 def predictions_roundtrip(t: Inputs) -> DataFrame:
     """Prediction rows written as CSV and read back by name."""
@@ -495,6 +561,22 @@ def roc_curve(t: Inputs) -> DataFrame:
     return points.select(threshold, rounded("fpr"), rounded("tpr"))
 
 
+@query
+def roc_curve_by_source(t: Inputs) -> DataFrame:
+    points = metrics.roc_curve(t.tfidf_scored(), by=["source_dataset"])
+    threshold = F.nullif("threshold", F.lit(float("inf"))).alias("threshold")
+    return points.select("source_dataset", threshold, rounded("fpr"), rounded("tpr"))
+
+
+@query
+def roc_auc_by_level(t: Inputs) -> DataFrame:
+    """Per dataset and level; a level has one class only, the pairs without one the other."""
+    found = metrics.roc_auc(t.tfidf_scored(), by=["source_dataset", "plagiarism_level"])
+    every = metrics.roc_auc(t.tfidf_scored(), by=["source_dataset"])
+    every = every.withColumn("plagiarism_level", F.lit(None).cast("string"))
+    return found.unionByName(every).select("source_dataset", "plagiarism_level", "positives", "negatives", rounded("auc"))
+
+
 @query
 def roc_auc(t: Inputs) -> DataFrame:
     return metrics.roc_auc(t.tfidf_scored()).select("positives", "negatives", rounded("auc"))
@@ -520,10 +602,12 @@ def _training_texts(t: Inputs) -> DataFrame:
     return written(texts.repartition(*MANIFEST_KEY), "training-texts")
 
 
-def _fitted(t: Inputs, optimize: bool = False) -> tuple[PairClassifier, DataFrame]:
+def _fitted(
+    t: Inputs, optimize: bool = False, tolerance: float = MODEL_TOLERANCE
+) -> tuple[PairClassifier, DataFrame]:
     texts = _training_texts(t)
     train = texts.where(F.col("split") == splits.TRAIN)
-    return PairClassifier(longest=3).fit(train, MANIFEST_KEY, optimize), texts
+    return PairClassifier(3, tolerance=tolerance).fit(train, MANIFEST_KEY, optimize), texts
 
 
 def _rounded_predictions(model: PairClassifier, texts: DataFrame, keep: list[str]) -> DataFrame:
@@ -538,6 +622,16 @@ def lr_predictions(t: Inputs) -> DataFrame:
     return _rounded_predictions(model, held_out, [*MANIFEST_KEY, "split"])
 
 
+@query
+def lr_penalized_intercept(t: Inputs) -> DataFrame:
+    """The same model with the intercept in the penalty."""
+    texts = _training_texts(t)
+    model = PairClassifier(3, tolerance=1e-8, penalize_intercept=True)
+    model.fit(texts.where(F.col("split") == splits.TRAIN), MANIFEST_KEY)
+    held_out = texts.where(F.col("split") != splits.TRAIN)
+    return _rounded_predictions(model, held_out, [*MANIFEST_KEY, "split"])
+
+
 @query
 def lr_grid(t: Inputs) -> DataFrame:
     model, _ = _fitted(t, optimize=True)
@@ -547,8 +641,8 @@ def lr_grid(t: Inputs) -> DataFrame:
 @query
 def feature_importance(t: Inputs) -> DataFrame:
     """The strongest features with their coefficients, rounded."""
-    found = _fitted(t)[0].feature_importance(20)
-    rounded_ = (F.round(c, MODEL_DIGITS).alias(c) for c in ("coefficient", "abs_coefficient"))
+    found = _fitted(t, tolerance=COEFFICIENT_TOLERANCE)[0].feature_importance(20)
+    rounded_ = (F.round(c, COEFFICIENT_DIGITS).alias(c) for c in ("coefficient", "abs_coefficient"))
     return found.select("feature", *rounded_, "rank_in_sign")
 
 
@@ -565,7 +659,5 @@ def model_roundtrip(t: Inputs) -> DataFrame:
 def lr_summary(t: Inputs) -> DataFrame:
     model, texts = _fitted(t)
     predicted = model.predictions(texts, ["split"])
-    summary = run_summary(
-        predicted.where(F.col("split") == splits.VALIDATION), predicted.where(F.col("split") == splits.TEST)
-    )
+    summary = summary_of_splits(predicted)
     return summary.select("Método", *(rounded(c) for c in summary.columns[1:]))

@@ -180,6 +180,8 @@ CODE_STATEMENTS = (
 )
 #: Documents with this remainder have a bracket too many.
 BROKEN_CODE = (50, 7)
+#: The files of documents with this remainder end in a byte that is no UTF-8.
+BROKEN_BYTES = (40, 13)
 
 
 def code_texts(documents: DataFrame) -> DataFrame:

@@ -54,6 +54,15 @@ def read_documents(spark: SparkSession, root: str, pattern: str = SOURCE_PATTERN
     )
 
 
+def write_files(documents: DataFrame, root: str) -> None:
+    """Write each text of ``documents (doc_id, text)``, ids once, to a file below ``root/doc=<doc_id>``.
+
+    Bytes are written as they are, valid or not; a newline ends the file.
+    """
+    rows = documents.select(F.col("doc_id").alias("doc"), F.col("text").alias("value"))
+    rows.repartition("doc").write.partitionBy("doc").text(root)
+
+
 def unreadable(documents: DataFrame) -> DataFrame:
     """Reject table: the files without a text."""
     return documents.where(F.col("text").isNull()).select("path", "folder", "file")
@@ -135,6 +144,18 @@ def problem_pairs(manifest: DataFrame, files: DataFrame) -> DataFrame:
     return verify_folders(manifest, files).where(F.col("problem").isNotNull()).select("folder_name", "problem")
 
 
+#: Folders shown of each problem.
+SAMPLE_SIZE = 10
+
+
+def problem_samples(manifest: DataFrame, files: DataFrame, size: int = SAMPLE_SIZE) -> DataFrame:
+    """``(problem, nth, folder_name)``: the first ``size`` folders of each problem, by name."""
+    by_name = Window.partitionBy("problem").orderBy("folder_name")
+    # Numbers up to ``size`` are cut per task before the shuffle.
+    numbered = problem_pairs(manifest, files).distinct().withColumn("nth", F.row_number().over(by_name))
+    return numbered.where(F.col("nth") <= size).select("problem", "nth", "folder_name")
+
+
 def write_split_documents(split_files: DataFrame, path: str) -> None:
     """Write documents below one directory per split.
 
