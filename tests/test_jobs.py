@@ -1,4 +1,7 @@
-from lookalike.operators import jobs
+from lookalike.operators import jobs, structure
+from lookalike.operators.pairs import PLACES, pair_slots
+from lookalike.operators.tfidf import tfidf_similarity
+from lookalike.sources.documents import problem_samples, write_files, write_split_documents
 
 
 def test_manifest_to_results(spark):
@@ -27,3 +30,57 @@ def test_manifest_to_results(spark):
     assert scored["c01"].similar_nodes == 10 and scored["c01"].dataset == "ir_plag"
     training = {r.pair_id: r.text for r in jobs.training_texts(manifest, files, documents).collect()}
     assert training["2"] == "one two three. four five six [SEP] alpha beta gamma" and set(training) == {"1", "2", "3"}
+
+
+def test_files_from_a_folder(spark, tmp_path):
+    code = "class A { int f(int a) { return a - 1; } }"
+    rows = [(1, code), (2, code.replace("1", "2")), (3, "class B {"), (4, "int b = 1;")]
+    written = spark.createDataFrame(rows, "doc_id BIGINT, text STRING")
+    write_files(written, str(tmp_path / "files"))
+    (tmp_path / "files" / "doc=5").mkdir()
+    (tmp_path / "files" / "doc=5" / "bad.txt").write_bytes(b"class C { }\xff\xfe")
+    files, nodes = jobs.tree_files(spark, str(tmp_path / "files"), "*.txt")
+    path = {int(r.path.split("doc=")[1].split("/")[0]): r.path for r in files.collect()}
+    assert path.keys() == {1, 2, 3, 4, 5}
+    rejects = {r.path: r.problem for r in jobs.file_rejects(files, nodes).collect()}
+    assert rejects == {path[3]: "no tree", path[5]: "not UTF-8"}
+    pairs = [(path[1], path[2]), (path[1], path[3]), (path[1], path[4]), (path[3], path[5]), (path[1], "gone")]
+    scored = jobs.score_files(spark.createDataFrame(pairs, "doc1 STRING, doc2 STRING"), files, nodes, structure.ALL)
+    found = {(r.doc1, r.doc2): r.structure_similarity for r in scored.collect()}
+    assert found.keys() == set(pairs[:4])
+    assert found[pairs[0]] == 1.0 and found[pairs[1]] == found[pairs[3]] == 0.0 and 0 < found[pairs[2]] < 1
+
+
+def test_stars_of_any_size_are_dealt_in_slots(spark):
+    texts = [(i, f"alpha beta w{i % 5} w{i % 7}. gamma w{i % 3}") for i in range(60)]
+    documents = spark.createDataFrame(texts, "doc_id BIGINT, text STRING")
+    pairs = [(0, i) for i in range(1, 60)] + [(1, 2), (7, 3), (3, 7), (5, 99), (98, 5)]
+    table = spark.createDataFrame(pairs, "doc1 BIGINT, doc2 BIGINT").repartition(3)
+    slots = pair_slots(table).collect()
+    assert len(slots) == len(pairs) and len({(r.doc1, r.slot, r.place) for r in slots}) == len(pairs)
+    assert {r.place for r in slots} == set(range(1, PLACES + 1)) and max(r.slot for r in slots) == 58 // PLACES
+    found = {(r.doc1, r.doc2): r.tfidf_similarity for r in tfidf_similarity(table, documents).collect()}
+    assert found.keys() == set(pairs[:-2])
+    # A pair alone has the score it has among others.
+    for pair in ((0, 35), (0, 3), (1, 2), (3, 7)):
+        alone = tfidf_similarity(table.where(f"doc1 = {pair[0]} and doc2 = {pair[1]}"), documents).first()
+        assert abs(alone.tfidf_similarity - found[pair]) < 1e-12
+    assert abs(found[7, 3] - found[3, 7]) < 1e-12 and abs(found[0, 35] - 1) < 0.5
+
+
+def test_first_bad_folders(spark):
+    manifest = spark.createDataFrame([(f"f{i:02}",) for i in range(30)], "folder_name STRING")
+    files = spark.createDataFrame([(f"f{i:02}", "a.java") for i in range(0, 30, 2)], "folder STRING, file STRING")
+    found = [tuple(r) for r in problem_samples(manifest, files, 3).orderBy("problem", "nth").collect()]
+    assert found == [
+        ("archivos faltantes", 1, "f00"), ("archivos faltantes", 2, "f02"), ("archivos faltantes", 3, "f04"),
+        ("carpeta no existe", 1, "f01"), ("carpeta no existe", 2, "f03"), ("carpeta no existe", 3, "f05"),
+    ]
+
+
+def test_writing_a_split_replaces_only_that_split(spark, tmp_path):
+    path = str(tmp_path / "splits")
+    first = spark.createDataFrame([(1, "a", "train"), (2, "b", "test")], "doc_id INT, text STRING, split STRING")
+    write_split_documents(first, path)
+    write_split_documents(first.selectExpr("doc_id + 10 as doc_id", "text", "split").where("split = 'test'"), path)
+    assert sorted((r.doc_id, r.split) for r in spark.read.parquet(path).collect()) == [(1, "train"), (12, "test")]

@@ -90,6 +90,24 @@ def test_auc_and_curve_against_pair_counting(spark):
         assert abs(area - wanted) < 1e-12
 
 
+def test_auc_and_curve_per_group(spark):
+    rows = [("a" if i % 4 else None, (i * 7) % 3 % 2, ((i * 13) % 17) / 17) for i in range(120)]
+    rows += [("one class", 1, 0.3), ("one class", 1, 0.3)]
+    df = spark.createDataFrame(rows, "source STRING, label INT, score DOUBLE")
+    found = {r.source: r for r in metrics.roc_auc(df, by=["source"]).collect()}
+    points = metrics.roc_curve(df, by=["source"], drop_collinear=False).orderBy(F.desc("threshold")).collect()
+    assert found.keys() == {"a", None, "one class"}
+    assert found["one class"].auc is None and found["one class"].positives == 2
+    for source in ("a", None):
+        pos = [s for g, y, s in rows if g == source and y == 1]
+        neg = [s for g, y, s in rows if g == source and y == 0]
+        wanted = sum((p > n) + (p == n) / 2 for p in pos for n in neg) / len(pos) / len(neg)
+        assert abs(found[source].auc - wanted) < 1e-12
+        own = [r for r in points if r.source == source]
+        area = sum((b.fpr - a.fpr) * (a.tpr + b.tpr) / 2 for a, b in zip(own, own[1:]))
+        assert abs(area - wanted) < 1e-12 and len(own) == len({*pos, *neg}) + 1
+
+
 def test_decisions_and_weights(spark):
     rows = [(1, 2, 1, 0.45, 0.2), (1, 3, 0, 0.44, 0.9), (1, 4, 1, 0.1, 0.1)]
     df = spark.createDataFrame(
