@@ -85,6 +85,29 @@ def hybrid_grid(scored: DataFrame, threshold: float = TFIDF_THRESHOLD, steps: in
     return with_scores(confusion_counts(decided, ["weight"]))
 
 
+def simplex(parts: int, steps: int = WEIGHT_STEPS) -> list[tuple[int, ...]]:
+    """All ways to share ``steps`` among ``parts``, in order."""
+    if parts == 1:
+        return [(steps,)]
+    return [(first, *rest) for first in range(steps + 1) for rest in simplex(parts - 1, steps - first)]
+
+
+def weighted_grid(
+    scored: DataFrame, scores: list[str], threshold: float = TFIDF_THRESHOLD, steps: int = WEIGHT_STEPS
+) -> DataFrame:
+    """Quality of every weighted mean of several scores, ``(w_<score>..., tp, tn, fp, fn, ...)``.
+
+    Weights are shares of ``steps`` that sum to it. Each row is decided once per point
+    inside its task and counted there; the shuffle carries one row per point and task.
+    """
+    names = [f"w_{score}" for score in scores]
+    points = [F.struct(*(F.lit(w).alias(n) for w, n in zip(point, names))) for point in simplex(len(scores), steps)]
+    weighted = scored.select("label", *scores, F.inline(F.array(*points)))
+    total = sum((F.col(n) * F.col(score) for n, score in zip(names, scores)), F.lit(0.0))
+    decided = weighted.select(*names, "label", decide(total / steps, threshold).alias("prediction"))
+    return with_scores(confusion_counts(decided, names))
+
+
 def best_weight(grid: DataFrame) -> DataFrame:
     """The weight with the highest F1; the lowest one on a tie."""
     best = F.max_by(F.struct("weight", "f1"), F.struct(F.col("f1"), -F.col("weight")))

@@ -835,3 +835,36 @@ texts_of_pairs AS (
   FROM manifest m JOIN documents a ON a.doc_id = m.doc1 JOIN documents b ON b.doc_id = m.doc2)
 SELECT pair_id, label, length(text) AS length, md5(text) AS digest
 FROM numbered_pairs JOIN texts_of_pairs USING (folder_name)"""
+
+
+# --- both similarities and the classifier ------------------------------------------------------
+
+
+def out_of_fold(fold: int) -> str:
+    """Probabilities of one fold's training rows by the regression of the other folds."""
+    own = LR.replace(
+        "FROM split_rows s JOIN",
+        f"""FROM (
+    SELECT * EXCLUDE (split), CASE WHEN split <> 'train' THEN 'none' WHEN place % 3 = {fold} THEN 'held' ELSE 'train' END AS split
+    FROM (SELECT *, row_number() OVER (PARTITION BY split, label ORDER BY digest, source_dataset, doc1, doc2) AS place
+          FROM split_rows)) s JOIN""",
+    )
+    return f"SELECT * FROM (WITH RECURSIVE {own} SELECT {KEY}, label, p FROM predicted WHERE split = 'held')"
+
+
+ORACLES["hybrid_three_way"] = f"""WITH {COMPARED},
+out_of_fold AS ({" UNION ALL ".join(out_of_fold(fold) for fold in range(3))}),
+points AS (
+  SELECT a.w AS tfidf, b.w AS structure, 10 - a.w - b.w AS classifier
+  FROM range(11) a(w), range(11) b(w) WHERE a.w + b.w <= 10),
+decided AS (
+  SELECT tfidf, structure, classifier, o.label,
+    CAST((tfidf * tfidf_similarity + structure * structure_similarity + classifier * p) / 10 >= 0.45::DOUBLE AS INT) AS prediction
+  FROM out_of_fold o JOIN compared c USING (source_dataset, doc1, doc2), points),
+cells AS (
+  SELECT tfidf, structure, classifier, count(*) FILTER (WHERE prediction = 1 AND label = 1) AS tp,
+    count(*) FILTER (WHERE prediction = 0 AND label = 0) AS tn, count(*) FILTER (WHERE prediction = 1 AND label = 0) AS fp,
+    count(*) FILTER (WHERE prediction = 0 AND label = 1) AS fn FROM decided GROUP BY ALL)
+SELECT CAST(tfidf AS INT) AS tfidf, CAST(structure AS INT) AS structure, CAST(classifier AS INT) AS classifier, tp, tn, fp, fn,
+  round(coalesce(2.0::DOUBLE * tp / nullif(2 * tp + fp + fn, 0), 0), 6) AS f1, round((tp + tn) / (tp + tn + fp + fn), 6) AS accuracy
+FROM cells"""

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lookalike.functions.text import normalize, pair_text, words
 from lookalike.operators import candidates, code_trees, compare, jobs, metrics, splits, structure, trees
-from lookalike.operators.classify import PairClassifier, corpus_tfidf, summary_of_splits
+from lookalike.operators.classify import PairClassifier, corpus_tfidf, cross_fitted, summary_of_splits
 from lookalike.operators.pairs import PAIR, pair_texts
 from lookalike.operators.tfidf import TFIDF_THRESHOLD, gram_counts, tfidf_similarity
 from lookalike.plans import tables
@@ -23,6 +23,8 @@ MODEL_DIGITS = 4
 MODEL_TOLERANCE = 1e-10
 #: Coefficients vary more for the same probabilities: they need more passes and give a digit less.
 COEFFICIENT_DIGITS, COEFFICIENT_TOLERANCE = 3, 1e-12
+#: The scores of the three-way hybrid and the names of their weights.
+THREE_WAY = {"tfidf_similarity": "tfidf", "structure_similarity": "structure", "probability": "classifier"}
 MANIFEST_KEY = ["source_dataset", "doc1", "doc2"]
 ODD_TAGS = "\n<my-tag><x:y\na='1'></X:Y>\n\n<h1 /></my-tag>"
 
@@ -655,6 +657,18 @@ def model_roundtrip(t: Inputs) -> DataFrame:
     return _rounded_predictions(PairClassifier.load(path), texts.where(F.col("split") == splits.TEST), MANIFEST_KEY)
 
 
+@query
+def hybrid_three_way(t: Inputs) -> DataFrame:
+    """Weights of both similarities and the classifier; its probabilities are out of fold."""
+    texts = _training_texts(t).where(F.col("split") == splits.TRAIN)
+    out_of_fold = cross_fitted(texts, MANIFEST_KEY, longest=3, tolerance=MODEL_TOLERANCE)
+    similar = t.scored().select(*MANIFEST_KEY, "tfidf_similarity", "structure_similarity")
+    rows = out_of_fold.join(similar, MANIFEST_KEY)
+    grid = compare.weighted_grid(rows, ["tfidf_similarity", "structure_similarity", "probability"])
+    weights = [F.col(f"w_{score}").alias(name) for score, name in THREE_WAY.items()]
+    return grid.select(*weights, "tp", "tn", "fp", "fn", rounded("f1"), rounded("accuracy"))
+
+
 @query
 def lr_summary(t: Inputs) -> DataFrame:
     model, texts = _fitted(t)

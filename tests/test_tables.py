@@ -120,6 +120,18 @@ def test_decisions_and_weights(spark):
     assert compare.best_weight(grid).first().weight == 1.0
 
 
+def test_weights_of_three_scores(spark):
+    rows = [(1, 0.9, 0.1, 0.2), (0, 0.5, 0.4, 0.1), (1, 0.2, 0.3, 0.9), (0, 0.1, 0.6, 0.2)]
+    df = spark.createDataFrame(rows, "label INT, a DOUBLE, b DOUBLE, c DOUBLE")
+    grid = {(r.w_a, r.w_b, r.w_c): r for r in compare.weighted_grid(df, ["a", "b", "c"], 0.45, 4).collect()}
+    assert len(grid) == 15 and all(sum(point) == 4 for point in grid)
+    for (a, b, c), r in grid.items():
+        marked = [(y, (a * x[0] + b * x[1] + c * x[2]) / 4 >= 0.45) for y, *x in rows]
+        assert (r.tp, r.fp) == (marked.count((1, True)), marked.count((0, True)))
+        assert (r.tn, r.fn) == (marked.count((0, False)), marked.count((1, False)))
+    assert compare.simplex(1, 3) == [(3,)]
+
+
 def test_resolve_pairs(spark):
     listing = [
         ("c01_orig_np01", "original.java"), ("c01_orig_np01", "compared.java"),
