@@ -6,7 +6,8 @@ distance: the sum, over the document's n-grams, of how far each one's rank is
 from its rank in the profile, or a fixed penalty where the profile lacks it.
 
 Profiles are learned from a bounded sample of the labelled rows (at most about
-``SAMPLE_PER_LANGUAGE`` of each language, chosen by a hash of the id). Every
+``SAMPLE_PER_LANGUAGE`` of each language, chosen by a hash of id and text, and never
+none). Every
 document is compared by its whole text.
 
 Defined results: a text that is null or has no letter is ``und`` with score 0;
@@ -112,10 +113,13 @@ def learn(rows: DataFrame, size: int = PROFILE_SIZE, sample: int = SAMPLE_PER_LA
     rows = rows.where("lang is not null")
     sizes = {lang: n for lang, n in rows.groupBy("lang").count().collect()}
     share = F.lit(1.0)
-    for lang, n in sizes.items():
-        if n > sample:
-            share = F.when(F.col("lang") == lang, F.lit(sample / n)).otherwise(share)
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / float(1 << 30)
+    place = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / float(1 << 30)
+    large = [lang for lang, n in sizes.items() if n > sample]
+    if large:
+        # However rows repeat, a language keeps the rows that are drawn first.
+        least = rows.where(F.col("lang").isin(large)).groupBy("lang").agg(F.min(place).alias("least"))
+        for lang, first in least.collect():
+            share = F.when(F.col("lang") == lang, F.lit(max(sample / sizes[lang], first))).otherwise(share)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -130,7 +134,7 @@ def learn(rows: DataFrame, size: int = PROFILE_SIZE, sample: int = SAMPLE_PER_LA
                     [pa.array([lang] * len(codes), pa.string()), pa.array(codes), pa.array(n)], ["lang", "code", "n"]
                 )
 
-    counted = rows.where(place < share).select("text", "lang").mapInArrow(count, "lang string, code long, n long")
+    counted = rows.where(place <= share).select("text", "lang").mapInArrow(count, "lang string, code long, n long")
     totals = counted.groupBy("lang", "code").agg(F.sum("n").alias("n"))
     order = Window.partitionBy("lang").orderBy(F.desc("n"), "code")
     top = totals.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= size)

@@ -81,7 +81,9 @@ def positional_postings(fps: DataFrame, shared: int = BYTES - MAX_BITS) -> DataF
     def posting(i: int, mask: int) -> Column:
         return F.struct(F.lit(i).alias("positions"), F.col("fp").bitwiseAND(F.lit(mask)).alias("bytes"))
 
-    keys = fps.select("fp", F.inline(F.array(*(posting(i, m) for i, m in enumerate(signed)))))
+    # Few narrow rows become many: adaptive execution must not merge them before.
+    tasks = 2 * fps.sparkSession.sparkContext.defaultParallelism
+    keys = fps.repartition(tasks, "fp").select("fp", F.inline(F.array(*(posting(i, m) for i, m in enumerate(signed)))))
     grouped = keys.groupBy("positions", "bytes").agg(F.count(F.lit(1)).alias("n"), F.collect_list("fp").alias("members"))
     return grouped.where("n > 1").select("members")
 

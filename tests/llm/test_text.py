@@ -113,6 +113,15 @@ def plain_licenses(text):
     return out
 
 
+def test_no_language_is_lost_to_the_sample(documents):
+    rows = []
+    for lang, text in (("xx", "aba bab"), ("yy", "cdc dcd"), ("zz", "efe fef")):
+        rows += [(7, text, lang, "s")] * 30
+    rows += [(8, f"aba{i} bab", "xx", "s") for i in range(30)]
+    for sample in (1, 10):
+        assert language_id.learn(documents(rows), sample=sample).languages == ("xx", "yy", "zz")
+
+
 def test_licenses_whole_and_edited(documents):
     rng = random.Random(4)
     noise = lambda k: " ".join(rng.choices("lorem ipsum dolor sit amet and the of software license".split(), k=k))
