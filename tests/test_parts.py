@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from lookalike.operators.pairs import pair_slots, slot_sides
 from lookalike.operators.parts import GRAM_TEXT_BYTES, parts_for, row_bytes
+from lookalike.operators.tfidf import gram_counts
 
 PARTS = 40
 
@@ -21,6 +22,12 @@ def test_slots_get_partitions_by_the_bytes_of_their_sides(spark, long_texts):
     assert sides.rdd.getNumPartitions() >= PARTS
 
 
+def test_counted_grams_get_partitions_by_the_bytes_of_their_texts(long_texts):
+    counted = gram_counts(long_texts, ["doc_id"], F.col("text"), longest=1)
+    assert counted.rdd.getNumPartitions() >= PARTS
+    assert counted.count() == PARTS
+
+
 def test_small_empty_and_null_rows_get_a_partition_for_every_core(spark):
     cores = spark.sparkContext.defaultParallelism
     rows = spark.createDataFrame([(1, "abc", [1]), (2, None, None)], "doc_id LONG, text STRING, shapes ARRAY<INT>")
