@@ -19,6 +19,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from lookalike.operators.parts import CODE_TEXT_BYTES, parts_for
 from lookalike.operators.trees import subtree_hashes
 
 #: Comments, strings, characters, numbers, words, operators and brackets.
@@ -238,5 +239,10 @@ def code_tree(files: DataFrame) -> DataFrame:
 
 
 def code_tree_nodes(files: DataFrame) -> DataFrame:
-    """Node table of source files ``(doc_id, text)``; the texts are shuffled once, by document."""
-    return subtree_hashes(code_tree(files.select("doc_id", "text").repartition("doc_id")))
+    """Node table of source files ``(doc_id, text)``; the texts are shuffled once, by document.
+
+    The partitions are as many as the bytes of the texts need.
+    """
+    texts = files.select("doc_id", "text")
+    parts = parts_for(texts, F.octet_length("text"), CODE_TEXT_BYTES)
+    return subtree_hashes(code_tree(texts.repartition(parts, "doc_id")))

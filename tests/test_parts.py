@@ -3,8 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
+from lookalike.operators.code_trees import code_tree_nodes
 from lookalike.operators.pairs import pair_slots, slot_sides
-from lookalike.operators.parts import GRAM_TEXT_BYTES, parts_for, row_bytes
+from lookalike.operators.parts import CODE_TEXT_BYTES, GRAM_TEXT_BYTES, parts_for, row_bytes
 from lookalike.operators.tfidf import gram_counts
 
 PARTS = 40
@@ -28,6 +29,11 @@ def test_counted_grams_get_partitions_by_the_bytes_of_their_texts(long_texts):
     assert counted.count() == PARTS
 
 
+def test_code_trees_get_partitions_by_the_bytes_of_their_texts(spark):
+    files = spark.range(PARTS).select(F.col("id").alias("doc_id"), F.expr(f"concat(repeat(' ', {CODE_TEXT_BYTES}), 'a;')").alias("text"))
+    assert code_tree_nodes(files).rdd.getNumPartitions() >= PARTS
+
+
 def test_small_empty_and_null_rows_get_a_partition_for_every_core(spark):
     cores = spark.sparkContext.defaultParallelism
     rows = spark.createDataFrame([(1, "abc", [1]), (2, None, None)], "doc_id LONG, text STRING, shapes ARRAY<INT>")
