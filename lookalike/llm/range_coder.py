@@ -69,13 +69,14 @@ class _Range:
 class _Writer(_Range):
     def __init__(self, ids: np.ndarray):
         super().__init__(len(ids))
-        # An id takes 14 bits a nibble and a decision at most.
-        self.words = np.zeros((len(ids), 6 * ids.shape[1] + 8), np.uint16)
+        # An id takes 14 bits a nibble and a decision at most. Lanes fill rows at about the
+        # same pace, so the rows that no lane reaches never take memory.
+        self.words = np.zeros((6 * ids.shape[1] + 8, len(ids)), np.uint16)
         self.used = np.zeros(len(ids), np.int64)
-        self.ids = np.ascontiguousarray(ids.T.astype(np.int32))
+        self.ids = np.ascontiguousarray(ids.T, np.uint16)
 
     def move(self, lanes: np.ndarray, low: np.ndarray) -> None:
-        self.words[lanes, self.used[lanes]] = (low >> _U(48)).astype(np.uint16)
+        self.words[self.used[lanes], lanes] = (low >> _U(48)).astype(np.uint16)
         self.used[lanes] += 1
 
     def decide(self, at: np.ndarray, chance: np.ndarray, guess: np.ndarray, step: int) -> np.ndarray:
@@ -93,23 +94,23 @@ class _Writer(_Range):
         for _ in range(4):
             self.move(lanes, self.low)
             self.low <<= _U(16)
-        return [self.words[i, : self.used[i]].astype("<u2").tobytes() for i in lanes]
+        return [self.words[: self.used[i], i].astype("<u2").tobytes() for i in lanes]
 
 
 class _Reader(_Range):
     def __init__(self, blocks: list[bytes]):
         super().__init__(len(blocks))
         # Words beyond a block's end are only read from damaged blocks.
-        self.words = np.zeros((len(blocks), max(map(len, blocks), default=0) // 2 + 8), np.uint64)
+        self.words = np.zeros((max(map(len, blocks), default=0) // 2 + 8, len(blocks)), np.uint16)
         for i, block in enumerate(blocks):
-            self.words[i, : len(block) // 2] = np.frombuffer(block[: len(block) // 2 * 2], "<u2")
-        w = self.words
-        self.code = (w[:, 0] << _U(48)) | (w[:, 1] << _U(32)) | (w[:, 2] << _U(16)) | w[:, 3]
+            self.words[: len(block) // 2, i] = np.frombuffer(block[: len(block) // 2 * 2], "<u2")
+        w = self.words[:4].astype(np.uint64)
+        self.code = (w[0] << _U(48)) | (w[1] << _U(32)) | (w[2] << _U(16)) | w[3]
         self.used = np.full(len(blocks), 4)
 
     def move(self, lanes: np.ndarray, low: np.ndarray) -> None:
-        at = np.minimum(self.used[lanes], self.words.shape[1] - 1)
-        self.code[lanes] = (self.code[lanes] << _U(16)) | self.words[lanes, at]
+        at = np.minimum(self.used[lanes], len(self.words) - 1)
+        self.code[lanes] = (self.code[lanes] << _U(16)) | self.words[at, lanes]
         self.used[lanes] += 1
 
     def value(self, at: np.ndarray) -> np.ndarray:
@@ -145,11 +146,11 @@ def _run(coder: _Writer | _Reader, sizes: np.ndarray) -> np.ndarray:
     row_items = nodes.view(_ROW).ravel()
     rates1, rates2 = (np.full(lanes * 4, ONE // 8, np.int32) for _ in range(2))
     weight = np.full(lanes, WEIGHT_ONE // 2, np.int32)
-    out = np.zeros((longest + 2, lanes), np.int32)
+    out = np.zeros((longest + 2, lanes), np.uint16)
     for step in range(longest):
         n = int(np.searchsorted(-sizes, -step, side="left"))
         at = all_lanes[:n]
-        before2, before = out[step, :n], out[step + 1, :n]
+        before2, before = out[step : step + 2, :n].astype(np.int32)
         slot1 = at * SLOTS + ((before * 40_503) >> 4) % SLOTS
         slot2 = at * SLOTS + ((before * 31_337 + before2 * 17_471) >> 3) % SLOTS
         known1, known2 = table1[slot1], table2[slot2]

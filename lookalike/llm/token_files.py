@@ -37,8 +37,8 @@ from lookalike.sources.scratch import scratch_path
 
 END_ID = 2
 BLOCK_IDS = 2048
-#: Blocks that a task codes in lockstep.
-LANES = 2048
+#: Blocks that a task codes in lockstep; a block takes some 40 kB of memory meanwhile.
+LANES = 1024
 #: Pieces whose ids a worker remembers; then it starts anew.
 CACHE_PIECES = 300_000
 #: New pieces that are encoded in one call.
@@ -106,12 +106,17 @@ def _encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def _coded(file: int, block: int, ids: np.ndarray, docs: list, block_ids: int) -> Iterator[pa.RecordBatch]:
-    """The blocks of ``ids``; the last may be short. ``docs``: (row, doc_id, first, n, ends) of pieces."""
-    whole, rest = divmod(len(ids), block_ids)
+def _coded(file: int, block: int, held: list[np.ndarray], docs: list, block_ids: int) -> Iterator[pa.RecordBatch]:
+    """The blocks of the ids ``held``, which are taken out of it; the last block may be short.
+
+    ``docs``: (row, doc_id, first, n, ends) of pieces.
+    """
+    n_ids = sum(map(len, held))
+    whole, rest = divmod(n_ids, block_ids)
     sizes = np.array([block_ids] * whole + [rest] * (rest > 0))
     padded = np.zeros((len(sizes), block_ids), np.uint16)
-    padded.ravel()[: len(ids)] = ids
+    np.concatenate(held, out=padded.ravel()[:n_ids])
+    held.clear()
     payloads = range_coder.encode(padded, sizes)
     names = ["row", "doc_id", "first", "n", "ends"]
     by_block: list[list] = [[] for _ in sizes]
@@ -168,12 +173,12 @@ def write_token_files(
                             pieces.append((row, doc_ids[j], size, len(part), done == len(ids)))
                             size += len(part)
                             if size == group:
-                                yield from _coded(file, block, np.concatenate(held), pieces, block_ids)
-                                block, held, pieces, size = block + lanes, [], [], 0
+                                yield from _coded(file, block, held, pieces, block_ids)
+                                block, pieces, size = block + lanes, [], 0
                         row += 1
                     texts, waiting = [], 0
         if size:
-            yield from _coded(file, block, np.concatenate(held), pieces, block_ids)
+            yield from _coded(file, block, held, pieces, block_ids)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     tie = F.xxhash64("text")

@@ -2,6 +2,7 @@
 
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 
@@ -296,6 +297,18 @@ def test_range_coder_round_trip(top):
     assert np.array_equal(alone, ids[order][:, :512])
 
 
+def test_a_task_codes_in_little_memory():
+    ids = np.random.default_rng(3).integers(0, 50_000, (token_files.LANES, 48)).astype(np.uint16)
+    sizes = np.full(len(ids), 48)
+    tracemalloc.start()
+    try:
+        blocks = range_coder.encode(ids, sizes)
+        assert np.array_equal(range_coder.decode(blocks, sizes), ids)
+        assert tracemalloc.get_traced_memory()[1] < 50e6
+    finally:
+        tracemalloc.stop()
+
+
 def test_repeating_ids_get_shorter():
     ids = np.tile(np.arange(50), 40)[None, :]
     [block] = range_coder.encode(ids, np.array([2000]))
