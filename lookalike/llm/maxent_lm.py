@@ -5,15 +5,18 @@ its own within the class. Classes come from a word's letters (spherical k-means
 over hashed character pairs of the most frequent words), so every word has one,
 known or not; the end of a text is a class of its own. A class's probability is
 a softmax over sums of weights of hashed features: n-grams of the preceding
-words and classes, and skips over them. Within a class a word has its smoothed
-training frequency, with one place for all unknown words, so probabilities of
-all words sum to one.
+words and classes, and skips over them. Within a class the frequent words and one
+place for all others hang in a tree (Huffman's, of ``BRANCHES`` branches); every node
+on a word's path is a softmax over its branches, by their smoothed training
+frequencies times what the preceding word and class say. The others share their
+place by smoothed frequency, with one part for all unknown words, so probabilities
+of all words sum to one.
 
 Training goes over all training tokens in ``ROUNDS`` rounds. In a round every
 partition runs AdaGrad steps on mini-batches from the common weights and reports
 what it changed; Spark sums the changes per feature, weighted by how often each
-partition met it. What comes to the driver is the model, ``FEATURES`` rows,
-whatever the corpus. Word counts stay distributed: a table of the ``FREQUENT``
+partition met it. What comes to the driver is the model, ``FEATURES`` and
+``WORD_FEATURES`` rows, whatever the corpus. Word counts stay distributed: a table of the ``FREQUENT``
 most frequent words goes to the tasks, all others are looked up in a join. Texts
 are cut into words twice, to count them and to write them as packed numbers, which
 all later passes read.
@@ -30,6 +33,7 @@ import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from heapq import heapify, heappop, heappush
 from itertools import chain
 
 import numpy as np
@@ -50,9 +54,15 @@ CENTROID_WORDS = 20_000
 #: Words whose counts every task holds, at most; about 5 MB.
 FREQUENT = 100_000
 PAIR_BUCKETS = 256
+#: Branches of a node of the word trees, and rows of their hashed weights.
+BRANCHES = 16
+WORD_FEATURES = 1 << 15
+#: Logarithm of the share of a branch that a node has not.
+NO_BRANCH = -50.0
 ROUNDS = 2
 BATCH_TOKENS = 16_384
 RATE = 0.3
+WORD_RATE, DAMPING = 0.5, 5.0
 #: Tokens whose features are made at a time.
 CHUNK_TOKENS = 1 << 18
 #: Words a worker remembers; then it starts anew.
@@ -186,6 +196,61 @@ class Tokens:
     rank: np.ndarray
     kind: np.ndarray
     features: np.ndarray
+    contexts: np.ndarray
+
+
+@dataclass
+class WordTrees:
+    """A tree of places for every class; a place is a frequent word or all other words of a class.
+
+    The path of place ``i`` is ``nodes[starts[i] : starts[i + 1]]`` with the branches taken in ``slots``;
+    ``priors (nodes, BRANCHES)`` are logarithms of the branches' shares of the node.
+    """
+
+    starts: np.ndarray
+    nodes: np.ndarray
+    slots: np.ndarray
+    priors: np.ndarray
+
+    def decisions(self, place: np.ndarray, contexts: np.ndarray) -> tuple[np.ndarray, ...]:
+        """``(owner, node, slot, at)`` of all nodes on the paths; ``at (2, n)`` are their feature rows."""
+        depth = self.starts[place + 1] - self.starts[place]
+        owner = np.repeat(np.arange(len(place)), depth)
+        step_ = np.arange(len(owner)) - np.repeat(np.cumsum(depth) - depth, depth) + np.repeat(self.starts[place], depth)
+        node = self.nodes[step_]
+        keys = contexts[:, owner] + (node.astype(np.int64) << 25) + (np.arange(1, 3) << 50)[:, None]
+        return owner, node, self.slots[step_], hashed(keys, WORD_FEATURES)
+
+
+def word_trees(mass: np.ndarray, kinds: np.ndarray) -> WordTrees:
+    """Huffman trees of the places of each class by their ``mass``."""
+    above, slot, priors = [-1] * len(mass), [0] * len(mass), []
+    members: dict[int, list] = {}
+    for i, (m, k) in enumerate(zip(mass.tolist(), kinds.tolist())):
+        members.setdefault(k, []).append((m, i))
+    for heap in members.values():
+        heapify(heap)
+        # The first node takes what makes all later ones full.
+        take = (len(heap) - 2) % (BRANCHES - 1) + 2
+        while len(heap) > 1:
+            below = [heappop(heap) for _ in range(take)]
+            own, total, take = len(above), sum(m for m, _ in below), BRANCHES
+            above.append(-1)
+            slot.append(0)
+            priors.append([np.log(m / total) for m, _ in below] + [NO_BRANCH] * (BRANCHES - len(below)))
+            for j, (_, i) in enumerate(below):
+                above[i], slot[i] = own, j
+            heappush(heap, (total, own))
+    up, branch, at, leaf, paths = np.array(above), np.array(slot), np.arange(len(mass)), np.arange(len(mass)), []
+    while len(at):
+        leaf, at = leaf[up[at] >= 0], at[up[at] >= 0]
+        paths.append((leaf, up[at] - len(mass), branch[at]))
+        at = up[at]
+    leaves, nodes, slots = (np.concatenate(x) for x in zip(*paths))
+    order = np.argsort(leaves, kind="stable")
+    starts = np.concatenate([[0], np.cumsum(np.bincount(leaves, minlength=len(mass)))])
+    shares = np.array(priors, np.float32).reshape(-1, BRANCHES)
+    return WordTrees(starts, nodes[order].astype(np.int32), slots[order].astype(np.int8), shares)
 
 
 def token_chunks(batch: pa.RecordBatch, column: str = "packed") -> Iterator[Tokens]:
@@ -207,12 +272,21 @@ def token_chunks(batch: pa.RecordBatch, column: str = "packed") -> Iterator[Toke
         inner[bounds[1:] - 1] = False
         packed[inner] = data[8 * offsets[lo] : 8 * offsets[hi]].view(np.int64)
         kind = (packed >> 24) & 0xFF
-        yield Tokens(lo, bounds, packed & 0xFFFFFF, kind, features(packed >> 32, kind, bounds))
+        rows, contexts = features(packed >> 32, kind, bounds)
+        yield Tokens(lo, bounds, packed & 0xFFFFFF, kind, rows, contexts)
         lo = hi
 
 
-def features(hashes: np.ndarray, kind: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """Six feature rows per token: ``(6, n)`` places among the hashed weights."""
+def hashed(keys: np.ndarray, rows: int) -> np.ndarray:
+    """Places of ``keys`` among ``rows`` weights, a power of two."""
+    keys = keys.astype(np.uint64)
+    with np.errstate(over="ignore"):
+        keys *= np.uint64(0x9E3779B97F4A7C15)
+    return (keys >> np.uint64(65 - rows.bit_length())).astype(np.int32)
+
+
+def features(hashes: np.ndarray, kind: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Six feature rows per token, ``(6, n)`` places among the hashed weights, and the class and word before."""
     n = len(kind)
     place = np.arange(n) - np.repeat(bounds[:-1], np.diff(bounds))
 
@@ -225,23 +299,49 @@ def features(hashes: np.ndarray, kind: np.ndarray, bounds: np.ndarray) -> np.nda
     k1, k2, k3 = (before(kind, k) for k in (1, 2, 3))
     h1, h2 = (before(hashes, k) for k in (1, 2))
     keys = np.stack([k1, k1 * 257 + k2, k2 * 257 + k3, h1, h2, h1 * 7_368_787 + h2])
-    keys = (keys + (np.arange(1, 7) << 44)[:, None]).astype(np.uint64)
-    with np.errstate(over="ignore"):
-        keys *= np.uint64(0x9E3779B97F4A7C15)
-    return (keys >> np.uint64(64 - 14)).astype(np.int32) % FEATURES
+    return hashed(keys + (np.arange(1, 7) << 44)[:, None], FEATURES), np.stack([k1, h1])
 
 
-def class_log_shares(weights: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Natural logarithms of the class probabilities, ``(n, classes)``."""
+def class_log_shares(weights: np.ndarray, at: np.ndarray, priors: np.ndarray | None = None) -> np.ndarray:
+    """Natural logarithms of the probabilities of classes or, with ``priors``, of branches: ``(n, classes)``."""
     total = weights.take(at[0], axis=0, mode="clip")
     for row in at[1:]:
         total += weights.take(row, axis=0, mode="clip")
+    if priors is not None:
+        total += priors
     # Far below where exponentials of single precision end.
     np.clip(total, -60, 60, out=total)
     total -= np.log(np.exp(total) @ np.ones(weights.shape[1], np.float32))[:, None]
     return total
 
 
+def word_log_shares(
+    weights: np.ndarray, trees: WordTrees, place: np.ndarray, contexts: np.ndarray
+) -> np.ndarray:
+    """Natural logarithms of the probabilities of places within their classes."""
+    owner, node, slot, at = trees.decisions(place, contexts)
+    shares = class_log_shares(weights, at, trees.priors.take(node, axis=0))
+    return np.bincount(owner, shares[np.arange(len(owner)), slot], len(place))
+
+
+def word_step(
+    weights: np.ndarray, curves: np.ndarray, at: np.ndarray, slot: np.ndarray, priors: np.ndarray
+) -> None:
+    """One step of the trees' weights; the gradient and its slope are summed per feature and branch.
+
+    The priors already fit the words' frequencies, so a weight moves by what its own
+    observations say, damped while they are few.
+    """
+    shares = np.exp(class_log_shares(weights, at, priors))
+    slopes = np.ascontiguousarray((shares * (1.0 - shares)).T, np.float64)
+    shares[np.arange(len(slot)), slot] -= 1.0
+    flat, each = at.ravel(), np.ascontiguousarray(shares.T, np.float64)
+    for k, (own, slope) in enumerate(zip(each, slopes)):
+        gradient = np.bincount(flat, np.tile(own, len(at)), len(weights)).astype(np.float32)
+        curves[k] += np.bincount(flat, np.tile(slope, len(at)), len(weights)).astype(np.float32)
+        weights[:, k] -= WORD_RATE * gradient / (curves[k] + DAMPING)
+
+
 def step(weights: np.ndarray, squares: np.ndarray, at: np.ndarray, kind: np.ndarray) -> None:
     """One AdaGrad step on a mini-batch; the gradient is summed per feature and class."""
     error = np.exp(class_log_shares(weights, at))
@@ -253,24 +353,44 @@ def step(weights: np.ndarray, squares: np.ndarray, at: np.ndarray, kind: np.ndar
         weights[:, k] -= RATE * gradient / np.sqrt(squares[k] + 1.0)
 
 
-def train(docs: DataFrame, classes: int, rounds: int = ROUNDS) -> np.ndarray:
-    """Weights ``(FEATURES, classes)`` learned from ``docs (packed)``."""
-    weights = np.zeros((FEATURES, classes), np.float32)
-    columns = [f"w{k}" for k in range(classes)]
+def train(
+    docs: DataFrame, classes: int, trees: WordTrees, words: int, rounds: int = ROUNDS
+) -> tuple[np.ndarray, np.ndarray]:
+    """Weights of the classes ``(FEATURES, classes)`` and of the trees ``(WORD_FEATURES, BRANCHES)``.
+
+    They are learned from ``docs (packed)``; ``words`` are frequent. Both lie in one table,
+    the classes' rows first.
+    """
+    width = max(classes, BRANCHES)
+    weights = np.zeros((FEATURES + WORD_FEATURES, width), np.float32)
+    columns = [f"w{k}" for k in range(width)]
     schema = "feature int, met double, " + ", ".join(f"{c} double" for c in columns)
+
+    def parts(whole: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return whole[:FEATURES, :classes].copy(), whole[FEATURES:, :BRANCHES].copy()
+
     for _ in range(rounds):
         start = weights
 
         def run(batches: Iterator[pa.RecordBatch], start: np.ndarray = start) -> Iterator[pa.RecordBatch]:
-            own, squares = start.copy(), np.zeros((classes, FEATURES), np.float32)
-            met = np.zeros(FEATURES, np.int64)
+            own, inner = parts(start)
+            squares, curves = (np.zeros(w.T.shape, np.float32) for w in (own, inner))
+            met = np.zeros(len(start), np.int64)
             for batch in batches:
                 for tokens in token_chunks(batch):
-                    met += np.bincount(tokens.features.ravel(), minlength=FEATURES)
+                    met[:FEATURES] += np.bincount(tokens.features.ravel(), minlength=FEATURES)
+                    place = places(tokens, words)
                     for i in range(0, len(tokens.kind), BATCH_TOKENS):
-                        step(own, squares, tokens.features[:, i : i + BATCH_TOKENS], tokens.kind[i : i + BATCH_TOKENS])
+                        part = slice(i, i + BATCH_TOKENS)
+                        step(own, squares, tokens.features[:, part], tokens.kind[part])
+                        _, node, slot, at = trees.decisions(place[part], tokens.contexts[:, part])
+                        met[FEATURES:] += np.bincount(at.ravel(), minlength=WORD_FEATURES)
+                        word_step(inner, curves, at, slot, trees.priors.take(node, axis=0))
+            moved = np.zeros(start.shape)
+            before, inner_before = parts(start)
+            moved[:FEATURES, :classes], moved[FEATURES:, :BRANCHES] = own - before, inner - inner_before
             rows = np.flatnonzero(met)
-            moved = (own[rows] - start[rows]).astype(np.float64) * met[rows, None]
+            moved = moved[rows] * met[rows, None]
             arrays = [pa.array(rows.astype(np.int32)), pa.array(met[rows].astype(np.float64))]
             yield pa.RecordBatch.from_arrays(
                 [*arrays, *(pa.array(np.ascontiguousarray(moved[:, k])) for k in range(len(columns)))],
@@ -279,12 +399,17 @@ def train(docs: DataFrame, classes: int, rounds: int = ROUNDS) -> np.ndarray:
 
         changes = docs.select("packed").mapInArrow(run, schema)
         summed = changes.groupBy("feature").agg(F.sum("met").alias("met"), *(F.sum(c).alias(c) for c in columns))
-        # At most FEATURES rows: the model itself.
+        # At most FEATURES + WORD_FEATURES rows: the model itself.
         found = summed.toPandas()
         weights = weights.copy()
         moved = found[columns].to_numpy() / found[["met"]].to_numpy()
         weights[found["feature"].to_numpy()] += moved.astype(np.float32)
-    return weights
+    return parts(weights)
+
+
+def places(tokens: Tokens, words: int) -> np.ndarray:
+    """The place of each token in ``word_trees``: a frequent word's rank less 1, then the classes' others."""
+    return np.where(tokens.rank > 0, tokens.rank - 1, words + tokens.kind)
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
@@ -352,25 +477,29 @@ def log_likelihoods(docs: DataFrame) -> DataFrame:
     times = np.array([0, *frequent["n"]], np.int64)
     totals = class_totals(counts, lexicon)
     class_total = np.array([sum(totals.get(k, (0, 0))) + 1 for k in range(lexicon.classes)], float)
+    kinds, words = lexicon.classes_of(frequent["word"].to_list()), len(frequent)
+    # What a class has besides its frequent words; one at least, for the unknown.
+    others = class_total - np.bincount(kinds, times[1:] + 1.0, lexicon.classes)
+    trees = word_trees(np.concatenate([times[1:] + 1.0, others]), np.concatenate([kinds, np.arange(lexicon.classes)]))
     texts = written(packed_texts(rows, lexicon), "lm-texts")
-    weights = train(texts.where(~held_out()), lexicon.classes)
+    weights, inner_weights = train(texts.where(~held_out()), lexicon.classes, trees, words)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end_base = np.log10((ends + 1) / base_total)
         for batch in batches:
             for tokens in token_chunks(batch):
                 first, docs = tokens.bounds[:-1], len(tokens.bounds) - 1
-                share = np.empty(len(tokens.kind))
+                share, place = np.empty(len(tokens.kind)), places(tokens, words)
                 for i in range(0, len(share), BATCH_TOKENS):
-                    part = tokens.features[:, i : i + BATCH_TOKENS]
-                    kind = tokens.kind[i : i + BATCH_TOKENS]
-                    share[i : i + BATCH_TOKENS] = class_log_shares(weights, part)[np.arange(len(kind)), kind]
+                    part = slice(i, i + BATCH_TOKENS)
+                    kind = tokens.kind[part]
+                    share[part] = class_log_shares(weights, tokens.features[:, part])[np.arange(len(kind)), kind]
+                    share[part] += word_log_shares(inner_weights, trees, place[part], tokens.contexts[:, part])
                 c = times[tokens.rank]
                 counted = tokens.rank > 0
                 end = tokens.bounds[1:] - 1
                 base = np.where(counted, np.log10((c + 1) / base_total), 0.0)
                 base[end] = end_base
-                inner = np.where(counted, np.log10((c + 1) / class_total[tokens.kind]), 0.0)
                 known = (c > 0).astype(np.int64)
                 known[end] = ends > 0
                 yield pa.RecordBatch.from_arrays(
@@ -380,7 +509,7 @@ def log_likelihoods(docs: DataFrame) -> DataFrame:
                         pa.array(np.diff(tokens.bounds)),
                         pa.array(np.add.reduceat(known, first)),
                         pa.array(np.add.reduceat(base, first)),
-                        pa.array(np.add.reduceat(share * _LOG10E + inner, first)),
+                        pa.array(np.add.reduceat(share * _LOG10E, first)),
                     ],
                     ["serial", "doc_id", "n_tokens", "n_known", "base_score", "score"],
                 )
@@ -389,12 +518,12 @@ def log_likelihoods(docs: DataFrame) -> DataFrame:
         run, "serial long, doc_id long, n_tokens long, n_known long, base_score double, score double"
     )
     rare = texts.select("serial", F.inline("rare")).join(counts, "word", "left")
-    in_class = F.element_at(F.array(*(F.lit(float(t)) for t in class_total)), F.col("kind") + 1)
+    among_others = F.element_at(F.array(*(F.lit(float(t)) for t in others)), F.col("kind") + 1)
     seen = F.coalesce("n", F.lit(0))
     late = rare.groupBy("serial").agg(
         F.sum(F.when(seen > 0, F.col("times")).otherwise(F.lit(0))).alias("known"),
         F.sum(F.col("times") * F.log10((seen + 1) / F.lit(float(base_total)))).alias("base"),
-        F.sum(F.col("times") * F.log10((seen + 1) / in_class)).alias("inner"),
+        F.sum(F.col("times") * F.log10((seen + 1) / among_others)).alias("inner"),
     )
     joined = scored.join(late, "serial", "left")
     return joined.select(

@@ -274,6 +274,37 @@ def test_class_shares_sum_to_one():
     assert np.exp(maxent_lm.class_log_shares(weights, at)).sum(axis=1) == pytest.approx(np.ones(50), abs=1e-5)
 
 
+def test_word_shares_sum_to_one_within_a_class():
+    rng = np.random.default_rng(1)
+    mass, kinds = rng.integers(1, 500, 60).astype(float), np.repeat([1, 2, 3, 0], [40, 18, 1, 1])
+    trees = maxent_lm.word_trees(mass, kinds)
+    contexts = np.repeat([[3], [123_456]], len(mass), axis=1)
+    plain = np.zeros((maxent_lm.WORD_FEATURES, maxent_lm.BRANCHES), np.float32)
+    shares = np.exp(maxent_lm.word_log_shares(plain, trees, np.arange(len(mass)), contexts))
+    assert shares == pytest.approx(mass / np.bincount(kinds, mass)[kinds], rel=1e-4)
+    weights = rng.normal(size=plain.shape).astype(np.float32)
+    tilted = np.exp(maxent_lm.word_log_shares(weights, trees, np.arange(len(mass)), contexts))
+    assert np.bincount(kinds, tilted) == pytest.approx(np.ones(4), abs=1e-4)
+    assert not np.allclose(tilted, shares)
+
+
+def test_words_of_a_class_depend_on_the_words_before(documents, monkeypatch):
+    # Words of one class in pairs; half of the rows that were held out have the pairs crossed.
+    monkeypatch.setattr(maxent_lm, "CLASSES", 2)
+    monkeypatch.setattr(maxent_lm.fit_classes, "__defaults__", (1, 10))
+    names = [a + b for a in "abcd" for b in "klmn"]
+    rng = random.Random(5)
+    rows = []
+    for i in range(600):
+        held = zlib.crc32(str(i).encode()) % 7 == 2
+        turn = 3 if held and i % 2 else 0
+        firsts = [rng.randrange(16) for _ in range(300)]
+        rows.append((i, " ".join(f"{names[k]} {names[(k + turn) % 16] * 2}" for k in firsts), "en", "s"))
+    found = [r for r in maxent_lm.log_likelihoods(documents(rows)).collect() if r["held_out"]]
+    right, crossed = ([r["score"] for r in found if r["doc_id"] % 2 == k] for k in (0, 1))
+    assert sum(right) / len(right) > sum(crossed) / len(crossed) + 100
+
+
 def test_language_model_of_awkward_rows(awkward, nothing):
     found = maxent_lm.log_likelihoods(awkward).collect()
     assert len(found) == awkward.count() and all(math.isfinite(r["score"]) for r in found)
