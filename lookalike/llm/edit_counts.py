@@ -121,13 +121,16 @@ def build(encoder: Encoder, text: str) -> TokenTree:
     return TokenTree.of(leaves, counted(encoder, leaves))
 
 
-def edit(encoder: Encoder, tree: TokenTree, text: str, start: int, end: int, new: str) -> tuple[TokenTree, str, int]:
-    """The tree and the text after ``text[start:end] = new``, and the characters encoded again."""
+def planned(tree: TokenTree, text: str, start: int, end: int, new: str) -> tuple[str, int | None, list[str]]:
+    """The text after ``text[start:end] = new``, and the leaves to encode again with the place of the first.
+
+    Without a place the leaves are the whole text's, for a new tree.
+    """
     start = min(max(start, 0), len(text))
     end = min(max(end, start), len(text))
     after = text[:start] + new + text[end:]
     if not text:
-        return build(encoder, after), after, len(after)
+        return after, None, cut_leaves(after)
     first, begin = tree.leaf_at(max(0, start - 1))
     last, last_begin = tree.leaf_at(min(end + 1, len(text) - 1))
     stop = last_begin + tree.chars[tree.width + last]
@@ -143,10 +146,22 @@ def edit(encoder: Encoder, tree: TokenTree, text: str, start: int, end: int, new
             break
     room = last - first + 1
     if len(region) > GROWTH * LEAF_CHARS * room:
-        return build(encoder, after), after, len(after)
-    leaves = cut_leaves(region, room)
-    tree.put(first, leaves, counted(encoder, leaves))
-    return tree, after, len(region)
+        return after, None, cut_leaves(after)
+    return after, first, cut_leaves(region, room)
+
+
+def settled(tree: TokenTree, first: int | None, leaves: list[str], counts: list[int]) -> TokenTree:
+    """The tree with the leaves of a plan."""
+    if first is None:
+        return TokenTree.of(leaves, counts)
+    tree.put(first, leaves, counts)
+    return tree
+
+
+def edit(encoder: Encoder, tree: TokenTree, text: str, start: int, end: int, new: str) -> tuple[TokenTree, str, int]:
+    """The tree and the text after ``text[start:end] = new``, and the characters encoded again."""
+    after, first, leaves = planned(tree, text, start, end, new)
+    return settled(tree, first, leaves, counted(encoder, leaves)), after, sum(map(len, leaves))
 
 
 def token_trees(docs: DataFrame, tokenizer: str) -> DataFrame:
@@ -179,26 +194,40 @@ def recounted(trees: DataFrame, tokenizer: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(tokenizer)
         for batch in batches:
-            rows = []
-            for i, raw in text_bytes(batch):
-                text = raw.decode("utf-8", "replace")
-                edits = batch.column(2)[i].as_py() or []
-                tree = TokenTree(batch.column(3)[i].as_py(), batch.column(4)[i].as_py())
-                before, done, encoded = tree.tokens[1], 0, 0
-                for change in edits:
-                    if change is None:
-                        continue
-                    start = change["start"] or 0
-                    end = start if change["end"] is None else change["end"]
-                    tree, text, n = edit(encoder, tree, text, start, end, change["text"] or "")
-                    done, encoded = done + 1, encoded + n
-                rows.append((before, done, len(text), tree.tokens[1], encoded, tree.chars, tree.tokens))
-            types = [pa.int64()] * 5 + [pa.list_(pa.int32())] * 2
-            columns = list(zip(*rows)) or [()] * 7
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), *(pa.array(list(c), t) for c, t in zip(columns, types))],
-                ["doc_id", "n_tokens", "n_edits", "edited_chars", "edited_tokens", "encoded_chars", "chars", "tokens"],
-            )
+            for lo in range(0, batch.num_rows, 256):
+                part = batch.slice(lo, 256)
+                texts = [raw.decode("utf-8", "replace") for _, raw in text_bytes(part)]
+                changes = [[c for c in edits or [] if c is not None] for edits in part.column(2).to_pylist()]
+                trees = [TokenTree(*both) for both in zip(part.column(3).to_pylist(), part.column(4).to_pylist())]
+                before, encoded = [tree.tokens[1] for tree in trees], [0] * len(trees)
+                # The next edit of every document at a time, so that many regions are encoded in one call.
+                for k in range(max(map(len, changes), default=0)):
+                    due = [i for i, own in enumerate(changes) if len(own) > k]
+                    plans = []
+                    for i in due:
+                        change = changes[i][k]
+                        start = change["start"] or 0
+                        end = start if change["end"] is None else change["end"]
+                        texts[i], *plan = planned(trees[i], texts[i], start, end, change["text"] or "")
+                        plans.append(plan)
+                    counts = iter(counted(encoder, [leaf for _, leaves in plans for leaf in leaves]))
+                    for i, (first, leaves) in zip(due, plans):
+                        trees[i] = settled(trees[i], first, leaves, [next(counts) for _ in leaves])
+                        encoded[i] += sum(map(len, leaves))
+                columns = [
+                    before,
+                    list(map(len, changes)),
+                    list(map(len, texts)),
+                    [tree.tokens[1] for tree in trees],
+                    encoded,
+                    [tree.chars for tree in trees],
+                    [tree.tokens for tree in trees],
+                ]
+                types = [pa.int64()] * 5 + [pa.list_(pa.int32())] * 2
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), *(pa.array(c, t) for c, t in zip(columns, types))],
+                    ["doc_id", "n_tokens", "n_edits", "edited_chars", "edited_tokens", "encoded_chars", "chars", "tokens"],
+                )
 
     return trees.select("doc_id", "text", "edits", "chars", "tokens").mapInArrow(
         run,

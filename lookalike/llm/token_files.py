@@ -20,10 +20,12 @@ empty table gives an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -39,7 +41,7 @@ END_ID = 2
 BLOCK_IDS = 2048
 #: Blocks that a task codes in lockstep; a block takes some 40 kB of memory meanwhile.
 LANES = 1024
-#: Pieces whose ids a worker remembers; then it starts anew.
+#: Pieces whose ids a worker remembers; beyond, it forgets those that are not in use.
 CACHE_PIECES = 300_000
 #: New pieces that are encoded in one call.
 PIECES_AT_ONCE = 50
@@ -47,7 +49,10 @@ PIECES_AT_ONCE = 50
 # Characters that no tokenizer rule takes for white space: printable ASCII and
 # the letters of Latin-1 and Latin Extended-A/B.
 _SOLID = "!-~À-ɏ"
-_SPLIT = re.compile(f"(?<=[{_SOLID}]) (?=[{_SOLID}])")
+_SPLIT = re.compile(f" (?<=[{_SOLID}] )(?=[{_SOLID}])")
+#: A blank that does not part a text.
+_OTHER_BLANK = re.compile(f" (?:(?<![{_SOLID}] )|(?![{_SOLID}]))")
+_CLOSING = frozenset(c for c in map(chr, range(0x250)) if re.match(f"[{_SOLID}]", c))
 
 BLOCK_SCHEMA = (
     "file int, block int, first_id long, n_ids int, ids_crc32 long, payload_crc32 long, payload binary, "
@@ -70,35 +75,82 @@ class Encoder:
         # A special token parts a text before anything else looks at it.
         marks = (t for t in self.tokenizer.get_added_tokens_decoder().items() if t[1].special)
         self.mark_id, self.mark = next(((i, t.content) for i, t in marks if not (t.lstrip or t.rstrip)), (None, None))
+        self.sizes = self._token_bytes()
         self.known: dict[str, bytes] = {}
 
-    def learn(self, pieces: list[str]) -> None:
-        """Encode pieces, parted by the special token, in one text; a few calls are much faster than many."""
-        alone = [p for p in pieces if self.mark is None or self.mark in p]
-        joined = [p for p in pieces if self.mark is not None and self.mark not in p]
+    def _token_bytes(self) -> np.ndarray | None:
+        """Bytes of text behind each id, if the tokenizer works on unchanged bytes with a character for each."""
+        parts, added = json.loads(self.tokenizer.to_str()), self.tokenizer.get_added_tokens_decoder()
+        cut = parts["pre_tokenizer"] or {}
+        if parts["normalizer"] or cut.get("type") != "ByteLevel" or cut.get("add_prefix_space"):
+            return None
+        if any(t.lstrip or t.rstrip or _SPLIT.search(t.content) for t in added.values()):
+            return None
+        sizes = np.zeros(1 << 16, np.int64)
+        for token, i in self.tokenizer.get_vocab().items():
+            sizes[i] = len(added[i].content.encode()) if i in added else len(token)
+        return sizes
+
+    def learn(self, keys: Iterable[str]) -> None:
+        """Encode new pieces, many in one text; a few calls are much faster than many.
+
+        Where all pieces start with a blank and a text may be parted between them, the bytes
+        behind the ids tell them apart, otherwise the special token between them.
+        """
+        parted, plain = [], []
+        for key in keys:
+            (plain if self.sizes is not None and key[0] != " " and key[-1] in _CLOSING else parted).append(key)
+        for i in range(0, len(plain), 100 * PIECES_AT_ONCE):
+            part = plain[i : i + 100 * PIECES_AT_ONCE]
+            texts = [" " + " ".join(part[j : j + PIECES_AT_ONCE]) for j in range(0, len(part), PIECES_AT_ONCE)]
+            found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+            ids = np.fromiter(chain.from_iterable(e.ids for e in found), "<u2")
+            reached = np.cumsum(self.sizes[ids])
+            ends = np.cumsum([len(key.encode()) + 1 for key in part])
+            cuts = np.searchsorted(reached, ends) + 1
+            if cuts[-1] != len(ids) or not np.array_equal(reached[cuts - 1], ends):
+                parted += part
+                continue
+            raw, cuts = ids.tobytes(), (2 * cuts).tolist()
+            self.known.update(zip(part, map(raw.__getitem__, map(slice, [0, *cuts], cuts))))
+        if parted:
+            self._learn_parted(parted)
+
+    def _learn_parted(self, keys: list[str]) -> None:
+        pieces = {key: key[1:] if key[0] == " " else " " + key for key in keys}
+        alone = [key for key, p in pieces.items() if self.mark is None or self.mark in p]
+        joined = [key for key, p in pieces.items() if self.mark is not None and self.mark not in p]
         for i in range(0, len(joined), PIECES_AT_ONCE):
             part = joined[i : i + PIECES_AT_ONCE]
-            ids = np.array(self.tokenizer.encode_batch_fast([self.mark.join(part)], add_special_tokens=False)[0].ids, "<u2")
+            text = self.mark.join(pieces[key] for key in part)
+            ids = np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u2")
             ends = np.append(np.flatnonzero(ids == self.mark_id), len(ids))
             if len(ends) != len(part):
                 alone += part
                 continue
             raw = ids.tobytes()
-            for piece, start, end in zip(part, [0, *(ends[:-1] + 1).tolist()], ends.tolist()):
-                self.known[piece] = raw[2 * start : 2 * end]
-        for piece, found in zip(alone, self.tokenizer.encode_batch_fast(alone, add_special_tokens=False)):
-            self.known[piece] = np.array(found.ids, "<u2").tobytes()
+            for key, start, end in zip(part, [0, *(ends[:-1] + 1).tolist()], ends.tolist()):
+                self.known[key] = raw[2 * start : 2 * end]
+        for key, found in zip(alone, self.tokenizer.encode_batch_fast([pieces[key] for key in alone], add_special_tokens=False)):
+            self.known[key] = np.array(found.ids, "<u2").tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = []
         for text in texts:
-            first, *rest = _SPLIT.split(text)
-            # Pieces after the first keep their blank; the first has none to keep.
-            split.append([first, *[" " + r for r in rest]])
+            # Pieces after the first start with their blank, which is left out; a first one without
+            # such a blank gets one here that tells it from the others.
+            opens = text[:1] == " " and text[1:2] in _CLOSING
+            if opens:
+                text = text[1:]
+            keys = _SPLIT.split(text) if _OTHER_BLANK.search(text) else text.split(" ")
+            if not opens:
+                keys[0] = " " + keys[0]
+            split.append(keys)
+        wanted = set().union(*split)
         if len(self.known) > CACHE_PIECES:
-            self.known.clear()
-        self.learn([piece for piece in set().union(*split) if piece not in self.known])
-        return [b"".join(map(self.known.__getitem__, pieces)) for pieces in split]
+            self.known = {key: self.known[key] for key in wanted if key in self.known}
+        self.learn(wanted.difference(self.known))
+        return [b"".join(map(self.known.__getitem__, keys)) for keys in split]
 
 
 @cache
