@@ -3,7 +3,7 @@
 import numpy as np
 import public_tokenizers
 
-from lookalike.llm import token_files
+from lookalike.llm import edit_counts, token_files
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -38,3 +38,18 @@ def test_a_full_cache_keeps_what_is_in_use(monkeypatch):
     encoder.encode(["one two six"])
     assert counting.characters == len(" six")
     assert " one" in encoder.known and "five" not in encoder.known
+
+
+def test_edits_of_many_documents_are_encoded_in_one_call():
+    """Plans of several documents, settled by one call, give the trees of edits made one by one."""
+    encoder = token_files.Encoder(TOKENIZER)
+    texts = ["", "one", "some words " * 300, "é 中文 \n\n x" * 200]
+    edits = [(0, 0, "new text"), (0, 3, ""), (700, 740, " put in"), (5, 900, "x " * 5000)]
+    alone = [edit_counts.edit(encoder, edit_counts.build(encoder, t), t, *e) for t, e in zip(texts, edits)]
+    trees = [edit_counts.build(encoder, t) for t in texts]
+    plans = [edit_counts.planned(tree, t, *e) for tree, t, e in zip(trees, texts, edits)]
+    counts = iter(edit_counts.counted(encoder, [leaf for _, _, leaves in plans for leaf in leaves]))
+    for tree, (after, first, leaves), (single, text, encoded) in zip(trees, plans, alone):
+        tree = edit_counts.settled(tree, first, leaves, [next(counts) for _ in leaves])
+        assert (tree, after, sum(map(len, leaves))) == (single, text, encoded)
+        assert tree.tokens[1] == len(encoder.tokenizer.encode(after, add_special_tokens=False).ids)
