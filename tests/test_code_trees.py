@@ -1,8 +1,11 @@
 """Trees of source code: a file by hand, scores of edited files, files that do not parse."""
 
+import re
+
+import pyarrow as pa
 import pytest
 
-from lookalike.operators import code_trees, structure
+from lookalike.operators import code_runs, code_trees, structure
 
 FILE = """package a.b; // class in a remark {
 public class Main extends Base {
@@ -115,3 +118,21 @@ def test_long_strings_and_comments(nodes_of):
     text = 'x = "' + "a\\\\\\\"" * 3_000 + '"; /* ' + "* { " * 20_000 + "*/ y(" + "1, " * 2_000 + "1);"
     rows = nodes_of(text)[1].collect()
     assert len(rows) == 1 + 2 + 2 + 2_001
+
+
+def test_files_are_shuffled_once_and_no_token_rows_are_sorted(nodes_of):
+    plan = nodes_of(FILE, "f(1);")[1]._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Sort" not in plan and plan.count("Exchange") == 1
+
+
+def test_slices_of_files_give_the_same_nodes(monkeypatch):
+    def tokens(text):
+        return re.findall(r"\"[^\"]*\"|\w+|[^\s\w]|\n", re.sub(r"//[^\n]*|/\*.*?\*/", "", text))
+
+    files = pa.array([[tokens(FILE)], [], [["}"]], [tokens("f(1);\ng(2);"), tokens("h(3);")], [tokens(FILE)]])
+    whole = code_trees._nodes(files)
+    assert [len(x) for x in whole[1:4]] == [0, 0, 10] and len(whole[0]) == len(whole[4]) > 20
+    for most in (1, 20, 1_000):
+        monkeypatch.setattr(code_runs, "SLICE_TOKENS", most)
+        assert code_trees._nodes(files).equals(whole)
+        assert code_trees._nodes(files[2:]).equals(whole[2:])
