@@ -9,7 +9,7 @@ from lookalike.operators import compare
 from lookalike.operators.code_trees import code_tree_nodes
 from lookalike.operators.pairs import PAIR, pair_texts
 from lookalike.operators.structure import ONCE, STRUCTURE_THRESHOLD, structural_score, text_structural_score
-from lookalike.sources.documents import SOURCE_PATTERN, read_documents, resolve_pairs
+from lookalike.sources.documents import SOURCE_PATTERN, many_small_files, read_documents, resolve_pairs
 from lookalike.sources.manifest import known_sources
 from lookalike.sources.scratch import written
 
@@ -76,7 +76,8 @@ def tree_files(spark: SparkSession, root: str, pattern: str = SOURCE_PATTERN) ->
     Files are read once. One that is no UTF-8 has a NULL text, and like one that does not
     parse it has no nodes; see ``file_rejects``.
     """
-    files = written(read_documents(spark, root, pattern, strict=True), "files")
+    with many_small_files(spark):
+        files = written(read_documents(spark, root, pattern, strict=True), "files")
     sources = files.where(F.col("text").isNotNull()).select(F.col("path").alias("doc_id"), "text")
     return files, written(code_tree_nodes(sources), "file-nodes")
 

@@ -1,3 +1,7 @@
+import pytest
+from pyspark.errors import AnalysisException
+from pyspark.sql import functions as F
+
 from lookalike.operators import jobs, structure
 from lookalike.operators.pairs import PLACES, pair_slots
 from lookalike.operators.tfidf import tfidf_similarity
@@ -84,3 +88,22 @@ def test_writing_a_split_replaces_only_that_split(spark, tmp_path):
     write_split_documents(first, path)
     write_split_documents(first.selectExpr("doc_id + 10 as doc_id", "text", "split").where("split = 'test'"), path)
     assert sorted((r.doc_id, r.split) for r in spark.read.parquet(path).collect()) == [(1, "train"), (12, "test")]
+
+
+def test_files_hold_the_bytes_of_their_texts(spark, tmp_path):
+    rows = [(1, b"a\nb"), (2, b"c\xff"), (3, None), (4, b"x"), (4, b"x"), (None, b"y")]
+    table = spark.createDataFrame(rows, "doc_id BIGINT, bytes BINARY")
+    write_files(table.select("doc_id", F.col("bytes").cast("string").alias("text")), str(tmp_path / "files"))
+    found = {p.parent.name: p.read_bytes() for p in (tmp_path / "files").glob("*/*.txt")}
+    ids = {"1": b"a\nb\n", "2": b"c\xff\n", "3": b"\n", "4": b"x\nx\n", "__HIVE_DEFAULT_PARTITION__": b"y\n"}
+    assert found == {f"doc={name}": text for name, text in ids.items()}
+    assert not [*(tmp_path / "files").glob("*/.*")]
+    with pytest.raises(AnalysisException):
+        write_files(table.select("doc_id", F.lit("z").alias("text")), str(tmp_path / "files"))
+
+
+def test_many_small_files_are_read_by_few_tasks(spark, tmp_path):
+    write_files(spark.range(200).select(F.col("id").alias("doc_id"), F.lit("a;").alias("text")), str(tmp_path / "files"))
+    files, nodes = jobs.tree_files(spark, str(tmp_path / "files"), "*.txt")
+    assert files.count() == 200 and nodes.count() == 400
+    assert len(files.inputFiles()) <= spark.sparkContext.defaultParallelism
