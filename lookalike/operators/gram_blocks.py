@@ -23,14 +23,17 @@ PACKED_ROWS = 1_000_000
 #: Rows of a batch that leaves a task.
 BATCH_ROWS = 65_536
 
-#: A bucket may hold more characters than 32-bit offsets reach; a batch that leaves a task does not.
-_ROWS = pa.schema([("gram", pa.large_string()), ("cf", pa.int64()), ("df", pa.int64())])
-_OUT = pa.schema([("gram", pa.string()), *list(_ROWS)[1:]])
+_ROWS = pa.schema([("gram", pa.string()), ("cf", pa.int64()), ("df", pa.int64())])
+#: Where 32-bit offsets might not reach. Arrow adds up rows with wider ones six times as slowly.
+WIDE_BYTES = 1 << 30
 
-
-def _added(table: pa.Table, keys: list[str]) -> pa.Table:
-    found = table.group_by(keys, use_threads=False).aggregate([("cf", "sum"), ("df", "sum")])
-    return found.rename_columns([{"cf_sum": "cf", "df_sum": "df"}.get(name, name) for name in found.column_names])
+def _added(rows: pa.Table) -> pa.Table:
+    """Rows ``(gram, cf, df)`` with each gram once; of a ``bucket`` beside them the one of the gram."""
+    if rows.nbytes > WIDE_BYTES:
+        rows = rows.set_column(rows.column_names.index("gram"), "gram", rows.column("gram").cast(pa.large_string()))
+    sums = [("cf", "sum"), ("df", "sum"), *([("bucket", "min")] if "bucket" in rows.column_names else [])]
+    found = rows.group_by("gram", use_threads=False).aggregate(sums)
+    return found.rename_columns([name.split("_")[0] for name in found.column_names])
 
 
 def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -38,17 +41,18 @@ def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     held, rows = [], 0
 
     def blocks() -> Iterator[pa.RecordBatch]:
-        table = _added(pa.Table.from_batches(held), ["bucket", "gram"]).sort_by([("bucket", "ascending"), ("gram", "ascending")])
-        table = table.combine_chunks()
+        table = _added(pa.Table.from_batches(held)).sort_by("gram").combine_chunks()
+        order = np.argsort(table.column("bucket").to_numpy(), kind="stable")
+        table = table.take(pa.array(order)).combine_chunks()
         bucket = table.column("bucket").to_numpy()
         edges = [*np.flatnonzero(np.diff(bucket, prepend=-1)).tolist(), len(bucket)]
         options = pa.ipc.IpcWriteOptions(compression="zstd")
-        plain = table.select(["gram", "cf", "df"])
+        plain = table.select(["gram", "cf", "df"]).cast(_ROWS)
         packed = []
         for lo, hi in zip(edges[:-1], edges[1:]):
             sink = pa.BufferOutputStream()
             with pa.ipc.new_stream(sink, _ROWS, options=options) as out:
-                out.write_table(plain.slice(lo, hi - lo).cast(_ROWS))
+                out.write_table(plain.slice(lo, hi - lo))
             packed.append(sink.getvalue().to_pybytes())
         yield pa.RecordBatch.from_arrays([pa.array(bucket[edges[:-1]], pa.int32()), pa.array(packed, pa.binary())], ["bucket", "block"])
 
@@ -67,11 +71,11 @@ def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     now, held, rows = None, [], 0
 
     def added() -> pa.Table:
-        return _added(pa.concat_tables(held), ["gram"]).select(["gram", "cf", "df"]).cast(_ROWS)
+        return _added(pa.concat_tables(held, promote_options="permissive"))
 
     def ended() -> Iterator[pa.RecordBatch]:
         for batch in added().to_batches(BATCH_ROWS) if held else ():
-            yield batch.cast(_OUT)
+            yield batch.cast(_ROWS)
 
     for batch in batches:
         for bucket, block in zip(batch.column("bucket").to_pylist(), batch.column("block")):

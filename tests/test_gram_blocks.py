@@ -20,11 +20,12 @@ def test_frequencies_are_those_of_plain_rows(spark):
         assert sorted(found.collect()) == sorted(plain.collect())
 
 
-@pytest.mark.parametrize("most", [3, 40, 10_000])
-def test_blocks_are_small_and_lose_nothing(monkeypatch, most):
+@pytest.mark.parametrize("most, wide", [(3, 1 << 30), (40, 1 << 10), (10_000, 1 << 30)])
+def test_blocks_are_small_and_lose_nothing(monkeypatch, most, wide):
     monkeypatch.setattr(gram_blocks, "PACKED_ROWS", most)
+    monkeypatch.setattr(gram_blocks, "WIDE_BYTES", wide)
     grams = [f"some words {i % 500}" for i in range(2_000)] + ["", "x"]
-    rows = [(hash(g[:8]) % 3, g, 1 + i % 2, 1) for i, g in enumerate(grams)]
+    rows = [(len(g) % 3, g, 1 + i % 2, 1) for i, g in enumerate(grams)]
     names = ["bucket", "gram", "cf", "df"]
     kinds = [pa.int32(), pa.string(), pa.int64(), pa.int64()]
 
