@@ -19,13 +19,16 @@ from lookalike.sources.shipping import ship
 #: Characters of a gram that decide where it goes.
 PREFIX = 8
 #: Rows that a task adds up at a time.
-PACKED_ROWS = 1_000_000
+PACKED_ROWS = 1_600_000
+#: Text whose grams make a bucket: some three million rows, or 120 MB.
+BUCKET_TEXT_BYTES = 8 << 20
 #: Rows of a batch that leaves a task.
 BATCH_ROWS = 65_536
 
 _ROWS = pa.schema([("gram", pa.string()), ("cf", pa.int64()), ("df", pa.int64())])
 #: Where 32-bit offsets might not reach. Arrow adds up rows with wider ones six times as slowly.
 WIDE_BYTES = 1 << 30
+_ZSTD = pa.Codec("zstd")
 
 def _added(rows: pa.Table) -> pa.Table:
     """Rows ``(gram, cf, df)`` with each gram once; of a ``bucket`` beside them the one of the gram."""
@@ -36,6 +39,29 @@ def _added(rows: pa.Table) -> pa.Table:
     return found.rename_columns([name.split("_")[0] for name in found.column_names])
 
 
+def encoded(rows: pa.RecordBatch) -> bytes:
+    """``rows (gram, cf, df)`` without nulls as bytes: lengths and counts byte by byte, and the characters, compressed."""
+    n, grams = len(rows), rows.column("gram")
+    offsets = np.frombuffer(grams.buffers()[1], np.int32)[grams.offset : grams.offset + n + 1]
+    numbers = (np.diff(offsets).astype("<i8"), *(rows.column(c).to_numpy().astype("<i8", copy=False) for c in ("cf", "df")))
+    places = np.concatenate([x.view(np.uint8).reshape(n, 8).T.ravel() for x in numbers])
+    text = grams.buffers()[2][offsets[0] : offsets[-1]] if offsets[-1] > offsets[0] else b""
+    plain = places.tobytes() + bytes(text)
+    head = np.array([n, len(plain)], "<i8").tobytes()
+    return head + _ZSTD.compress(plain, asbytes=True)
+
+
+def decoded(block: bytes) -> pa.Table:
+    n, size = np.frombuffer(block, "<i8", 2)
+    plain = _ZSTD.decompress(block[16:], int(size))
+    places = np.frombuffer(plain, np.uint8, 24 * n)
+    length, cf, df = (np.ascontiguousarray(x.reshape(8, n).T).view("<i8").ravel() for x in np.split(places, 3))
+    offsets = np.zeros(n + 1, np.int32)
+    np.cumsum(length, out=offsets[1:])
+    grams = pa.Array.from_buffers(pa.string(), n, [None, pa.py_buffer(offsets), plain.slice(24 * n)])
+    return pa.table([grams, pa.array(cf), pa.array(df)], schema=_ROWS)
+
+
 def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """``(bucket, block)`` of rows ``(bucket, gram, cf, df)``."""
     held, rows = [], 0
@@ -46,14 +72,8 @@ def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = table.take(pa.array(order)).combine_chunks()
         bucket = table.column("bucket").to_numpy()
         edges = [*np.flatnonzero(np.diff(bucket, prepend=-1)).tolist(), len(bucket)]
-        options = pa.ipc.IpcWriteOptions(compression="zstd")
-        plain = table.select(["gram", "cf", "df"]).cast(_ROWS)
-        packed = []
-        for lo, hi in zip(edges[:-1], edges[1:]):
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, _ROWS, options=options) as out:
-                out.write_table(plain.slice(lo, hi - lo))
-            packed.append(sink.getvalue().to_pybytes())
+        plain = table.select(["gram", "cf", "df"]).cast(_ROWS).to_batches()
+        packed = [encoded(plain[0].slice(lo, hi - lo)) for lo, hi in zip(edges[:-1], edges[1:])]
         yield pa.RecordBatch.from_arrays([pa.array(bucket[edges[:-1]], pa.int32()), pa.array(packed, pa.binary())], ["bucket", "block"])
 
     for batch in batches:
@@ -82,7 +102,7 @@ def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if bucket != now:
                 yield from ended()
                 now, held, rows = bucket, [], 0
-            held.append(pa.ipc.open_stream(block.as_buffer()).read_all())
+            held.append(decoded(block.as_py()))
             rows += len(held[-1])
             if rows >= max(PACKED_ROWS, len(held[0])):
                 # What is alike is added up on the way, again when as much has come.
